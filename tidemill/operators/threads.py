@@ -108,7 +108,7 @@ def claims(span_rows: DataFrame) -> DataFrame:
     full = F.array_join(F.transform("ms", lambda x: x["text"]), " ")
     s = s.select(
         "root", "span", F.col("ms")[0]["text"].alias("opener"), F.col("ms")[0]["question"].alias("asks"), full.alias("full"), F.size("ms").alias("chain_size"),
-        F.transform(F.filter(F.slice("ms", 2, 2**31 - 1), lambda x: x["useful"]), lambda x: x["text"]).alias("answers"),
+        F.transform(F.filter(F.slice("ms", F.lit(2), F.size("ms")), lambda x: x["useful"]), lambda x: x["text"]).alias("answers"),
         F.transform(F.slice("ms", 1, 5), lambda x: x["id"]).alias("source_msgs"), F.col("ms")[0]["ts"].alias("first_seen"), F.element_at("ms", -1)["ts"].alias("last_seen"),
     )
     question = F.when(F.col("asks"), F.col("opener")).otherwise(F.lit(""))

@@ -37,7 +37,7 @@ def claims_file(spark: SparkSession, path: str, country: str, min_answer: int =
 
 def sample_files(spark: SparkSession, path: str, done: DataFrame, limit: int | None = None) -> DataFrame:
     """SRC-07: text files (country, name, mtime, text) of country folders that are not in done (name), oldest first."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     rows = rows.select(
         F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("mtime"),
         F.element_at(F.split("_metadata.file_path", "/"), -2).alias("country"), F.col("value").alias("text"),
