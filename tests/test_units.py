@@ -264,3 +264,17 @@ def test_table_semantics(spark):
     assert {tuple(r) for r in t.upsert(old, new, ["k"], F.col("n")).collect()} == {(1, "a", 1), (2, "d", 5), (3, "f", 1)}
     assert {tuple(r) for r in t.insert_if_absent(old, new, ["k"], [F.asc("n")]).collect()} == {(3, "e", 0)}
     assert {tuple(r) for r in t.patch(old.withColumn("v", F.when(F.col("k") == 1, F.col("v"))), new.where("n > 3").dropDuplicates(["k"]).select("k", F.lit("z").alias("v")), ["k"], only_nulls=True).collect()} == {(1, "a", 1), (2, "z", 5)}
+
+
+def test_external_maps(spark):
+    from tidemill.operators import external as e
+
+    df = spark.createDataFrame([(1, "good morning"), (2, None), (3, " ")], "id int, text string")
+    got = df.select("id", e.embed(F.col("text"), e.HashEmbedder(8)).alias("v"), e.ask_rows(F.col("text"), e.echo, "patterns", "struct<patterns:array<struct<title:string>>>").alias("r")).orderBy("id").collect()
+    assert len(got[0]["v"]) == 8 and got[1]["v"] is None and got[2]["v"] is None
+    assert got[0]["r"][0]["patterns"][0]["title"] == "good" and not got[1]["r"]
+
+
+def test_sample_targets(spark):
+    df = spark.createDataFrame([(1, "https://t.me/+abc", 7), (2, "@name", 8), (3, None, 9), (4, "https://x.org", None)], "id int, url string, chat_id long")
+    assert {tuple(r) for r in p.sample_targets(df).collect()} == {(1, "7"), (2, "name"), (3, "9")}

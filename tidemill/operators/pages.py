@@ -111,3 +111,39 @@ def redirects(rules: DataFrame) -> DataFrame:
 def slots(day: Column, n: int) -> Column:
     """WIN-10: evenly spaced times of a day."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + F.floor(k * F.lit(86_400 / n))))
+
+
+def resolve_country(queries: DataFrame, countries: DataFrame) -> DataFrame:
+    """TXT-28: (query, code): a code, else a name, else the only name that the query begins; null if none or several. countries (code, name) is a dimension."""
+    q = queries.select("query", F.lower(F.trim("query")).alias("q"))
+    c = F.broadcast(countries.select("code", F.lower("code").alias("lc"), F.lower("name").alias("ln")))
+    j = q.join(c, (F.col("q") == F.col("lc")) | (F.col("q") == F.col("ln")) | ((F.col("q") != "") & F.col("ln").startswith(F.col("q"))), "left")
+    by_code, by_name = F.max(F.when(F.col("q") == F.col("lc"), F.col("code"))), F.max(F.when(F.col("q") == F.col("ln"), F.col("code")))
+    only = F.when(F.count_distinct("code") == 1, F.max("code"))
+    return j.groupBy("query").agg(F.coalesce(by_code, by_name, only).alias("code"))
+
+
+def sample_targets(sources: DataFrame) -> DataFrame:
+    """MSC-01: (id, target): the chat id of an invite link, else the handle, else the chat id; sources without any go."""
+    from tidemill.functions.text import url_handle
+
+    invite = F.coalesce(F.col("url").rlike(r"(?:/\+|joinchat/)"), F.lit(False))
+    chat = F.col("chat_id").cast("string")
+    return sources.select("id", F.when(invite, chat).otherwise(F.coalesce(url_handle(F.col("url")), chat)).alias("target")).where("target is not null")
+
+
+def mature(items: DataFrame, done: DataFrame, dead: DataFrame) -> DataFrame:
+    """AGG-20: (geo, left, mature): items (geo, id) neither done (id) nor dead (id); geos with none left are mature."""
+    live = items.join(done.select("id").unionByName(dead.select("id")).distinct().withColumn("__d", F.lit(1)), "id", "left")
+    return live.groupBy("geo").agg(F.count_if(F.col("__d").isNull()).alias("left")).withColumn("mature", F.col("left") == 0)
+
+
+def skeleton(rows: DataFrame, categories: DataFrame, size: int, least: int = 4, coherent: float = 0.55) -> DataFrame:
+    """PG-07: (category, n, coherence, hash, open): rows (id, v, h) by nearest category; a page opens with enough rows that lie close together."""
+    from tidemill.functions.values import topic_hash
+    from tidemill.operators.clusters import assign, coherence
+
+    placed = rows.join(assign(rows, categories).select("id", "category"), "id")
+    sums = coherence(placed, "category", size).select("category", "coherence")
+    pages = placed.groupBy("category").agg(F.count("*").alias("n"), topic_hash(F.col("h")).alias("hash"))
+    return pages.join(sums, "category").withColumn("open", (F.col("n") >= least) & (F.col("coherence") >= coherent))

@@ -92,3 +92,50 @@ def jon11(spark, sf_dir):
     new = d.groupBy(F.concat(F.lit("n"), "source").alias("key"), F.col("source").alias("src")).agg(F.collect_list("doc_id").alias("ids"))
     old = d.where("doc_id % 2 = 0").groupBy(F.concat(F.lit("o"), "source").alias("key"), F.when(F.crc32(F.col("source").cast("binary")) % 2 == 0, F.col("source")).otherwise(F.lit("other")).alias("src")).agg(F.collect_list("doc_id").alias("ids"))
     return k.bind_nodes(new, old.select("key", "src", "ids"))
+
+
+@query("txt28_resolve_country", "with q as (select distinct n_name as query from nation union select 'nation_2' union select 'ASIA' union select '3'), c as (select n_nationkey::varchar as code, n_name as name from nation) select query, coalesce(max(code) filter (where lower(query) = lower(code)), max(code) filter (where lower(query) = lower(name)), case when count(distinct code) = 1 then max(code) end) as code from q left join c on lower(query) = lower(code) or lower(query) = lower(name) or starts_with(lower(name), lower(query)) group by 1")
+def txt28(spark, sf_dir):
+    c = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
+    q = c.select(F.col("name").alias("query")).unionByName(spark.createDataFrame([("nation_2",), ("ASIA",), ("3",)], "query string")).distinct()
+    return p.resolve_country(q, c)
+
+
+@query("agg20_mature_geos", "select source as geo, count(*) filter (where l.doc_id is null and d.doc_id % 5 <> 0) as left, count(*) filter (where l.doc_id is null and d.doc_id % 5 <> 0) = 0 as mature from documents d left join labels l using (doc_id) group by 1".replace(" as left,", ' as "left",'))
+def agg20(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("geo"), F.col("doc_id").alias("id"))
+    return p.mature(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), d.where("id % 5 = 0"))
+
+
+@query("pg10_bad_geos", "with r as (select regexp_extract(html, 'lang=\"([a-z]+)\"', 1) as geo, regexp_matches(html, 'Ã|â€|�') or not contains(html, '<h1') as bad from pages) select geo, bool_or(bad) as bad, count(*) as n from r group by 1")
+def pg10(spark, sf_dir):
+    pg = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("geo"), (F.col("html").rlike("Ã|â€|�") | ~F.col("html").contains("<h1")).alias("bad"))
+    return pg.groupBy("geo").agg(F.bool_or("bad").alias("bad"), F.count("*").alias("n"))
+
+
+@query("pg07_skeleton")
+def pg07(spark, sf_dir):
+    from .adapters import units
+
+    u = units(spark, sf_dir).withColumn("h", F.col("id").cast("string"))
+    cats = c.centroids(u, "label", 64).select(F.col("label").alias("category"), F.col("centroid").alias("c"))
+    return p.skeleton(u, cats, 64, coherent=0.2).select("category", "n", "hash", F.round("coherence", 6).alias("coherence"), "open")
+
+
+@query("ext02_embed_long")
+def ext02(spark, sf_dir):
+    from tidemill.functions.vectors import norm
+    from tidemill.operators.external import HashEmbedder, embed_long
+
+    got = embed_long(table(spark, sf_dir, "documents"), "doc_id", "text", HashEmbedder(32), 32)
+    return got.select("id", "pieces", F.round(norm(F.col("v")), 6).alias("norm"))
+
+
+@query("fn15_stitched_labels", "select doc_id, case when doc_id % 4 = 3 then 'other' else case doc_id % 3 when 0 then 'a' when 1 then 'b' else 'other' end end as label from documents")
+def fn15(spark, sf_dir):
+    from tidemill.operators.external import stitched
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 4).alias("batch"), (F.col("doc_id") % 4).alias("place"))
+    label = F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b").otherwise("unknown")
+    answers = d.withColumn("l", label).where("place < 3").groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "l"))), lambda r: r["l"]).alias("labels"))
+    return stitched(d, "batch", answers, ["a", "b"], "other").select("doc_id", "label")
