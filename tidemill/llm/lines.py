@@ -5,33 +5,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, materialize, sized
 
-#: Rows up to which a list of line keys (16 bytes each) is broadcast; beyond it, it is shuffled.
-BROADCAST_ROWS = 500_000
 
-
-def _keys(value: Column, salt: int) -> Column:
+def _key(value: Column) -> Column:
     """128 hashed bits of value."""
-    return F.struct(F.xxhash64(value, F.lit(salt)).alias("a"), F.xxhash64(F.lit(salt + 1), value).alias("b"))
+    return F.struct(F.xxhash64(value, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), value).alias("b"))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """df, marked for broadcasting if its counted rows permit."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def line_words(line: Column) -> Column:
+    """Words of a line, lower-cased, between blanks, tabs and carriage returns."""
+    spaced = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """doc_id, line_no, words of each line that has min_words or more."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")), " ")
-    return lines.select("doc_id", "line_no", words.alias("words")).where(F.size("words") >= min_words)
+    return lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+
+
+def lines_at(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The words of wanted lines (doc_id, line_no, key, place): key, place, words; other documents are not split."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key", "place")).alias("at"))
+    per_doc = sized(materialize(per_doc.withColumnRenamed("doc_id", "__at_doc")))
+    split = F.split(F.col(text_col), "\n")
+    found = docs.join(per_doc, docs[id_col].eqNullSafe(F.col("__at_doc"))).select(split.alias("parts"), F.explode("at").alias("at"))
+    found = found.select("at.key", "at.place", line_words(F.get("parts", F.col("at.line_no"))).alias("words"))
+    # Rows that share an id may differ in text: the line's own hash decides.
+    return found.where(_key(F.col("words")) == F.col("key")).dropDuplicates(["key"])
+
+
+def _word_hashes(words: Column, shift: int) -> Column:
+    """Hashes of word and place, the place moved by shift."""
+    return F.transform(words, lambda w, j: F.xxhash64(w, j + shift))
+
+
+def _variants(here: Column, before: Column) -> Column:
+    """(cut, v) of a line: hashed keys of the line itself (cut -1) and of it less each of its words.
+
+    A list of words is keyed by the exclusive or of the hashes of word and place. So
+    the key without a word is made of the running exclusive or of the words
+    ahead of it, and of that of the words behind it, each a place earlier.
+    here and before are the hashes at each word's own place and the one before.
+    """
+    none = F.array(F.lit(0).cast("long"))
+    running = lambda xs: F.aggregate(xs, none, lambda acc, x: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(x)))
+    ahead, behind = running(here), F.reverse(running(F.reverse(before)))
+    cuts = F.zip_with(ahead, F.array_append(F.slice(behind, F.lit(2), F.size(before)), F.lit(0).cast("long")), lambda p, q: p.bitwiseXOR(q))
+    # The last entry has all words ahead and none behind: the line itself.
+    return F.transform(cuts, lambda v, j: F.struct(F.when(j == F.size(here), F.lit(-1)).otherwise(j).alias("cut"), v.alias("v")))
+
+
+def _places(numbered: DataFrame) -> Column:
+    """Order of lines by doc_id (null last) and line_no, as one number that a hash aggregate can take the minimum of.
+
+    A long where the table's ids and line numbers fit one, else a decimal.
+    """
+    low, high, lines = numbered.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first()
+    bits = (lines or 0).bit_length()
+    if low is None or (low >= 0 and int(high) < 1 << (62 - bits)):
+        last = F.lit(1 << 62).cast("long")
+        return F.coalesce(F.shiftleft(F.col("doc_id").cast("long"), bits), last) + F.col("line_no")
+    order = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    return (order * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
+
 
+def _without_part(words: Column, n: Column, parts: int) -> Column:
+    """Hashed keys of a line less one of so many equal parts, for lines as long or a word longer.
+
+    If two lines differ by one word, it lies in one part of the longer, counted
+    from the start before it and from the end behind it; what is left of both is equal.
+    """
+    keys = []
+    for longer in (n, n + 1):
+        for k in range(parts):
+            head = F.floor(longer * k / parts).cast("int")
+            tail = longer - F.floor(longer * (k + 1) / parts).cast("int")
+            keys.append(F.xxhash64(F.slice(words, F.lit(1), head), F.lit(k), F.slice(words, n - tail + 1, tail)))
+    return F.array_distinct(F.array(*keys))
 
-def _place(doc_id: Column, line_no: Column) -> Column:
-    """Order of lines as one number, so that a hash aggregate can take its minimum; null ids come last."""
-    order = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
-    return (order * F.lit(2**31).cast("decimal(12,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
+
+def _sharing(keyed: DataFrame) -> DataFrame:
+    """Lines `a` of keyed (a, keys) that have a key in common with another line.
+
+    A key of two members is settled by its smallest and largest; only
+    keys of more are looked up again.
+    """
+    each = keyed.select("a", F.explode("keys").alias("k"))
+    groups = materialize(each.groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
+    ends = groups.select(F.explode(F.array("lo", "hi")).alias("a"))
+    more = each.join(sized(groups.where("n > 2").select("k")), "k", "left_semi").select("a")
+    return ends.unionByName(more).distinct()
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -53,60 +118,47 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     within the bound, whether or not that one is kept itself. Lines under min_words stay.
 
     1. Equal lines meet by their hash; the earliest is kept.
-    2. Two lines within one word share their first or their last half. Half
-       keys that only one line has are dropped: most lines end here.
+    2. Lines within one word share their first or their last half, and then three of
+       their quarters. Lines that share no such key with another are out: most.
     3. The others emit all their variants, the line itself and each deletion of one
        word, as hashed keys. Members of one variant that lack the same word
-       are within the bound of each other, and so is a line of any that equals the variant. So the
-       earliest partner is a minimum by key: no pairs arise, however common a variant is.
+       are within the bound of each other, and so is a line that equals the variant
+       of any. So the earliest partner is a minimum by key: no pairs arise,
+       however common a variant is.
     4. The words of line and partner are compared.
     """
     lines = line_table(docs, id_col, text_col, min_words)
     n, w = F.size("words"), F.col("words")
-    half, half_up = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
-    sides = [(size, longer, part) for longer, size in ((n, half), (n + 1, half_up)) for part in (F.slice(w, F.lit(1), size), F.slice(w, n - size + 1, size))]
-    halves = F.array(*[F.xxhash64(part, longer, F.lit(k % 2)) for k, (size, longer, part) in enumerate(sides)])
-    hashed = materialize(
-        lines.select("doc_id", "line_no", _keys(w, 1).alias("key"), F.when(n >= fuzzy_min_words, halves).alias("halves")).withColumn("place", _place(F.col("doc_id"), F.col("line_no")))
-    )
-    # Of equal lines the halves are equal, so the earliest of each is found without them.
-    first = hashed.groupBy("key").agg(F.min("place").alias("first"))
-    exact = hashed.join(first, "key").where(F.col("place") > F.col("first")).select("doc_id", "line_no")
-    fuzzy = hashed.where(F.col("halves").isNotNull())
-
-    by_half = fuzzy.select(F.explode("halves").alias("half"), F.col("key.a").alias("a"))
-    shared = by_half.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("half")
-    shared = materialize(shared)
-    candidates = (
-        fuzzy.select("key", F.explode("halves").alias("half")).join(_sized(shared), "half", "left_semi").select("key").distinct()
-        .join(first, "key").select("key", "first")
-    )
-    candidates = materialize(candidates)
-    texts = materialize(
-        lines.where(n >= fuzzy_min_words).withColumn("place", _place(F.col("doc_id"), F.col("line_no"))).withColumn("key", _keys(w, 1))
-        .join(_sized(candidates.select("key", F.col("first").alias("place"))), ["key", "place"], "left_semi").select("key", "place", "words")
-        .dropDuplicates(["key"])
-    )
-    deletions = F.transform(
-        F.sequence(F.lit(-1), n - 1),
-        lambda i: F.struct(i.alias("cut"), _keys(F.when(i < 0, w).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(i, F.lit(0))), F.slice(w, i + 2, n))), 3).alias("v")),
-    )
-    variants = texts.select("key", "place", F.explode(deletions).alias("d")).select("key", "place", "d.cut", F.col("d.v").alias("v"))
+    halves = F.when(n >= fuzzy_min_words, _without_part(w, n, 2))
+    numbered = materialize(lines.select("doc_id", "line_no", _key(w).alias("key"), halves.alias("keys")))
+    place = _places(numbered)
+    hashed = numbered.withColumn("place", place)
+    first = hashed.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
+    repeated = materialize(first.where("copies > 1").select("key", "first"))
+    exact = hashed.join(sized(repeated), "key").where(F.col("place") > F.col("first")).select("doc_id", "line_no")
+
+    fuzzy = hashed.where(F.col("keys").isNotNull())
+    halved = materialize(_sharing(fuzzy.select("key.a", "keys")))
+    candidates = fuzzy.withColumn("a", F.col("key.a")).join(sized(halved), "a", "left_semi")
+    candidates = candidates.groupBy("key").agg(F.min_by(F.struct("doc_id", "line_no", "place"), "place").alias("at")).select("key", "at.*")
+    texts = materialize(lines_at(docs, candidates, id_col, text_col))
+    quartered = materialize(_sharing(texts.select("key.a", _without_part(w, n, 4).alias("keys"))))
+    texts = texts.withColumn("a", F.col("key.a")).join(sized(quartered), "a", "left_semi").drop("a")
+    texts = materialize(texts.withColumn("here", _word_hashes(w, 0)).withColumn("before", _word_hashes(w, -1)))
+
+    variants = texts.select("place", F.explode(_variants(F.col("here"), F.col("before"))).alias("d")).select("place", "d.cut", "d.v")
+    variants = materialize(variants)
     by_cut = variants.groupBy("v", "cut").agg(F.min("place").alias("first"), F.count("*").alias("members"))
     by_variant = by_cut.groupBy("v").agg(
         F.min(F.when(F.col("cut") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("cut") >= 0, F.col("first"))).alias("cut_first"), F.sum("members").alias("all_members")
     ).where("all_members > 1")
     partners = by_cut.join(by_variant, "v").select("v", "cut", F.when(F.col("cut") < 0, F.col("cut_first")).otherwise(F.least("first", "whole")).alias("partner"))
-    found = (
-        variants.join(partners.where("partner is not null"), ["v", "cut"]).where(F.col("partner") < F.col("place"))
-        .groupBy("key", "place").agg(F.min("partner").alias("partner"))
-    )
+    partners = materialize(partners.where("partner is not null"))
+    found = variants.join(sized(partners), ["v", "cut"]).where(F.col("partner") < F.col("place")).groupBy("place").agg(F.min("partner").alias("partner"))
     words_of = texts.select(F.col("place").alias("at"), F.col("words").alias("of"))
-    verified = (
-        found.join(texts.select("key", "words"), "key").join(words_of, F.col("partner") == F.col("at")).where(within_one_word(F.col("words"), F.col("of"))).select("key")
-    )
-    near = fuzzy.join(verified, "key").join(first, "key").where(F.col("place") == F.col("first")).select("doc_id", "line_no")
-    return exact.unionByName(near)
+    verified = found.join(texts.select("key", "place", "words"), "place").join(words_of, F.col("partner") == F.col("at")).where(within_one_word(F.col("words"), F.col("of"))).select("key", "place")
+    near = fuzzy.join(sized(materialize(verified)), ["key", "place"], "left_semi").select("doc_id", "line_no")
+    return exact.unionByName(near).distinct()
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, **options) -> DataFrame:
@@ -120,7 +172,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     removed = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options)
     # One array per document, no longer than the document's own list of lines.
-    removed = removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("__removed")).withColumnRenamed("doc_id", "__line_doc")
+    removed = materialize(removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("__removed")).withColumnRenamed("doc_id", "__line_doc"))
+    docs_hit, lines_hit = removed.agg(F.count("*"), F.sum(F.size("__removed"))).first()
+    if docs_hit + (lines_hit or 0) <= 2 * BROADCAST_ROWS:
+        removed = F.broadcast(removed)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.join(removed, docs[id_col].eqNullSafe(removed["__line_doc"]), "left")
     split = F.split(F.col(text_col), "\n")

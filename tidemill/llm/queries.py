@@ -112,7 +112,7 @@ select conv_id, n_turns, sha256(spoken) as turns_sha256, length(trained)::bigint
 with split as (
   select doc_id, text, case when text is null then [] else string_split(text, chr(10)) end as parts from documents
 ), each as (
-  select doc_id, i - 1 as line_no, parts[i] as line, string_split(trim(regexp_replace(lower(parts[i]), '\s+', ' ', 'g')), ' ') as words
+  select doc_id, i - 1 as line_no, parts[i] as line, list_filter(string_split(regexp_replace(lower(parts[i]), '[\t\r]', ' ', 'g'), ' '), lambda x: x <> '') as words
   from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from split)
 ), placed as (
   select *, len(words) as n, row_number() over (order by doc_id, line_no) as place from each where len(words) >= 4
