@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, sized
 
 #: Rows of a bucket beyond which it is scattered further.
 MAX_BUCKET_ROWS = 200_000
@@ -32,6 +32,7 @@ def external_shuffle(df: DataFrame, *, id_col: str, size_col: str, seed: int = 1
     heavy = heavy.where((F.col("s") > 4 * bucket_bytes) | (F.col("c") > MAX_BUCKET_ROWS)).select(
         F.col("b").alias("__bucket"), F.ceil(F.greatest(F.col("s") / bucket_bytes, F.col("c") * 4 / MAX_BUCKET_ROWS)).cast("long").alias("__parts")
     )
+    heavy = sized(materialize(heavy))
     names = [c for c in df.columns if c not in ("bucket", "place", "__order")]
     # A row's number in its scan tells apart rows that share an id; it spreads those of a heavy bucket only.
     rows = df.select(*names, F.pmod(key, F.lit(n)).alias("__bucket"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("__row"))
@@ -60,13 +61,14 @@ def shard_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     place, shard or slot are replaced). Null ids are rows like any other, as are
     null texts; equal rows are each placed. An empty table gives none.
     """
-    sized = df.withColumn("__size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8)
-    shuffled = external_shuffle(sized, id_col=id_col, size_col="__size", seed=seed, bucket_bytes=bucket_bytes)
+    rows = df.withColumn("__size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8)
+    shuffled = external_shuffle(rows, id_col=id_col, size_col="__size", seed=seed, bucket_bytes=bucket_bytes)
     # One row per bucket: the number of rows in those before it.
     before = shuffled.groupBy("bucket").agg(F.count("*").alias("rows")).withColumn("before", F.sum("rows").over(Window.orderBy("bucket")) - F.col("rows"))
+    before = sized(materialize(before.select("bucket", "before")))
     at = F.col("before") + F.col("place")
     return (
-        shuffled.join(before.select("bucket", "before"), "bucket")
+        shuffled.join(before, "bucket")
         .withColumn("shard", F.pmod(at, F.lit(shards)).cast("int"))
         .withColumn("slot", F.floor(at / F.lit(shards)).cast("long"))
         .select(*[c for c in df.columns if c not in ("bucket", "place", "shard", "slot")], "shard", "slot")
