@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import golay
-from .common import materialize
+from .common import materialize, sized
 from .graph import connected_components
 
 SEED = 42
@@ -225,12 +225,12 @@ def fingerprint_links(reps: DataFrame, kind: Fingerprint) -> DataFrame:
         return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
 
     keyed = materialize(reps.select("rep", "fp").mapInArrow(spread, schema))
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    few = keyed.join(sizes.where(F.col("count") <= PAIR_GROUP).select("key"), "key", "left_semi")
+    many = materialize(keyed.groupBy("key").count().where(F.col("count") > PAIR_GROUP).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")))
+    many = sized(many)
+    few = keyed.join(many, "key", "left_anti")
     a, b = few.alias("a"), few.alias("b")
     near = distance(F.col("a.w"), F.col("b.w"), width) <= kind.max_bits
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    many = sizes.where(F.col("count") > PAIR_GROUP).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     dealt = keyed.join(many, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "rep", "w", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "rep", "w")
