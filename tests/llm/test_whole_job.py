@@ -1,8 +1,9 @@
 """Operators against brute force where a part of the job is easily left out."""
 
 import numpy as np
+import pytest
 
-from tidemill.llm import simhash
+from tidemill.llm import packing, simhash, tokens
 
 
 def grams(text):
@@ -43,3 +44,17 @@ def test_near_duplicates_by_exact_similarity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, kind=simhash.SIMILAR).collect()}
     assert got == {k: find(k) for k in range(len(texts))}
+
+
+def test_encoding_as_the_json_by_default():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("end<|endoftext|>next", "<|endoftext|>", " a  <|endoftext|>  b ", "x<|endoftext|><|endoftext|>\n\n<|endoftext", "<|endof<|endoftext|>text|>", "don't\t日本語 😀<|endoftext|>\r\nÉté"):
+        assert tokens.encode(t) == other.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_of_added_tokens(spark):
+    df = spark.createDataFrame([(1, "end<|endoftext|>next")], "doc_id long, text string")
+    assert packing.pack_documents(df).first()["ids"] == [437, 50256, 19545, 2]

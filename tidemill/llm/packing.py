@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .tokens import encoder
+from .tokens import encode
 
 #: Rows of one length that are numbered together in one task.
 RANK_ROWS = 20_000
@@ -30,11 +30,10 @@ def token_pieces(docs: DataFrame, *, id_col: str, text_col: str, capacity: int,
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.array([*encode(text.as_py() or "", vocabulary), end_id], dtype="<u4")
                 first = len(ids) % capacity or min(capacity, len(ids))
                 for n, lo in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[lo : first if n == 0 else lo + capacity]
