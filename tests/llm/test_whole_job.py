@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidemill.llm import packing, simhash, tokens
+from tidemill.llm import packing, simhash, tokens, toxicity
 
 
 def grams(text):
@@ -58,3 +58,12 @@ def test_encoding_as_the_json_by_default():
 def test_packing_of_added_tokens(spark):
     df = spark.createDataFrame([(1, "end<|endoftext|>next")], "doc_id long, text string")
     assert packing.pack_documents(df).first()["ids"] == [437, 50256, 19545, 2]
+
+
+def test_capitals_of_the_whole_text():
+    voter = toxicity.Voters({})
+    at = voter.NAMES.index("capitals")
+    quiet, loud = "some plain words here " * 300, "YOU WORTHLESS IDIOT AND MORON " * 1000
+    assert voter(quiet + loud)[0][at] == 1  # shouted beyond the first 4,096 characters
+    assert voter(loud[:6000] + quiet * 10)[0][at] == 0  # a shouted head of a quiet text
+    assert voter("1234 5678 " * 20 + "IDIOT")[0][at] == 1  # digits are no letters

@@ -63,6 +63,11 @@ def disguised(text: str) -> str:
     return letters(" ".join(w.replace("*", "") for w in found)) if found else ""
 
 
+def shouted(text: str) -> bool:
+    """Whether over 0.6 of all letters of a text are upper-case."""
+    return sum(map(str.isupper, text)) > 0.6 * sum(map(str.isalpha, text))
+
+
 def evidence(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
     """Log-likelihood ratio of a term's counts among toxic and other documents."""
     n, total = pos + neg, n_pos + n_neg
@@ -131,7 +136,6 @@ class Voters:
         families = {f for f, _, _ in hits}
         words = max(1, spaced.count(" ") - 1)
         per_hundred = 100 * len(hits) / words
-        upper = sum(map(str.isupper, text[:4096]))
         votes = np.zeros(len(self.NAMES), np.int8)
         for _, lexicon, _ in hits:
             if lexicon >= 0:
@@ -140,7 +144,7 @@ class Voters:
         votes[LEXICONS + 1] = 1 if len(families) > 1 else 0 if families else -1
         votes[LEXICONS + 2] = 1 if per_hundred >= 0.5 else 0 if hits else -1
         votes[LEXICONS + 3] = bool(hidden)
-        votes[LEXICONS + 4] = bool(hits) and upper > 0.6 * min(len(text), 4096)
+        votes[LEXICONS + 4] = bool(hits) and shouted(text)
         votes[LEXICONS + 5] = bool(hits) and "!!" in text
         learned = [lexicon for _, lexicon, _ in hits if lexicon >= 0]
         features = np.array([*(votes > 0), 1.0 if hits else 0.0, 1.0 if learned else 0.0, math.log1p(len(families)), math.log1p(len(hits)), math.log1p(per_hundred), math.log1p(len(hidden)), 1.0])
