@@ -109,24 +109,26 @@ def test_lines_rewrite_and_edges(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
-def test_encoder_agrees_with_json_vocabulary():
+def json_tokenizer():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    from tidemill.llm.tokens import encoder
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
 
-    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
+def test_encoder_agrees_with_json_vocabulary():
+    from tidemill.llm.tokens import encode
+
+    other = json_tokenizer()
     rng = np.random.default_rng(1)
-    texts = ["", "  two  blanks\n\n\tend ", "don't we'll I'd", "日本語 텍스트 😀👍🏽", "<|endoftext|> x", "a" * 500, "1234567 3.14 €", "Été à la plage !", "​﻿ zero"]
+    texts = ["", "  two  blanks\n\n\tend ", "don't we'll I'd", "日本語 텍스트 😀👍🏽", "<|endoftext|> x", "end<|endoftext|>next", "a" * 500, "1234567 3.14 €", "Été à la plage !", "​﻿ zero"]
     texts += ["".join(chr(c) for c in rng.integers(32, 0x2FFF, 200)) for _ in range(20)]
     for t in texts:
-        assert encoder().encode_ordinary(t) == other.encode(t, add_special_tokens=False).ids
+        assert encode(t) == other.encode(t, add_special_tokens=False).ids
 
 
 def check_packing(rows, texts, capacity=1024):
-    from tidemill.llm.tokens import encoder
-
+    other = json_tokenizer()
     by_bin, by_doc = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_bin[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -138,7 +140,7 @@ def check_packing(rows, texts, capacity=1024):
             at += n
         assert at <= capacity
     for i, t in texts.items():
-        ids = np.array([*encoder().encode_ordinary(t or ""), 2], "<u4")
+        ids = np.array([*other.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         pieces = sorted(by_doc[i], key=lambda r: r["piece"])
         assert [p["start"] for p in pieces] == list(np.cumsum([0, *(p["length"] for p in pieces)])[:-1]) and sum(p["length"] for p in pieces) == len(ids)
         assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces)
@@ -148,7 +150,7 @@ def check_packing(rows, texts, capacity=1024):
 
 def test_packing(spark):
     rng = np.random.default_rng(2)
-    texts = {i: " ".join(rng.choice(["word", "other", "thing", "x1"], size=int(n))) for i, n in enumerate(rng.lognormal(4.5, 1.2, 300))} | {1000: None, 1001: "", 1002: "y " * 5000}
+    texts = {i: " ".join(rng.choice(["word", "other", "thing", "x1"], size=int(n))) for i, n in enumerate(rng.lognormal(4.5, 1.2, 300))} | {1000: None, 1001: "", 1002: "y " * 5000, 1003: "one<|endoftext|>two " * 40}
     rows = packing.pack_documents(docs(spark, [(i, t, "s") for i, t in texts.items()])).collect()
     bins = check_packing(rows, texts)
     assert bins == -(-sum(r["length"] for r in rows) // 1024)  # the least possible here
@@ -226,6 +228,29 @@ def test_mixing(spark):
     assert {r["copies"] for r in mixing.mix_sources(docs(spark, [(1, None, "a"), (2, "", "b")])).collect()} == {0}
 
 
+def test_mixing_splits_rows_that_share_an_id(spark):
+    rows = [(k, f"w{k} b c", "a") for k in range(3000)] + [(10_000 + k, f"w{k} b c", "b") for k in range(3000)]
+    for name, twin in (("nulls", [(None, f"w{k} b c", "c") for k in range(3000)]), ("one id", [(7, f"w{k} b c", "c") for k in range(3000)]), ("one row", [(7, "x y z", "c")] * 3000)):
+        for got in (mixing.mix_sources(docs(spark, rows + twin)).collect(), mixing.mix_sources(docs(spark, (rows + twin)[::-1])).collect()):
+            taken, target = collections.Counter(), {}
+            for r in got:
+                taken[r["source"]] += r["copies"] * r["size"]
+                target[r["source"]] = r["target"]
+            assert len(got) == 9000 and all(abs(taken[s] - target[s]) <= 3 for s in target), name
+        repeated = mixing.repeat_documents(docs(spark, rows + twin)).groupBy("source").agg((3 * F.count("*")).alias("n")).collect()
+        assert {r["source"]: r["n"] for r in repeated} == dict(taken), name
+
+
+def test_mixing_beyond_the_broadcast(spark, monkeypatch):
+    from tidemill.llm import common
+
+    rows = [(k % 50, f"w{k % 7} b c", f"s{k % 5}" if k % 5 else None) for k in range(900)]
+    row = lambda r: tuple(map(repr, r))
+    here = sorted(map(row, mixing.mix_sources(docs(spark, rows)).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(row, mixing.mix_sources(docs(spark, rows)).collect())) == here
+
+
 DOCS_COLUMNS = [c.split()[0] for c in DOCS.split(", ")]
 
 

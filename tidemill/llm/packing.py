@@ -15,7 +15,7 @@ from .common import materialize
 from .tokens import encode
 
 #: Rows of one length that are numbered together in one task.
-RANK_ROWS = 20_000
+RANK_ROWS = 2_000
 
 
 def token_pieces(docs: DataFrame, *, id_col: str, text_col: str, capacity: int, end_id: int, vocabulary: str | None, keep_ids: bool) -> DataFrame:
@@ -132,25 +132,28 @@ def pack_documents(
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with
     keep_ids, the ids themselves. Only the histogram of lengths (at most capacity
     rows) reaches the driver, which plans the bins on it; pieces then find their
-    place by their rank among those of equal length. Ranks are numbered in hashed
-    chunks of a length, so that no task holds a common length whole.
+    place by their rank among those of equal length. Ranks are numbered in salted
+    chunks of a length, as many as its count asks for, so that no task holds a common length whole.
 
     Null text is empty: end_id alone. An empty table gives no rows. Rows of equal
     id are packed each for itself; which of identical pieces takes which place is open. Other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, vocabulary=vocabulary, keep_ids=keep_ids))
+    cut = token_pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, vocabulary=vocabulary, keep_ids=keep_ids)
+    # A piece's number in its scan spreads those that share a document id.
+    pieces = materialize(cut.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id())))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = spark.createDataFrame(slots(plan_bins(counts, capacity)), "p_length long, first_rank long, ranks long, first_bin long, offset long")
-    chunks = max(1, -(-max(counts.values(), default=0) // RANK_ROWS))
-    keyed = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
+    # At most `capacity` lengths, each with its own number of chunks.
+    chunks = spark.createDataFrame([(n, -(-c // RANK_ROWS)) for n, c in counts.items()], "c_length long, chunks long")
+    keyed = pieces.join(F.broadcast(chunks), F.col("length") == F.col("c_length")).withColumn("chunk", F.pmod("__salt", F.col("chunks"))).drop("c_length", "chunks")
     before = (
         keyed.groupBy("length", "chunk").count()
         .withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("chunk")) - F.col("count"))
         .select(F.col("length").alias("b_length"), F.col("chunk").alias("b_chunk"), "before")
     )
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece")) - 1)
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "chunk").orderBy("__salt")) - 1)
     ranked = ranked.join(before, (F.col("length") == F.col("b_length")) & (F.col("chunk") == F.col("b_chunk"))).withColumn("rank", F.col("rank") + F.col("before"))
     inside = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks"))
     # places has a row for each planned step and length, which the histogram bounds.
-    return ranked.join(F.broadcast(places), inside).select(*pieces.columns, (F.col("first_bin") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    return ranked.join(F.broadcast(places), inside).select(*[c for c in pieces.columns if c != "__salt"], (F.col("first_bin") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")

@@ -139,7 +139,7 @@ from split s left join kept k on s.doc_id = k.doc_id
     "op10_mixing": r"""
 with recursive sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as h from documents
+    ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as h from documents
 ), weighed as (
   select source, sum(size)::bigint as source_size, 2.0::double * sum(size) as cap, ([5.0, 2.0, 1.0])[1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight
   from sized group by source

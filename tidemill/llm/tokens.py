@@ -23,7 +23,7 @@ def encoder(path: str | None = None):
     """The encoder for a rank file, kept for the life of the Python worker.
 
     It gives the same ids as the JSON form of the same vocabulary, about five
-    times as fast; tests/llm/test_whole_job.py holds the two against each other.
+    times as fast; tests/llm/test_text_ops.py holds the two against each other.
     """
     import tiktoken
 
