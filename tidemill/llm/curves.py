@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from . import vectors
 from .common import materialize
 
-#: Rows in a block, the unit in which windows are measured; and blocks that a task reads together.
-BLOCK = 256
-TILE = 16
+#: Rows in a block, the unit in which windows are measured; blocks that a task reads together; and queries that meet them at a time.
+BLOCK = 64
+TILE = 64
+ASKED = 4096
 #: Vectors that the width of the windows is calibrated on, and the share of their neighbours that windows must hold.
 CALIBRATE = 64
 HELD = 0.95
-#: Tables up to this many rows are searched whole: their windows span every block.
-SMALL = 4096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,15 +72,19 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(1))
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the k rows of x nearest to q, but own; ties to the smaller id."""
+def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, rough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k rows of x nearest to q, but own; ties to the smaller id.
+
+    rough holds squared distances that rounding may have changed a little: they pick the rows
+    that are measured exactly.
+    """
+    if rough is not None and len(rough) > 4 * k:
+        slack = 1e-9 * (1 + float(q @ q) + float(np.abs(rough[np.isfinite(rough)]).max(initial=0)))
+        near = np.flatnonzero(rough <= np.partition(rough, k)[k] + slack)
+        x, ids = x[near], ids[near]
     far = distances(x, q)
     far[ids == own] = np.inf
-    if len(far) > 4 * k:  # all that tie with the k-th stay for the exact order
-        near = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1])
-    else:
-        near = np.arange(len(far))
-    best = near[np.lexsort((ids[near], far[near]))][:k]
+    best = np.lexsort((ids, far))[:k]
     best = best[np.isfinite(far[best])]
     return ids[best], far[best]
 
@@ -106,13 +109,14 @@ def search(
        sample of CALIBRATE vectors the true neighbours are found by one pass over
        all rows; the window is the number of blocks to either side within which some
        curve holds HELD of them. So the width follows the data: narrow where vectors cluster, wide where they have no structure.
-    3. A query goes to the blocks within its windows on all curves; each task reranks by exact
-       distance in double precision, and the windows' best merge.
+    3. Queries go to the tiles (runs of TILE blocks) within their windows on all curves, in bundles of some
+       ASKED neighbours; a tile's vectors move once for each bundle that reaches it. Each task reranks by
+       exact distance in double precision, and the windows' best merge.
 
     Rows take no part whose vector is null, zero or holds null or non-finite components.
     Of equal vectors only the k + 1 of smallest id can be among anyone's nearest, so no more are
     searched; all are asked for. Ids are unique integers, vectors of one length.
-    A table of up to SMALL rows is searched exhaustively. An empty one gives none. Other columns are ignored.
+    Rows with a null id neither ask nor are found. An empty table gives none. Other columns are ignored.
     """
     spark = rows.sparkSession
     valid = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(vectors.usable(F.col("v")) & F.col("id").isNotNull())
@@ -120,7 +124,6 @@ def search(
     able = valid.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("id", "v", "asks", F.lit(True).alias("able"))
     only_asks = valid.where("asks").join(able.select("id"), "id", "left_anti").select("id", "v", "asks", F.lit(False).alias("able"))
     points = materialize(able.unionByName(only_asks))
-    total = points.count()
     id_type, v_type = points.schema["id"].dataType.simpleString(), points.schema["v"].dataType.simpleString()
     out = f"query_id {id_type}, vec_id {id_type}, score double"
     axes = vectors.basis(points, seed)
@@ -143,22 +146,25 @@ def search(
     parts = parts.withColumn("before", F.sum("blocks").over(Window.partitionBy("curve").orderBy("part")) - F.col("blocks")).select("curve", "part", "from", "before")
     blocks = blocks.join(parts, ["curve", "part"]).withColumn("at", (F.col("before") + F.col("number") - F.col("from")).cast("int"))
 
-    if total <= SMALL:
-        width = 1 << 30
-    else:
-        width = _window(blocks, points, sample[:CALIBRATE], k, curves, id_type)
+    width = _window(blocks, points, sample[:CALIBRATE], k, curves, id_type)
     last = blocks.groupBy("curve").agg(F.max("at").alias("last"))
+    # Queries before each block on its curve, by parts as above: they number the bundles.
+    each = blocks.select("curve", "part", "at", F.size(F.filter("asks", lambda a: a)).cast("long").alias("asking"))
+    earlier = each.groupBy("curve", "part").agg(F.sum("asking").alias("asking"))
+    earlier = earlier.select("curve", "part", (F.sum("asking").over(Window.partitionBy("curve").orderBy("part")) - F.col("asking")).alias("asked_before"))
+    within = F.sum("asking").over(Window.partitionBy("curve", "part").orderBy("at")) - F.col("asking")
+    bundles = each.withColumn("within", within).join(earlier, ["curve", "part"]).select("curve", "at", F.floor((F.col("asked_before") + F.col("within")) / ASKED).alias("bundle"))
+    tile_of = lambda at: F.floor(at / TILE).cast("int")
     asked = (
-        blocks.join(last, "curve")
-        .select("curve", "at", "last", F.explode(F.filter(F.arrays_zip("id", "v", "asks"), lambda x: x["asks"])).alias("q"))
-        .select("curve", "at", F.col("q.id").alias("q_id"), F.col("q.v").alias("q_v"), F.floor(F.col("at") / TILE).cast("int").alias("q_tile"),
-                F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("at") - width) / TILE).cast("int"), F.floor(F.least(F.col("last"), F.col("at").cast("long") + width) / TILE).cast("int"))).alias("tile"))
+        blocks.where(F.exists("asks", lambda a: a)).join(last, "curve").join(bundles, ["curve", "at"])
+        .select("curve", "at", "last", "bundle", F.explode(F.filter(F.arrays_zip("id", "v", "asks"), lambda x: x["asks"])).alias("q"))
+        .select("curve", "at", "bundle", F.col("q.id").alias("q_id"), F.col("q.v").alias("q_v"),
+                F.explode(F.sequence(tile_of(F.greatest(F.lit(0), F.col("at") - width)), tile_of(F.least(F.col("last"), F.col("at") + width)))).alias("tile"))
     )
-    # A task has the blocks of one tile and the queries of another, so neither side grows with the table.
-    reach = max(1, -(-width // TILE))
-    tiles = blocks.join(last, "curve").select(
-        "curve", "at", "id", "v", "able", F.floor(F.col("at") / TILE).cast("int").alias("tile"), F.floor(F.col("last") / TILE).cast("int").alias("top")
-    ).withColumn("q_tile", F.explode(F.sequence(F.greatest(F.lit(0), F.col("tile") - reach), F.least(F.col("top").cast("long"), F.col("tile").cast("long") + reach).cast("int")))).drop("top")
+    asked = materialize(asked)
+    # A task has the blocks of one tile and one bundle of queries, so neither side grows with the table.
+    reached = asked.select("curve", "tile", "bundle").distinct()
+    tiles = blocks.select("curve", "at", "id", "v", "able", tile_of(F.col("at")).alias("tile")).join(reached, ["curve", "tile"])
 
     def rerank(block: pa.Table, asks: pa.Table) -> pa.Table:
         q_ids, ids_out, far_out = [], [], []
@@ -168,18 +174,23 @@ def search(
             x = np.concatenate([vectors.matrix(v.values) for v in block["v"]])
             able = np.asarray(pa.concat_arrays([a.values for a in block["able"]]).to_numpy(zero_copy_only=False))
             at, ids, x = at[able], ids[able], x[able]
-            whole = pa.Table.from_arrays([asks["a_q_id"], asks["a_at"]], names=["q", "at"]).to_pydict()
-            for q, v, q_at in zip(whole["q"], vectors.matrix(asks["a_q_v"]), whole["at"], strict=True):
-                inside = np.abs(at - q_at) <= width
-                found, far = nearest(x[inside], ids[inside], v, q, k)
-                q_ids += [q] * len(found)
-                ids_out.append(found)
-                far_out.append(far)
+            names, places, asking = asks["a_q_id"].to_pylist(), np.asarray(asks["a_at"]), vectors.matrix(asks["a_q_v"])
+            length = (x * x).sum(1)
+            for lo in range(0, len(names) if len(x) else 0, 256):
+                some = slice(lo, lo + 256)
+                rough = length - 2 * (asking[some] @ x.T) + (asking[some] * asking[some]).sum(1)[:, None]
+                rough[np.abs(at - places[some, None]) > width] = np.inf
+                for q, v, about in zip(names[some], asking[some], rough, strict=True):
+                    inside = np.flatnonzero(np.isfinite(about))
+                    found, far = nearest(x[inside], ids[inside], v, q, k, about[inside])
+                    q_ids += [q] * len(found)
+                    ids_out.append(found)
+                    far_out.append(far)
         kind = asks["a_q_id"].type
         joined = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
         return pa.table({"query_id": pa.array(q_ids, kind), "vec_id": joined(ids_out, kind), "score": joined(far_out, pa.float64())})
 
-    key = ["curve", "tile", "q_tile"]
+    key = ["curve", "tile", "bundle"]
     asked = asked.select(*(F.col(c).alias(f"a_{c}") for c in key), *(F.col(c).alias(f"a_{c}") for c in ("at", "q_id", "q_v")))
     found = tiles.groupBy(*key).cogroup(asked.groupBy(*(f"a_{c}" for c in key))).applyInArrow(rerank, out)
     merged = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
@@ -195,7 +206,7 @@ def _window(blocks: DataFrame, points: DataFrame, sample: list, k: int, curves:
             able = batch.filter(batch.column("able"))
             ids, x = np.asarray(able.column("id")), vectors.matrix(able.column("v"))
             for own, q in asked if len(ids) else []:
-                found, far = nearest(x, ids, q, own, k)
+                found, far = nearest(x, ids, q, own, k, (x * x).sum(1) - 2 * (x @ q) + q @ q)
                 yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), able.column("id").type), pa.array(found), pa.array(far)], names=["q", "id", "far"])
 
     true = points.select("id", "v", "able").mapInArrow(scan, f"q {id_type}, id {id_type}, far double")
