@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import re
+import time
 import zlib
 
 import numpy as np
@@ -52,8 +54,8 @@ def test_chat_empty(spark):
     assert chat.read_back(chat.format_conversations(df)).count() == 0
 
 
-def brute_lines(rows, min_words=4, fuzzy=8):
-    """Lines within one word of an earlier one, by dynamic programming over all pairs."""
+def brute_lines(rows):
+    """Lines that repeat an earlier one or are within one token of it, by dynamic programming over all pairs."""
 
     def near(a, b):
         if abs(len(a) - len(b)) > 1:
@@ -68,12 +70,15 @@ def brute_lines(rows, min_words=4, fuzzy=8):
     seen, out = [], set()
     for i, t in sorted(((i, t) for i, t in rows if t is not None), key=lambda r: (r[0] is None, r[0] or 0)):
         for n, line in enumerate(t.split("\n")):
-            w = line.lower().split()
-            if len(w) < min_words:
+            w = re.split("[ \\t\\x0b\\x0c\\r]+", line.lower().strip(" \t\x0b\x0c\r"))
+            if w == [""]:
                 continue
-            if any(w == s or (len(w) >= fuzzy and len(s) >= fuzzy and near(w, s)) for s in seen):
+            long, said = len(w) >= 8, " ".join(w)
+            form = w if long else said
+            fuzzy = long or len(said) >= 16
+            if any(w == s or (fuzzy and f and long == g and near(form, x)) for s, f, g, x in seen):
                 out.add((i, n))
-            seen.append(w)
+            seen.append((w, fuzzy, long, form))
     return out
 
 
@@ -91,7 +96,14 @@ def test_lines_against_brute_force(spark):
                 w = w[:k] + ([] if op == 0 else ["zz"] if op == 1 else [w[k], "yy"]) + w[k + 1 :]
             picked.append(" ".join(w))
         rows.append((i, "\n".join(picked)))
-    rows += [(500, None), (501, ""), (502, "short"), (503, "A  b\tc d"), (504, "a b c d"), (None, "a b c d")]
+    few = ["see the second page", "a title of chapters", "日本語の文章がここにあります。とても長い", "x" * 200, "ab c 12345 é", "sixteen chars ok"]
+    for i in range(120, 160):
+        picked = [str(rng.choice(few)) for _ in range(3)]
+        for k, t in enumerate(picked):
+            at, op = int(rng.integers(len(t))), int(rng.integers(4))
+            picked[k] = t[:at] + ("" if op == 0 else "z" if op == 1 else t[at] + "y" if op == 2 else t[at]) + t[at + 1 :]
+        rows.append((i, "\n".join([*picked, "1", f"{i % 7}", "  ", "a b c d e f g h"])))
+    rows += [(500, None), (501, ""), (502, "short"), (503, "A  b\tc d"), (504, "a b c d"), (505, "a\x0bb\x0cc d\r"), (506, "\n \t\n"), (507, "abcdefgh" * 2), (508, "a b c d e f g h"), (None, "a b c d")]
     df = docs(spark, [(i, t, "s") for i, t in rows])
     got = {(r["doc_id"], r["line_no"]) for r in lines.duplicate_lines(df).collect()}
     assert got == brute_lines(rows)
@@ -109,6 +121,16 @@ def test_lines_rewrite_and_edges(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_long_lines_and_many_removed_lines(spark):
+    long = " ".join(f"w{k}" for k in range(1_000_000))
+    many = "\n".join(f"number {k} of many" for k in range(20_000))
+    rows = [(1, long), (2, long.replace("w777 ", "other ")), (3, many), (4, many + "\nthe rest stays"), (5, "y" * 100_000), (6, "y" * 99_999 + "z")]
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in lines.dedup_lines(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got[2] == (1, "") and got[4][0] >= 20_000 and got[4][1] == "the rest stays" and got[6] == (1, "") and got[1] == (0, long)
+    assert time.perf_counter() - began < 200
+
+
 def json_tokenizer():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

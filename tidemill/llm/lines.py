@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, sized
+from . import common
+from .common import materialize, sized
 
 
 def _key(value: Column) -> Column:
@@ -13,48 +14,65 @@ def _key(value: Column) -> Column:
     return F.struct(F.xxhash64(value, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), value).alias("b"))
 
 
+#: Lines of so many words or more are compared by words, shorter ones by characters.
+WORDS = 8
+#: Shorter lines of fewer characters than this repeat only exactly: one character would be a large part of them.
+CHARACTERS = 16
+#: ASCII white space besides the line feed, which ends lines, and the blank (fixed values).
+BLANKS = ("\t", "\x0b", "\x0c", "\r")
+
+
 def line_words(line: Column) -> Column:
-    """Words of a line, lower-cased, between blanks, tabs and carriage returns."""
-    spaced = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    """Words of a line, lower-cased, between ASCII white space."""
+    spaced = F.lower(line)
+    for blank in BLANKS:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """doc_id, line_no, words of each line that has min_words or more."""
+def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, line_no, words of each line that has words."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    return lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+
+
+def tokens(words: Column) -> Column:
+    """What edits are counted in: a longer line's words, or a shorter line's characters.
+
+    Characters carry a blank, which no word has, so that the two never meet.
+    """
+    return F.when(F.size(words) >= WORDS, words).otherwise(F.transform(F.split(F.array_join(words, " "), ""), lambda c: F.concat(F.lit(" "), c)))
 
 
 def lines_at(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The words of wanted lines (doc_id, line_no, key, place): key, place, words; other documents are not split."""
+    """The tokens of wanted lines (doc_id, line_no, key, place): key, place, tokens; other documents are not split."""
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key", "place")).alias("at"))
     per_doc = sized(materialize(per_doc.withColumnRenamed("doc_id", "__at_doc")))
-    split = F.split(F.col(text_col), "\n")
-    found = docs.join(per_doc, docs[id_col].eqNullSafe(F.col("__at_doc"))).select(split.alias("parts"), F.explode("at").alias("at"))
-    found = found.select("at.key", "at.place", line_words(F.get("parts", F.col("at.line_no"))).alias("words"))
+    # The text is split once, as the only element of a list: inside, `parts` is a value.
+    taken = F.transform(F.array(F.split(F.col(text_col), "\n")), lambda parts: F.transform("at", lambda x: F.struct(x["key"].alias("key"), x["place"].alias("place"), F.get(parts, x["line_no"]).alias("line"))))[0]
+    found = docs.join(per_doc, docs[id_col].eqNullSafe(F.col("__at_doc"))).select(F.explode(taken).alias("x"))
+    found = found.select("x.key", "x.place", line_words(F.col("x.line")).alias("words"))
     # Rows that share an id may differ in text: the line's own hash decides.
-    return found.where(_key(F.col("words")) == F.col("key")).dropDuplicates(["key"])
-
+    return found.where(_key(F.col("words")) == F.col("key")).dropDuplicates(["key"]).select("key", "place", tokens(F.col("words")).alias("tokens"))
 
-def _word_hashes(words: Column, shift: int) -> Column:
-    """Hashes of word and place, the place moved by shift."""
-    return F.transform(words, lambda w, j: F.xxhash64(w, j + shift))
 
+def variants(lines: DataFrame) -> DataFrame:
+    """(place, cut, v) of lines (place, tokens): hashed keys of the line itself (cut -1) and of it less each token.
 
-def _variants(here: Column, before: Column) -> Column:
-    """(cut, v) of a line: hashed keys of the line itself (cut -1) and of it less each of its words.
-
-    A list of words is keyed by the exclusive or of the hashes of word and place. So
-    the key without a word is made of the running exclusive or of the words
-    ahead of it, and of that of the words behind it, each a place earlier.
-    here and before are the hashes at each word's own place and the one before.
+    A list of tokens is keyed by the exclusive or of the hashes of token and place. So
+    the key without a token is made of the exclusive or of the hashes ahead of it,
+    and of that of the hashes behind it, each a place earlier. Both are
+    running sums over the exploded line: work and memory grow with its length alone.
     """
-    none = F.array(F.lit(0).cast("long"))
-    running = lambda xs: F.aggregate(xs, none, lambda acc, x: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(x)))
-    ahead, behind = running(here), F.reverse(running(F.reverse(before)))
-    cuts = F.zip_with(ahead, F.array_append(F.slice(behind, F.lit(2), F.size(before)), F.lit(0).cast("long")), lambda p, q: p.bitwiseXOR(q))
-    # The last entry has all words ahead and none behind: the line itself.
-    return F.transform(cuts, lambda v, j: F.struct(F.when(j == F.size(here), F.lit(-1)).otherwise(j).alias("cut"), v.alias("v")))
+    none = F.lit(0).cast("long")
+    total = lambda shift: F.aggregate(F.transform("tokens", lambda t, j: F.xxhash64(t, j + shift)), none, lambda acc, h: acc.bitwiseXOR(h))
+    totals = lines.select("place", "tokens", total(0).alias("whole"), total(-1).alias("moved"))
+    each = totals.select("place", "moved", F.posexplode("tokens").alias("cut", "t"))
+    each = each.select("place", "cut", "moved", F.xxhash64("t", "cut").alias("here"), F.xxhash64("t", F.col("cut") - 1).alias("before"))
+    run = Window.partitionBy("place").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.bit_xor("here").over(run).bitwiseXOR(F.col("here"))
+    behind = F.col("moved").bitwiseXOR(F.bit_xor("before").over(run))
+    return each.select("place", "cut", ahead.bitwiseXOR(behind).alias("v")).unionByName(totals.select("place", F.lit(-1).alias("cut"), F.col("whole").alias("v")))
 
 
 def _places(numbered: DataFrame) -> Column:
@@ -71,21 +89,32 @@ def _places(numbered: DataFrame) -> Column:
     return (order * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def _without_part(words: Column, n: Column, parts: int) -> Column:
-    """Hashed keys of a line less one of so many equal parts, for lines as long or a word longer.
+def _without_part(parts: int, n: Column, head_of, tail_of, salt: int) -> Column:
+    """Hashed keys of a line of n tokens less one of so many equal parts, for lines as long or a token longer.
 
-    If two lines differ by one word, it lies in one part of the longer, counted
+    If two lines differ by one token, it lies in one part of the longer, counted
     from the start before it and from the end behind it; what is left of both is equal.
+    head_of and tail_of give the first and last tokens of a number.
     """
     keys = []
     for longer in (n, n + 1):
         for k in range(parts):
             head = F.floor(longer * k / parts).cast("int")
             tail = longer - F.floor(longer * (k + 1) / parts).cast("int")
-            keys.append(F.xxhash64(F.slice(words, F.lit(1), head), F.lit(k), F.slice(words, n - tail + 1, tail)))
+            keys.append(F.xxhash64(head_of(head), F.lit(k + salt), tail_of(tail)))
     return F.array_distinct(F.array(*keys))
 
 
+def _list_parts(values: Column, parts: int) -> Column:
+    n = F.size(values)
+    return _without_part(parts, n, lambda k: F.slice(values, F.lit(1), k), lambda k: F.slice(values, n - k + 1, k), 0)
+
+
+def _text_halves(line: Column) -> Column:
+    n = F.length(line)
+    return _without_part(2, n, lambda k: F.left(line, k), lambda k: F.right(line, k), 2)
+
+
 def _sharing(keyed: DataFrame) -> DataFrame:
     """Lines `a` of keyed (a, keys) that have a key in common with another line.
 
@@ -99,8 +128,8 @@ def _sharing(keyed: DataFrame) -> DataFrame:
     return ends.unionByName(more).distinct()
 
 
-def within_one_word(a: Column, b: Column) -> Column:
-    """Whether word lists are at edit distance 0 or 1: common start and end cover all but one word."""
+def within_one_token(a: Column, b: Column) -> Column:
+    """Whether token lists are at edit distance 0 or 1: common start and end cover all but one token."""
 
     def common(x: Column, y: Column) -> Column:
         first = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
@@ -109,27 +138,32 @@ def within_one_word(a: Column, b: Column) -> Column:
     return common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4, fuzzy_min_words: int = 8) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines that repeat an earlier line: (doc_id, line_no).
 
-    Lines are compared as lists of words, lower-cased, the edit bound being one
-    word put in, left out or replaced. Order is by doc_id (null last) and line. A line
-    goes if an earlier one is equal, or, where both have fuzzy_min_words or more,
-    within the bound, whether or not that one is kept itself. Lines under min_words stay.
+    Lines are compared as lists of words, lower-cased; lines without words stay. Order is by doc_id
+    (null last) and line. A line goes if an earlier one is equal, whatever its length, or
+    within the edit bound, whether or not that one is kept itself. The bound is one
+    token put in, left out or replaced: one word where both lines have WORDS words or more, and
+    one character where both have fewer and CHARACTERS characters or more (words joined by blanks).
 
     1. Equal lines meet by their hash; the earliest is kept.
-    2. Lines within one word share their first or their last half, and then three of
+    2. Lines within one token share their first or their last half, and then three of
        their quarters. Lines that share no such key with another are out: most.
     3. The others emit all their variants, the line itself and each deletion of one
-       word, as hashed keys. Members of one variant that lack the same word
+       token, as hashed keys. Members of one variant that lack the same token
        are within the bound of each other, and so is a line that equals the variant
        of any. So the earliest partner is a minimum by key: no pairs arise,
        however common a variant is.
-    4. The words of line and partner are compared.
+    4. The tokens of line and partner are compared.
+
+    Null and empty texts have no lines to lose, an empty table gives none, and a line of
+    any length is compared whole.
     """
-    lines = line_table(docs, id_col, text_col, min_words)
-    n, w = F.size("words"), F.col("words")
-    halves = F.when(n >= fuzzy_min_words, _without_part(w, n, 2))
+    lines = line_table(docs, id_col, text_col)
+    w = F.col("words")
+    short = F.array_join(w, " ")
+    halves = F.when(F.size(w) >= WORDS, _list_parts(w, 2)).when(F.length(short) >= CHARACTERS, _text_halves(short))
     numbered = materialize(lines.select("doc_id", "line_no", _key(w).alias("key"), halves.alias("keys")))
     place = _places(numbered)
     hashed = numbered.withColumn("place", place)
@@ -142,26 +176,24 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     candidates = fuzzy.withColumn("a", F.col("key.a")).join(sized(halved), "a", "left_semi")
     candidates = candidates.groupBy("key").agg(F.min_by(F.struct("doc_id", "line_no", "place"), "place").alias("at")).select("key", "at.*")
     texts = materialize(lines_at(docs, candidates, id_col, text_col))
-    quartered = materialize(_sharing(texts.select("key.a", _without_part(w, n, 4).alias("keys"))))
-    texts = texts.withColumn("a", F.col("key.a")).join(sized(quartered), "a", "left_semi").drop("a")
-    texts = materialize(texts.withColumn("here", _word_hashes(w, 0)).withColumn("before", _word_hashes(w, -1)))
+    quartered = materialize(_sharing(texts.select("key.a", _list_parts(F.col("tokens"), 4).alias("keys"))))
+    texts = materialize(texts.withColumn("a", F.col("key.a")).join(sized(quartered), "a", "left_semi").drop("a"))
 
-    variants = texts.select("place", F.explode(_variants(F.col("here"), F.col("before"))).alias("d")).select("place", "d.cut", "d.v")
-    variants = materialize(variants)
-    by_cut = variants.groupBy("v", "cut").agg(F.min("place").alias("first"), F.count("*").alias("members"))
+    deletions = materialize(variants(texts.select("place", "tokens")))
+    by_cut = deletions.groupBy("v", "cut").agg(F.min("place").alias("first"), F.count("*").alias("members"))
     by_variant = by_cut.groupBy("v").agg(
         F.min(F.when(F.col("cut") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("cut") >= 0, F.col("first"))).alias("cut_first"), F.sum("members").alias("all_members")
     ).where("all_members > 1")
     partners = by_cut.join(by_variant, "v").select("v", "cut", F.when(F.col("cut") < 0, F.col("cut_first")).otherwise(F.least("first", "whole")).alias("partner"))
     partners = materialize(partners.where("partner is not null"))
-    found = variants.join(sized(partners), ["v", "cut"]).where(F.col("partner") < F.col("place")).groupBy("place").agg(F.min("partner").alias("partner"))
-    words_of = texts.select(F.col("place").alias("at"), F.col("words").alias("of"))
-    verified = found.join(texts.select("key", "place", "words"), "place").join(words_of, F.col("partner") == F.col("at")).where(within_one_word(F.col("words"), F.col("of"))).select("key", "place")
+    found = deletions.join(sized(partners), ["v", "cut"]).where(F.col("partner") < F.col("place")).groupBy("place").agg(F.min("partner").alias("partner"))
+    of = texts.select(F.col("place").alias("at"), F.col("tokens").alias("of"))
+    verified = found.join(texts, "place").join(of, F.col("partner") == F.col("at")).where(within_one_token(F.col("tokens"), F.col("of"))).select("key", "place")
     near = fuzzy.join(sized(materialize(verified)), ["key", "place"], "left_semi").select("doc_id", "line_no")
     return exact.unionByName(near).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """docs without repeated lines: its columns, text rewritten, and n_lines, n_removed.
 
     See duplicate_lines for what repeats. Null text stays null (no lines) and empty text stays
@@ -170,17 +202,22 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     whose words are all in removed lines go. Columns of docs already
     called n_lines or n_removed are replaced.
     """
-    removed = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options)
+    removed = duplicate_lines(docs, id_col=id_col, text_col=text_col)
     # One array per document, no longer than the document's own list of lines.
     removed = materialize(removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("__removed")).withColumnRenamed("doc_id", "__line_doc"))
     docs_hit, lines_hit = removed.agg(F.count("*"), F.sum(F.size("__removed"))).first()
-    if docs_hit + (lines_hit or 0) <= 2 * BROADCAST_ROWS:
+    if docs_hit + (lines_hit or 0) <= 2 * common.BROADCAST_ROWS:
         removed = F.broadcast(removed)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.join(removed, docs[id_col].eqNullSafe(removed["__line_doc"]), "left")
     split = F.split(F.col(text_col), "\n")
-    kept = F.filter(split, lambda _, i: ~F.array_contains(F.col("__removed"), i))
-    joined = joined.withColumn("__text", F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+
+    def left(parts: Column) -> Column:
+        # The numbers of kept lines by a hashed difference; then each line by its place.
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed")), lambda k: F.get(parts, k)), "\n")
+
+    rewritten = F.transform(F.array(split), left)[0]
+    joined = joined.withColumn("__text", F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(rewritten))
     if drop_emptied:
         joined = joined.where(F.col("__removed").isNull() | (F.trim("__text") != ""))
     return joined.select(

@@ -112,21 +112,26 @@ select conv_id, n_turns, sha256(spoken) as turns_sha256, length(trained)::bigint
 with split as (
   select doc_id, text, case when text is null then [] else string_split(text, chr(10)) end as parts from documents
 ), each as (
-  select doc_id, i - 1 as line_no, parts[i] as line, list_filter(string_split(regexp_replace(lower(parts[i]), '[\t\r]', ' ', 'g'), ' '), lambda x: x <> '') as words
+  select doc_id, i - 1 as line_no, parts[i] as line, list_filter(string_split(regexp_replace(lower(parts[i]), '[\t\r\x0b\x0c]', ' ', 'g'), ' '), lambda x: x <> '') as words
   from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from split)
 ), placed as (
-  select *, len(words) as n, row_number() over (order by doc_id, line_no) as place from each where len(words) >= 4
+  select *, len(words) as n_words, row_number() over (order by doc_id, line_no) as place from each where len(words) > 0
 ), firsts as (
-  select words, n, min(place) as place from placed group by words, n
+  select words, n_words, min(place) as place from placed group by words, n_words
+), tokened as (
+  select words, place, n_words >= 8 as by_words, case when n_words >= 8 then words else string_split(array_to_string(words, ' '), '') end as tokens
+  from firsts where n_words >= 8 or length(array_to_string(words, ' ')) >= 16
+), sized as (
+  select *, len(tokens) as n, case when by_words then ' ' else '' end as gap from tokened
 ), prefixed as (
-  select words, n, place, m, unnest([['s', array_to_string(words[1:m // 2], ' ')], ['e', array_to_string(words[n - m // 2 + 1:n], ' ')]]) as side
-  from (select *, unnest([n, n + 1]) as m from firsts where n >= 8)
+  select place, tokens, n, by_words, m, unnest([['s', array_to_string(tokens[1:m // 2], gap)], ['e', array_to_string(tokens[n - m // 2 + 1:n], gap)]]) as side
+  from (select *, unnest([n, n + 1]) as m from sized)
 ), pairs as (
-  select distinct a.words as words, a.n as n, a.place as place, b.words as of, b.n as k
-  from prefixed a join prefixed b on a.m = b.m and a.side = b.side and b.place < a.place and abs(a.n - b.n) <= 1 and greatest(a.n, b.n) = a.m
+  select distinct a.place as place, a.tokens as tokens, a.n as n, b.tokens as of, b.n as k
+  from prefixed a join prefixed b on a.m = b.m and a.side = b.side and a.by_words = b.by_words and b.place < a.place and abs(a.n - b.n) <= 1 and greatest(a.n, b.n) = a.m
 ), near as (
   select distinct place from pairs where
-    len(list_filter(range(1, least(n, k) + 1), lambda i: words[1:i] = of[1:i])) + len(list_filter(range(1, least(n, k) + 1), lambda i: words[n - i + 1:n] = of[k - i + 1:k])) >= greatest(n, k) - 1
+    len(list_filter(range(1, least(n, k) + 1), lambda i: tokens[1:i] = of[1:i])) + len(list_filter(range(1, least(n, k) + 1), lambda i: tokens[n - i + 1:n] = of[k - i + 1:k])) >= greatest(n, k) - 1
 ), removed as (
   select p.doc_id, p.line_no from placed p join firsts f on p.words = f.words where p.place > f.place or f.place in (select place from near)
 ), kept as (
