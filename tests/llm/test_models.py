@@ -4,6 +4,7 @@ import collections
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import quality, toxicity
@@ -80,16 +81,17 @@ def test_correlated_voters_count_once():
     assert ((post > 0.5) == y).mean() > majority + 0.08
 
 
-def brute_kneser_ney(texts, table):
+def brute_kneser_ney(texts):
     """The same model from dictionaries, n-gram by n-gram."""
-    n, v = quality.ORDER, quality.SYMBOLS
+    n = quality.ORDER
     counts = {n: collections.Counter()}
     for t in texts:
-        s = [quality.START] * (n - 1) + [int(table[ord(c)]) for c in t]
+        s = quality.START * (n - 1) + t
         for i in range(n - 1, len(s)):
-            counts[n][tuple(s[i - n + 1 : i + 1])] += 1
+            counts[n][s[i - n + 1 : i + 1]] += 1
     for k in range(n - 1, 0, -1):
         counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    v = len(counts[1]) + 1
     cuts = {}
     for k in counts:
         seen = collections.Counter(counts[k].values())
@@ -111,22 +113,27 @@ def brute_kneser_ney(texts, table):
     return p
 
 
-def test_perplexity_against_brute_force(spark):
+@pytest.mark.parametrize("head", [0, 40, 1 << 20])
+def test_perplexity_against_brute_force(spark, monkeypatch, head):
+    monkeypatch.setattr(quality, "HEAD", head)
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    monkeypatch.setattr(quality, "SHARED", 3)
     rng = np.random.default_rng(3)
-    texts = [" ".join(rng.choice(WORDS[:9], size=6)) for _ in range(12)]
-    table = quality.symbol_table(sorted({ord(c) for t in texts for c in t}))
-    model = quality.kneser_ney(quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string"), table))
-    probe = [texts[0], "THE river", "the  zzz 12!", "é😀"]
+    texts = [" ".join(rng.choice(WORDS[:9], size=6)) for _ in range(12)] + ["é", ""]
+    model = quality.kneser_ney(quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")))
+    probe = [texts[0], "THE river", "the  zzz 12!", "é😀", "the river zzz the river zzz"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate([*probe, "", None])], "k long, text string")
-    got = {r["k"]: r for r in quality.perplexity(df, table, model).collect()}
-    p = brute_kneser_ney(texts, table)
+    got = {r["k"]: r for r in quality.perplexity(df, model).collect()}
+    p = brute_kneser_ney(texts)
+    n = quality.ORDER
     for k, t in enumerate(probe):
-        s = [quality.START] * 3 + [int(table[min(ord(c), 65535)]) for c in t]
-        logs = [math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]
-        assert math.isclose(got[k]["perplexity"], math.exp(-sum(logs) / len(logs)), rel_tol=1e-4)
+        s = quality.START * (n - 1) + t
+        logs = [math.log(p(s[i - n + 1 : i + 1])) for i in range(n - 1, len(s))]
+        assert math.isclose(got[k]["perplexity"], math.exp(-sum(logs) / len(logs)), rel_tol=1e-5)
         assert got[k]["symbols"] == len(t)
-    assert got[4]["perplexity"] is None and got[5]["perplexity"] is None
-    assert all(math.isclose(sum(p((*h, w)) for w in range(quality.SYMBOLS)), 1, rel_tol=1e-9) for h in [(0, 0, 0), (9, 8, 7)])
+    assert got[5]["perplexity"] is None and got[6]["perplexity"] is None
+    symbols = sorted({c for t in texts for c in t} | {"never"})
+    assert all(math.isclose(sum(p(h + w) if len(w) == 1 else p(h + "?") for w in symbols), 1, rel_tol=1e-9) for h in ["    ", "rive"])
 
 
 def test_quality(spark):
@@ -139,6 +146,11 @@ def test_quality(spark):
     assert sum(not got[k]["kept"] for k, _, _ in labels) <= 0.02 * len(labels)
     assert not any(got[5000 + k]["kept"] for k in range(20)) and not got[6000]["kept"] and not got[6001]["kept"]
     assert got[None]["threshold"] is not None and got[None]["kept"]
+    # A document is kept if it does not exceed its language's quantile of trusted text held out.
+    held = {r[0] for r in df.where(quality.held_out(F.col("doc_id"))).select("doc_id").collect()} & {k for k, _, _ in labels}
+    steady = sorted(got[k]["steady"] for k in held)
+    assert got[1]["threshold"] == steady[math.ceil(0.995 * len(steady)) - 1] == got[None]["threshold"]
+    assert all(r["kept"] == (r["steady"] is not None and r["steady"] <= r["threshold"]) for r in got.values())
     nothing = {r["doc_id"]: r["kept"] for r in quality.classify(df, trusted.limit(0)).collect()}
     assert nothing[1] and not nothing[6000]
     assert quality.classify(df.limit(0), trusted).count() == 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -14,169 +13,247 @@ from pyspark.sql import types as T
 
 from .common import materialize, sized
 
-#: Symbols of the model. The commonest characters have one each; the rest share
-#: one for upper case, digits, white space and others. Together with the
-#: order they bound the model: at most 64**4 entries, whatever the corpus.
-SYMBOL_BITS = 6
-SYMBOLS = 1 << SYMBOL_BITS
-ORDER = 4
-START, OTHER, UPPER, DIGIT, SPACE = range(5)
-COMMON = 5
-#: Symbols counted at a time in a task.
-CHUNK = 4_000_000
+#: Characters in an n-gram. Every code point is a symbol of its own.
+ORDER = 5
+#: Stands before the first character of a text.
+START = "\x02"
+#: Characters of a text that a task handles at a time.
+CHUNK = 2_000_000
+#: N-grams, at most, whose probabilities tasks hold themselves: the commonest. All others are joined.
+HEAD = 1 << 20
+#: Steps of a doubling by which counts are told apart to find the commonest.
+STEPS = 16
+
+_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-def symbol_table(common: list[int]) -> np.ndarray:
-    """Symbol of each code point of the basic plane; the last entry stands for all others."""
-    table = np.full(1 << 16, OTHER, np.uint8)
-    for c in range((1 << 16) - 1):
-        if not 0xD800 <= c < 0xE000:
-            ch = chr(c)
-            if ch.isspace():
-                table[c] = SPACE
-            elif ch.isdigit():
-                table[c] = DIGIT
-            elif ch.isupper():
-                table[c] = UPPER
-    table[common] = np.arange(COMMON, COMMON + len(common), dtype=np.uint8)
-    return table
-
-
-def grams(text: str, table: np.ndarray) -> np.ndarray:
-    """One code per character: the symbols of it and the three before, START before the first."""
-    s = table[np.minimum(code_points(text), (1 << 16) - 1)].astype(np.int32)
-    padded = np.concatenate([np.full(ORDER - 1, START, np.int32), s])
-    code = padded[: len(s)].copy()
-    for k in range(1, ORDER):
-        code = code << SYMBOL_BITS | padded[k : k + len(s)]
-    return code
-
-
-def count_characters(texts: DataFrame) -> DataFrame:
-    """(point, n): how often each code point occurs in column text."""
+    """Code points, with START ones ahead; a NUL counts as the character after it."""
+    points = np.frombuffer((START * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(points == 0, np.uint32(1), points)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                total += np.bincount(np.minimum(code_points(text.as_py() or ""), (1 << 16) - 1), minlength=1 << 16)
-        point = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(point, pa.int64()), pa.array(total[point], pa.int64())], names=["point", "n"])
 
-    return texts.select("text").mapInArrow(count, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
+def gram_hashes(points: np.ndarray) -> np.ndarray:
+    """64 bits for each run of ORDER code points."""
+    n = len(points) - ORDER + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(ORDER):
+        h = (h + points[k : k + n]) * _MUL
+        h ^= h >> np.uint64(29)
+    return h
+
 
+def gram_strings(points: np.ndarray, at: np.ndarray) -> list[str]:
+    """The runs of ORDER code points that begin at the given places."""
+    return points[at[:, None] + np.arange(ORDER)].astype("<u4").view(f"<U{ORDER}").ravel().tolist() if len(at) else []
 
-def count_grams(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    """(code, c): counts of n-grams of the full order in column text, over all rows."""
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+def stretches(text: str) -> Iterator[np.ndarray]:
+    """Code points of a text in stretches of at most CHUNK n-grams; each n-gram is in one."""
+    points = code_points(text)
+    for lo in range(0, len(points) - ORDER + 1, CHUNK):
+        yield points[lo : lo + CHUNK + ORDER - 1]
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(gram, c): counts of n-grams of the full order in column text, over all rows; counted in tasks, then by gram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            code, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(c, pa.int64())], names=["code", "c"])
-
+            # Texts follow one another; n-grams that reach over a seam do not count.
+            points = np.concatenate(held)
+            ends = np.cumsum([len(p) for p in held])
+            inside = np.ones(len(points) - ORDER + 1, bool)
+            for end in ends[:-1]:
+                inside[end - ORDER + 1 : end] = False
+            at = np.flatnonzero(inside)
+            _, first, c = np.unique(gram_hashes(points)[at], return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(gram_strings(points, at[first]), pa.string()), pa.array(c, pa.int64())], names=["gram", "c"])
+
+        size = 0
         for batch in batches:
             for text in batch.column(0):
-                held.append(grams(text.as_py() or "", shared.value))
-                size += len(held[-1])
-                if size >= CHUNK:
-                    yield flush()
-                    held, size = [], 0
+                for points in stretches(text.as_py() or ""):
+                    held.append(points)
+                    size += len(points)
+                    if size >= CHUNK:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
-    return texts.select("text").mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
 
+class Model:
+    """A table per order, in hash shards: p (gram, p), and back (context, back); and the mass of a character never seen."""
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """The model as rows (order, code, p, back): p of an n-gram and, as a context, its back-off weight.
+    def __init__(self, p: dict[int, DataFrame], back: dict[int, DataFrame], counts: DataFrame, unseen: float):
+        self.p, self.back, self.counts, self.unseen = p, back, counts, unseen
 
-    Each order's counts are joined by hash shards of the context to the context's totals,
+    def head(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and log probabilities of the commonest n-grams of the full order, HEAD at most."""
+        step = F.floor(F.log2("c") * STEPS).cast("int")
+        room, least = HEAD, None
+        for r in self.counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["step"]
+        if least is None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        found = self.p[ORDER].join(self.counts.where(step >= least).select("gram"), "gram").select("gram", F.log("p").cast("float").alias("log")).toArrow()
+        grams = np.array(found["gram"].to_pylist(), f"<U{ORDER}")
+        points = grams.view("<u4").reshape(-1, ORDER)
+        # Laid end to end, every ORDER-th run is one of them.
+        hashes = gram_hashes(points.ravel())[::ORDER] if len(points) else np.zeros(0, np.uint64)
+        return hashes, np.asarray(found["log"])
+
+
+def kneser_ney(counts: DataFrame) -> Model:
+    """The model of n-gram counts (gram, c).
+
+    Each order's counts are joined by the context to the context's totals,
     and by the shortened n-gram to the order below, whose counts are
     numbers of different symbols before. Discounts for counts 1, 2 and 3 or more
-    follow from the counts of counts of the order.
+    follow from the counts of counts of the order. Below the first order every
+    character, and one more for those never seen, is as likely as any other.
     """
-    tables = {ORDER: materialize(counts.select("code", "c"))}
+    tables = {ORDER: materialize(counts.select("gram", "c"))}
     for n in range(ORDER - 1, 0, -1):
-        tables[n] = materialize(tables[n + 1].groupBy(F.col("code").bitwiseAND((1 << (SYMBOL_BITS * n)) - 1).alias("code")).agg(F.count("*").alias("c")))
-    lower, models, backs = None, [], {}
+        tables[n] = materialize(tables[n + 1].groupBy(F.right("gram", F.lit(n)).alias("gram")).agg(F.count("*").alias("c")))
+    uniform = 1.0 / (tables[1].count() + 1)
+    p, back = {}, {}
     for n in range(1, ORDER + 1):
         seen = {r["c"]: r["n"] for r in tables[n].where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
         n1, n2, n3, n4 = (max(1, seen.get(k, 0)) for k in range(1, 5))
         y = n1 / (n1 + 2 * n2)
         cuts = [min(max(k - (k + 1) * y * above / here, 0.05), k - 0.05) for k, here, above in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         cut = F.when(F.col("c") == 1, cuts[0]).when(F.col("c") == 2, cuts[1]).otherwise(cuts[2])
-        grams_n = tables[n].select("code", "c", F.shiftright("code", SYMBOL_BITS).alias("context"), cut.alias("cut"))
-        totals = grams_n.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("mass")).withColumn("back", F.col("mass") / F.col("total"))
-        joined = grams_n.join(totals, "context").withColumn("own", (F.col("c") - F.col("cut")) / F.col("total"))
-        if lower is None:
-            probs = joined.select("code", (F.col("own") + F.col("back") / SYMBOLS).alias("p"))
+        grams_n = tables[n].select("gram", "c", F.left("gram", F.lit(n - 1)).alias("context"), cut.alias("cut"))
+        totals = grams_n.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("mass"))
+        totals = materialize(totals.select("context", "total", (F.col("mass") / F.col("total")).alias("back")))
+        own = grams_n.join(totals, "context").withColumn("own", (F.col("c") - F.col("cut")) / F.col("total"))
+        if n == 1:
+            probs = own.select("gram", (F.col("own") + F.col("back") * uniform).alias("p"))
         else:
-            short = F.col("code").bitwiseAND((1 << (SYMBOL_BITS * (n - 1))) - 1)
-            below = lower.select(F.col("code").alias("short"), F.col("p").alias("below"))
-            probs = joined.withColumn("short", short).join(below, "short").select("code", (F.col("own") + F.col("back") * F.col("below")).alias("p"))
-        lower = materialize(probs)
-        models.append(lower.select(F.lit(n).alias("order"), "code", "p"))
-        backs[n] = totals.select(F.lit(n).alias("order"), F.col("context").alias("code"), "back")
-    p = functools.reduce(DataFrame.unionByName, models)
-    back = functools.reduce(DataFrame.unionByName, backs.values())
-    return p.select("order", "code", F.col("p").alias("value"), F.lit("p").alias("kind")).unionByName(back.select("order", "code", F.col("back").alias("value"), F.lit("back").alias("kind")))
-
-
-def dense(model: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Log probability of every n-gram of the full order, unseen ones by backing off."""
-    p = np.full(1, 1 / SYMBOLS)
-    for n in range(1, ORDER + 1):
-        back = np.ones(SYMBOLS ** (n - 1), np.float32)
-        code, value = model.get((n, "back"), (np.zeros(0, np.int64), np.zeros(0)))
-        back[code] = value
-        full = (back[:, None] * (p.reshape(-1, SYMBOLS) if n > 1 else np.full((1, SYMBOLS), p[0]))[np.arange(len(back)) % max(1, len(p) // SYMBOLS)]).ravel().astype(np.float32)
-        code, value = model.get((n, "p"), (np.zeros(0, np.int64), np.zeros(0)))
-        full[code] = value
-        p = full
-    return np.log(p, out=p)
-
+            below = p[n - 1].select(F.col("gram").alias("short"), F.col("p").alias("below"))
+            probs = own.withColumn("short", F.right("gram", F.lit(n - 1))).join(below, "short").select("gram", (F.col("own") + F.col("back") * F.col("below")).alias("p"))
+        p[n] = materialize(probs)
+        back[n] = totals.select("context", "back")
+    return Model(p, back, tables[ORDER], uniform)
 
-_dense: dict[str, np.ndarray] = {}
 
+def log_probabilities(grams: DataFrame, model: Model) -> DataFrame:
+    """(gram, log) of distinct n-grams of the full order, by joins with the model's shards.
 
-def perplexity(docs: DataFrame, table: np.ndarray, model: DataFrame) -> DataFrame:
-    """docs with symbols (long) and perplexity (double; null for texts without any).
-
-    The model's rows are bounded by the alphabet and the order, not by the
-    corpus, so tasks hold it; documents are read where they lie and never shuffled.
+    What an order has seen is settled there; the rest goes on to the order below, by its
+    last characters, with the back-off weight of its context.
+    """
+    left = grams.select("gram", F.col("gram").alias("rest"), F.lit(0.0).alias("so_far"))
+    done = []
+    for n in range(ORDER, 0, -1):
+        table = model.p[n].select(F.col("gram").alias("rest"), F.log("p").alias("__log"))
+        met = materialize(left.join(table, "rest", "left"))
+        done.append(met.where("__log is not null").select("gram", (F.col("so_far") + F.col("__log")).alias("log")))
+        missed = met.where("__log is null").withColumn("context", F.left("rest", F.lit(n - 1)))
+        missed = missed.join(model.back[n], "context", "left")
+        left = missed.select("gram", F.right("rest", F.lit(n - 1)).alias("rest"), (F.col("so_far") + F.coalesce(F.log("back"), F.lit(0.0))).alias("so_far"))
+    done.append(left.select("gram", (F.col("so_far") + F.lit(float(np.log(model.unseen)))).alias("log")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return materialize(out)
+
+
+class Head:
+    """Log probabilities of common n-grams by hash: two tables in which a hash has one place each."""
+
+    def __init__(self, hashes: np.ndarray, logs: np.ndarray):
+        bits = max(4, int(2 * len(hashes)).bit_length())
+        self.tables = []
+        for shift in (0, 32):
+            slot = (hashes >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+            keys, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+            keys[slot], values[slot] = hashes, logs
+            self.tables.append((np.uint64(shift), np.uint64((1 << bits) - 1), keys, values))
+            lost = keys[slot] != hashes
+            hashes, logs = hashes[lost], logs[lost]
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities, and which n-grams have one here."""
+        out, known = np.zeros(len(hashes), np.float32), np.zeros(len(hashes), bool)
+        open_ = np.arange(len(hashes))
+        for shift, mask, keys, values in self.tables:
+            slot = (hashes[open_] >> shift) & mask
+            hit = keys[slot] == hashes[open_]
+            out[open_[hit]] = values[slot[hit]]
+            known[open_[hit]] = True
+            open_ = open_[~hit]
+        return out, known
+
+
+_heads: dict[str, Head] = {}
+#: N-grams, at most, of which every task holds the joined log probability: those that most documents share.
+SHARED = 100_000
+
+
+def perplexity(docs: DataFrame, model: Model) -> DataFrame:
+    """docs less text with symbols (long) and perplexity (double; null for texts without any).
+
+    Each document's n-grams are counted where it lies. Those that the model's bounded head holds
+    are settled at once. The others, rare or never seen, are joined with the sharded
+    model: first each distinct one on its way down the orders, then each document's
+    counts with what came out. Of these, n-grams that many documents share are broadcast,
+    a bounded number, so that none is a hot key.
     """
-    arrow = model.toArrow()
-    order, kind = np.asarray(arrow["order"]), np.asarray(arrow["kind"].to_pylist())
-    code, value = np.asarray(arrow["code"]), np.asarray(arrow["value"]).astype(np.float32)
-    compact = {(n, k): (code[pick].astype(np.int32), value[pick]) for n in range(1, ORDER + 1) for k in ("p", "back") for pick in [(order == n) & (kind == k)]}
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, table, compact))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *model.head()))
+    rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, symbols, sparse = shared.value
-        if name not in _dense:  # once in the life of a worker
-            _dense.clear()
-            _dense[name] = dense(sparse)
-        logs = _dense[name]
+        name, hashes, logs = shared.value
+        if name not in _heads:  # once in the life of a worker
+            _heads.clear()
+            _heads[name] = Head(hashes, logs)
+        head = _heads[name]
         for batch in batches:
-            n, ppl = [], []
+            symbols, total, grams, counts = [], [], [], []
             for text in batch.column(batch.schema.names.index("text")):
-                code = grams(text.as_py() or "", symbols)
-                n.append(len(code))
-                ppl.append(float(np.exp(-logs[code].mean(dtype=np.float64))) if len(code) else None)
-            rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(ppl, pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), "symbols", "perplexity"])
-
-
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType([*fields, T.StructField("symbols", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-    return docs.mapInArrow(score, schema)
+                n, known_log, others, times = 0, 0.0, [], []
+                for points in stretches(text.as_py() or ""):
+                    h = gram_hashes(points)
+                    log, known = head(h)
+                    n += len(h)
+                    known_log += float(log.sum(dtype=np.float64))
+                    at = np.flatnonzero(~known)
+                    if len(at):
+                        _, first, c = np.unique(h[at], return_index=True, return_counts=True)
+                        others += gram_strings(points, at[first])
+                        times += c.tolist()
+                symbols.append(n)
+                total.append(known_log)
+                grams.append(others)
+                counts.append(times)
+            columns = [*(batch.column(f.name) for f in rest), pa.array(symbols, pa.int64()), pa.array(total, pa.float64()), pa.array(grams, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), "symbols", "__known", "__grams", "__counts"])
+
+    added = [("symbols", T.LongType()), ("__known", T.DoubleType()), ("__grams", T.ArrayType(T.StringType())), ("__counts", T.ArrayType(T.LongType()))]
+    read = docs.mapInArrow(score, T.StructType([*rest, *(T.StructField(n, t) for n, t in added)]))
+    read = materialize(read.withColumn("__row", F.monotonically_increasing_id()))
+    each = read.select("__row", F.explode(F.arrays_zip("__grams", "__counts")).alias("x")).select("__row", F.col("x.__grams").alias("gram"), F.col("x.__counts").alias("n"))
+    distinct = materialize(each.groupBy("gram").agg(F.count("*").alias("rows")))
+    logs = log_probabilities(distinct, model)
+    common = distinct.where("rows > 1").orderBy(F.desc("rows"), "gram").limit(SHARED).select("gram")
+    common = materialize(logs.join(common, "gram").select("gram", F.col("log").alias("common")))
+    met = each.join(F.broadcast(common), "gram", "left")  # SHARED rows at most
+    here = met.where("common is not null").select("__row", (F.col("n") * F.col("common")).alias("l"))
+    there = met.where("common is null").select("__row", "gram", "n").join(logs, "gram").select("__row", (F.col("n") * F.col("log")).alias("l"))
+    joined = here.unionByName(there).groupBy("__row").agg(F.sum("l").alias("__joined"))
+    log = F.col("__known") + F.coalesce("__joined", F.lit(0.0))
+    scored = read.drop("__grams", "__counts").join(joined, "__row", "left").withColumn("perplexity", F.when(F.col("symbols") > 0, F.exp(-log / F.col("symbols"))))
+    return scored.select(*(f.name for f in rest), "symbols", "perplexity")
 
 
 def held_out(id_col: Column) -> Column:
@@ -188,29 +265,29 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
     """doc_id, lang, symbols, perplexity, steady, threshold and kept for each document.
 
     trusted names (by column doc_id) the documents whose text is trusted. The model is
-    trained on two thirds of them, whole, without a cap. A few words say little, so
+    trained on two thirds of them, whole, without a cap: all their characters and
+    all their n-grams. A few words say little, so
     documents are judged by `steady`: the perplexity of the text together with
     `smoothing` symbols as usual as trusted text. A language's threshold is the given
     quantile of it among the other third, whose text the model has not seen; a language without such takes that of all languages. Documents above it are not kept.
 
     Empty and null texts have no perplexity and are not kept. A null lang is a
     language of its own. If there is no trusted text, nothing can be told: all
-    documents with text are kept and thresholds are null. Repeated rows are scored alike. Other columns are ignored.
+    documents with text are kept and thresholds are null. Repeated rows are scored alike. A text of any length is read whole, in
+    stretches. Other columns are ignored, whatever they are called.
     """
     every = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     names = sized(materialize(trusted.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()))
     good = every.join(names, F.col("doc_id") == F.col("__id"), "left_semi")
-    train = materialize(good.where(~held_out(F.col("doc_id"))).select("text"))
-    points = count_characters(train).where(F.col("point") < (1 << 16) - 1).orderBy(F.desc("n"), "point").limit(SYMBOLS - COMMON).collect()
-    table = symbol_table([r["point"] for r in points])
-    model = kneser_ney(count_grams(train, table))
-    scored = materialize(perplexity(every, table, model))
+    model = kneser_ney(count_grams(good.where(~held_out(F.col("doc_id")))))
+    scored = materialize(perplexity(every, model))
     apart = scored.where(F.col("perplexity").isNotNull() & held_out(F.col("doc_id"))).join(names, F.col("doc_id") == F.col("__id"), "left_semi")
     usual = apart.agg((F.sum(F.log("perplexity") * F.col("symbols")) / F.sum("symbols")).alias("m")).first()["m"] or 0.0
     steady = F.exp((F.log("perplexity") * F.col("symbols") + usual * smoothing) / (F.col("symbols") + smoothing))
     scored, apart = scored.withColumn("steady", steady), apart.withColumn("steady", steady)
     cut = F.percentile_approx("steady", quantile, 10_000).alias("cut")
-    by_lang = apart.groupBy("lang").agg(cut).select(F.col("lang").alias("__lang"), "cut")
+    # One row per language.
+    by_lang = sized(materialize(apart.groupBy("lang").agg(cut).select(F.col("lang").alias("__lang"), "cut")))
     overall = apart.agg(cut).first()["cut"]
     judged = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("cut", F.lit(overall).cast("double")))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("steady") <= F.col("threshold"), F.lit(True))
