@@ -22,17 +22,21 @@ CHARACTERS = 16
 BLANKS = ("\t", "\x0b", "\x0c", "\r")
 
 
-def line_words(line: Column) -> Column:
-    """Words of a line, lower-cased, between ASCII white space."""
-    spaced = F.lower(line)
+def spaced(text: Column) -> Column:
+    """text with a blank for each ASCII white space but line feeds."""
     for blank in BLANKS:
-        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
+def line_words(line: Column) -> Column:
+    """Words of a spaced line, lower-cased."""
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, line_no, words of each line that has words."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(spaced(F.col(text_col)), "\n")).alias("line_no", "line"))
     return lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
@@ -51,7 +55,7 @@ def lines_at(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     # The text is split once, as the only element of a list: inside, `parts` is a value.
     taken = F.transform(F.array(F.split(F.col(text_col), "\n")), lambda parts: F.transform("at", lambda x: F.struct(x["key"].alias("key"), x["place"].alias("place"), F.get(parts, x["line_no"]).alias("line"))))[0]
     found = docs.join(per_doc, docs[id_col].eqNullSafe(F.col("__at_doc"))).select(F.explode(taken).alias("x"))
-    found = found.select("x.key", "x.place", line_words(F.col("x.line")).alias("words"))
+    found = found.select("x.key", "x.place", line_words(spaced(F.col("x.line"))).alias("words"))
     # Rows that share an id may differ in text: the line's own hash decides.
     return found.where(_key(F.col("words")) == F.col("key")).dropDuplicates(["key"]).select("key", "place", tokens(F.col("words")).alias("tokens"))
 
@@ -162,16 +166,16 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     lines = line_table(docs, id_col, text_col)
     w = F.col("words")
-    short = F.array_join(w, " ")
-    halves = F.when(F.size(w) >= WORDS, _list_parts(w, 2)).when(F.length(short) >= CHARACTERS, _text_halves(short))
-    numbered = materialize(lines.select("doc_id", "line_no", _key(w).alias("key"), halves.alias("keys")))
+    longer = F.size(w) >= WORDS
+    numbered = materialize(lines.select("doc_id", "line_no", _key(w).alias("key"), F.when(longer, _list_parts(w, 2)).alias("halves"), F.when(~longer, F.array_join(w, " ")).alias("short")))
     place = _places(numbered)
-    hashed = numbered.withColumn("place", place)
+    hashed = numbered.select("doc_id", "line_no", "key", place.alias("place"))
     first = hashed.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
     repeated = materialize(first.where("copies > 1").select("key", "first"))
     exact = hashed.join(sized(repeated), "key").where(F.col("place") > F.col("first")).select("doc_id", "line_no")
 
-    fuzzy = hashed.where(F.col("keys").isNotNull())
+    halves = F.coalesce("halves", F.when(F.length("short") >= CHARACTERS, _text_halves(F.col("short"))))
+    fuzzy = numbered.select("doc_id", "line_no", "key", place.alias("place"), halves.alias("keys")).where("keys is not null")
     halved = materialize(_sharing(fuzzy.select("key.a", "keys")))
     candidates = fuzzy.withColumn("a", F.col("key.a")).join(sized(halved), "a", "left_semi")
     candidates = candidates.groupBy("key").agg(F.min_by(F.struct("doc_id", "line_no", "place"), "place").alias("at")).select("key", "at.*")
