@@ -69,16 +69,72 @@ def test_disguised_words():
     assert "idiot" in toxicity.disguised("such an i d i o t indeed").split()
 
 
+def patterns_of(votes, known):
+    """Patterns of votes with their rows, and those known to be of either class."""
+    rows = collections.defaultdict(lambda: [0, 0, 0])
+    for v, y in zip(votes.tolist(), known, strict=True):
+        rows[tuple(v)][0] += 1
+        if y is not None:
+            rows[tuple(v)][1 if y else 2] += 1
+    return np.array(list(rows), np.int8), *np.array(list(rows.values()), float).T
+
+
 def test_correlated_voters_count_once():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.3
     vote = lambda acc: np.where(rng.random(4000) < acc, np.where(y, 1, -1), np.where(y, -1, 1))
     a, b, twin = vote(0.8), vote(0.85), vote(0.7)
     votes = np.stack([a, b, twin, twin, twin], 1).astype(np.int8)
-    post, estimates = toxicity.label_model(votes, np.where(np.arange(4000) < 300, np.where(y, 1, -1), 0))
-    assert estimates["weight"][2] < 0.6 < estimates["weight"][0]
-    majority = ((votes.sum(1) > 0) == y).mean()  # which the three twins decide
-    assert ((post > 0.5) == y).mean() > majority + 0.08
+    patterns, count, toxic, clean = patterns_of(votes, [bool(v) if k < 300 else None for k, v in enumerate(y)])
+    post, estimates = toxicity.tuned_label_model(patterns, count, toxic, clean)
+    assert sum(estimates["parent"][k] in (2, 3, 4) for k in (2, 3, 4)) == 2  # the twins hang on each other
+    said = dict(zip(map(tuple, patterns.tolist()), post, strict=True))
+    right = np.mean([(said[tuple(v)] > 0.5) == t for v, t in zip(votes.tolist(), y, strict=True)])
+    assert right > ((votes.sum(1) > 0) == y).mean() + 0.08  # the majority, which the three twins decide
+    assert abs(estimates["share"] - 0.3) < 0.06
+
+
+def test_label_model_against_brute_force():
+    """One pattern after the other, row by row: the fixed point repeats itself under EM written out."""
+    rng = np.random.default_rng(5)
+    y = rng.random(1500) < 0.25
+    votes = np.stack([np.where(rng.random(1500) < p, np.where(y, 1, -1), rng.integers(-1, 2, 1500)) for p in (0.7, 0.5, 0.6)], 1).astype(np.int8)
+    known = [bool(v) if k % 5 == 0 else None for k, v in enumerate(y)]
+    patterns, count, toxic, clean = patterns_of(votes, known)
+    post, estimates = toxicity.label_model(patterns, count, toxic, clean, tie=2.0, rounds=2000)
+    belief = {tuple(v): p for v, p in zip(patterns.tolist(), post, strict=True)}
+    weight = [collections.Counter(), collections.Counter()]
+    for v, k in zip(votes.tolist(), known, strict=True):
+        p = belief[tuple(v)]
+        for c in (0, 1):
+            weight[c][tuple(v)] += 2.0 * (k == bool(c)) if k is not None else (p if c else 1 - p)
+    share = (sum(weight[1].values()) + 1) / (sum(weight[0].values()) + sum(weight[1].values()) + 2)
+    assert math.isclose(share, estimates["share"], rel_tol=1e-4)
+
+    def chance(v, c):
+        out = 1.0
+        for j, up in enumerate(estimates["parent"]):
+            alone = [sum(w for x, w in weight[c].items() if x[j] == s) + 0.5 for s in (-1, 0, 1)]
+            alone = [a / sum(alone) for a in alone]
+            if up < 0:
+                out *= alone[v[j] + 1]
+            else:
+                row = [sum(w for x, w in weight[c].items() if x[j] == s and x[up] == v[up]) + 2 * alone[s + 1] for s in (-1, 0, 1)]
+                out *= row[v[j] + 1] / sum(row)
+        return out
+
+    for v, p in belief.items():
+        toxic_odds = share * chance(v, 1)
+        assert math.isclose(p, toxic_odds / (toxic_odds + (1 - share) * chance(v, 0)), abs_tol=1e-4)
+
+
+def test_toxicity_of_the_query_and_of_the_stage_agree(spark):
+    rows, labels = corpus(3, 300)
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = {r["doc_id"]: r["score"] for r in toxicity.train_and_score(df, lab).collect()}
+    twice = {r["doc_id"]: r["score"] for r in toxicity.score(df, toxicity.train(df, lab)).collect()}
+    assert once.keys() == twice.keys() and all(math.isclose(once[k], twice[k], abs_tol=1e-9) for k in once)
+    assert toxicity.train_and_score(df.limit(0), lab.limit(0)).count() == 0
 
 
 def brute_kneser_ney(texts):

@@ -62,8 +62,15 @@ def test_packing_of_added_tokens(spark):
 
 def test_capitals_of_the_whole_text():
     voter = toxicity.Voters({})
-    at = voter.NAMES.index("capitals")
+    at = voter.NAMES.index("outcry")
     quiet, loud = "some plain words here " * 300, "YOU WORTHLESS IDIOT AND MORON " * 1000
     assert voter(quiet + loud)[0][at] == 1  # shouted beyond the first 4,096 characters
     assert voter(loud[:6000] + quiet * 10)[0][at] == 0  # a shouted head of a quiet text
     assert voter("1234 5678 " * 20 + "IDIOT")[0][at] == 1  # digits are no letters
+
+
+def test_scores_do_not_depend_on_the_order_of_halves():
+    voter = toxicity.Voters({" grolb": (0, 0), " snarf ": (1, 1)})
+    calm, rude = "some plain words here " * 4000, "YOU GROLBAX and SNARF !! "
+    one, two = voter(calm + rude), voter(rude + calm)
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
