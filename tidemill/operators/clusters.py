@@ -93,6 +93,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = step.select("id", "label")
         if not moved:
             break
+    else:
+        raise RuntimeError("components did not settle")
     return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 

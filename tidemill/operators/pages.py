@@ -32,6 +32,12 @@ def readiness(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.length(plain).alias("text_chars"), ((F.length(plain) < 400) | ~F.col("html").contains("<h1")).alias("thin"), F.col("html").rlike("Ã|â€|�").alias("mojibake"))
 
 
+def bad_geos(pages: DataFrame) -> DataFrame:
+    """PG-10: (geo, bad, n): pages (geo, html) by geo, and whether any has broken characters or lacks a heading."""
+    bad = F.col("html").rlike("Ã|â€|�") | ~F.col("html").contains("<h1")
+    return pages.groupBy("geo").agg(F.bool_or(bad).alias("bad"), F.count("*").alias("n"))
+
+
 def crawl(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """GRF-03, GRF-05, SRC-08: (node, depth): nodes reached from start (node) along edges (src, dst), with their least number of steps."""
     from tidemill.sources.store import cut_lineage
@@ -60,13 +66,24 @@ def coverage_status(demand: DataFrame, pages: DataFrame, least: int = 25) -> Dat
 
 
 def unique_names(rows: DataFrame, scope: Sequence[str], name: str, order: Sequence[str]) -> DataFrame:
-    """WIN-15: name made unique in its scope by -2, -3, ... in order, passing over names that are taken."""
-    taken = rows.groupBy(*scope).agg(F.collect_set(name).alias("__taken"))
+    """WIN-15: name made unique in its scope by -2, -3, ... in order, passing over names that are taken.
+
+    The n-th repeat takes the n-th suffix that no name of the scope has. Suffixes in use are numbers that follow a
+    repeated name: a join finds them, and each passes the repeats behind it on by one.
+    """
     n = F.row_number().over(Window.partitionBy(*scope, name).orderBy(*order))
-    numbered = rows.withColumn("__n", n).join(taken, [*scope])
-    # The n-th repeat takes the n-th free suffix; at most as many are taken as there are names.
-    free = F.filter(F.transform(F.sequence(F.lit(2), F.col("__n") + F.size("__taken") + 1), lambda k: F.concat(F.col(name), F.lit("-"), k.cast("string"))), lambda s: ~F.array_contains("__taken", s))
-    return numbered.withColumn("unique_name", F.when(F.col("__n") == 1, F.col(name)).otherwise(free[F.col("__n") - 2])).drop("__n", "__taken")
+    numbered = rows.withColumn("__n", n)
+    repeated = numbered.where("__n = 2").select(*scope, F.col(name).alias("__base"))
+    suffix = F.regexp_extract(name, r"-([2-9]|[1-9][0-9]{1,8})$", 1)
+    ended = rows.select(*scope, name).distinct().withColumn("__k", suffix).where("__k <> ''").select(*scope, F.regexp_replace(name, r"-[0-9]+$", "").alias("__base"), F.col("__k").cast("int").alias("__k"))
+    used = ended.join(repeated, [*scope, "__base"], "left_semi")
+    # The j-th suffix in use, k, leaves k - 1 - j free below it: later repeats pass it over.
+    place = F.row_number().over(Window.partitionBy(*scope, "__base").orderBy("__k"))
+    passed = used.withColumn("__free", F.col("__k") - 1 - place).groupBy(*scope, "__base").agg(F.array_sort(F.collect_list("__free")).alias("__frees"))
+    met = numbered.join(passed.withColumnRenamed("__base", name), [*scope, name], "left")
+    behind = F.coalesce(F.size(F.filter("__frees", lambda f: f < F.col("__n") - 1)), F.lit(0))
+    number = F.col("__n") + F.greatest(behind, F.lit(0))
+    return met.withColumn("unique_name", F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), number.cast("string")))).select(*rows.columns, "unique_name")
 
 
 def rotation(candidates: DataFrame, recent: Sequence[str]) -> DataFrame:
@@ -94,11 +111,18 @@ def first_assignment(rows: DataFrame, least: int) -> DataFrame:
 
 
 def siblings(pages: DataFrame, most: int = 6) -> DataFrame:
-    """TOP-11: (key, sibling, place): up to six siblings (key, geo, theme) of the same geo, of the same theme if there are any."""
-    a, b = pages.alias("a"), pages.alias("b")
-    pairs = a.join(b, (F.col("a.geo") == F.col("b.geo")) & (F.col("a.key") != F.col("b.key"))).select(F.col("a.key").alias("key"), F.col("b.key").alias("sibling"), (F.col("a.theme") == F.col("b.theme")).alias("same"))
-    some = pairs.withColumn("any_same", F.max("same").over(Window.partitionBy("key"))).where("same or not any_same")
-    return some.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("sibling"))).where(F.col("place") <= most).select("key", "sibling", "place")
+    """TOP-11: (key, sibling, place): up to six siblings (key, geo, theme) of the same geo, of the same theme if there are any.
+
+    A page's siblings are among the first most + 1 of its theme or geo, so each page meets no more than these.
+    """
+    theme, geo = Window.partitionBy("geo", "theme"), Window.partitionBy("geo")
+    alone = F.count("*").over(theme) == 1
+    ranked = pages.select("key", "geo", "theme", alone.alias("alone"), F.row_number().over(theme.orderBy("key")).alias("in_theme"), F.row_number().over(geo.orderBy("key")).alias("in_geo"))
+    of_theme = ranked.where(F.col("in_theme") <= most + 1).select("geo", "theme", F.col("key").alias("sibling"))
+    of_geo = ranked.where(F.col("in_geo") <= most + 1).select("geo", F.col("key").alias("sibling"))
+    near = ranked.where("not alone").join(of_theme, ["geo", "theme"]).select("key", "sibling").unionByName(ranked.where("alone").join(of_geo, "geo").select("key", "sibling"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("sibling"))
+    return near.where("key <> sibling").withColumn("place", place).where(F.col("place") <= most).select("key", "sibling", "place")
 
 
 def redirects(rules: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -34,23 +36,32 @@ def line_chunks(text: str, most: int) -> list[str]:
     return pieces
 
 
+def piece_bounds(text: str, size: int, back: int) -> list[tuple[int, int]]:
+    """Where pieces of at most `size` characters lie, each beginning `back` characters before the end of the last.
+
+    A piece ends at the last paragraph break of its second half, else at the last sentence
+    break there, else where it is full; pieces begin at a word.
+    """
+    breaks = [[m.start() for m in re.finditer(f"(?={mark})", text)] for mark in ("\n\n", r"\. ")]
+    words = [m.start() for m in re.finditer(r"\S", text)]
+    bounds = [(0, len(text))]
+    while bounds[-1][1] - bounds[-1][0] > size:
+        start, _ = bounds.pop()
+        ends = (marks[bisect.bisect_right(marks, start + size - 2) - 1] for marks in breaks if marks and marks[0] <= start + size - 2)
+        end = next((e for e in ends if e >= start + size // 2), start + size)
+        word = bisect.bisect_left(words, max(end - back, start + 1))
+        bounds += [(start, end), (words[word] if word < len(words) else len(text), len(text))]
+    return bounds
+
+
 def overlapping_pieces(text: str, tokens: int, overlap: int = 200) -> list[str]:
-    """TXT-11: pieces of at most tokens (three characters each) that overlap, cut at a paragraph or sentence in the second half if there is one."""
+    """TXT-11: pieces of at most tokens (three characters each) that overlap, by a quarter of a piece at most."""
     size = tokens * 3
-    if max(1, len(text) // 3) <= tokens:
+    if len(text) < size + 3:  # no more tokens than asked for, rounded down
         return [text]
-    pieces, at = [], 0
-    while at < len(text):
-        if len(text) - at <= size:
-            pieces.append(text[at:])
-            break
-        window = text[at : at + size]
-        cut = next((c for c in (window.rfind("\n\n"), window.rfind(". ")) if c >= size // 2), size)
-        if piece := window[:cut].rstrip():
-            pieces.append(piece)
-        at += max(1, cut - overlap, cut - size // 4)
-        at += len(text[at:]) - len(text[at:].lstrip())
-    return pieces or [text]
+    bounds = piece_bounds(text, size, min(overlap, size // 4))
+    pieces = [text[a:b].rstrip() if b < len(text) else text[a:b] for a, b in bounds]
+    return [p for p in pieces if p] or [text]
 
 
 def split_rows(rows: DataFrame, id_col: str, text_col: str, split: Callable[[str], Sequence[str]]) -> DataFrame:

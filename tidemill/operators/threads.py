@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +23,8 @@ def reply_roots(rows: DataFrame, *, forward_only: bool = False) -> DataFrame:
 
     A reply to a message that is not there is a root; with forward_only, so is a
     reply to a later one. Roots are found by pointer jumping: each round doubles the
-    distance, so a chain of n takes log2(n) joins; every round is cut off
-    by a checkpoint. A cycle's members end at its smallest id.
+    distance, so n rows are done in log2(n) joins; every round is cut off
+    by a checkpoint. What still moves then runs in a circle, whose members end at its smallest id.
     """
     from tidemill.sources.store import cut_lineage
 
@@ -35,7 +34,7 @@ def reply_roots(rows: DataFrame, *, forward_only: bool = False) -> DataFrame:
         ok = ok & ((F.col("__pts") < F.col("ts")) | ((F.col("__pts") == F.col("ts")) & (F.col("__pid") < F.col("id"))))
     up = rows.join(parent, rows["reply_to"] == F.col("__pid"), "left").select("id", F.when(ok, F.col("__pid")).otherwise(F.col("id")).alias("up"))
     up = cut_lineage(up.withColumn("least", F.least("id", "up")))
-    for _ in range(40):
+    for _ in range(rows.count().bit_length() + 1):
         over = up.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("least").alias("__least"))
         jumped = up.join(over, "up").select("id", F.col("__up").alias("up"), F.least("least", "__least").alias("least"), (F.col("up") != F.col("__up")).alias("moved"))
         jumped = cut_lineage(jumped)
@@ -43,7 +42,6 @@ def reply_roots(rows: DataFrame, *, forward_only: bool = False) -> DataFrame:
         up = jumped.drop("moved")
         if not moved:
             break
-    # What still moves after 2^40 steps runs in a circle.
     roots = up.alias("a").join(up.select(F.col("id").alias("rid"), F.col("up").alias("rup")), F.col("a.up") == F.col("rid")).select(
         "id", F.when(F.col("rup") == F.col("rid"), F.col("rid")).otherwise(F.col("a.least")).alias("root")
     )
@@ -64,41 +62,32 @@ def batch_threads(rows: DataFrame, minutes: float = 10) -> DataFrame:
 
 
 def spans(chains: DataFrame, *, useful: Column, question: Column, noise: Column) -> DataFrame:
-    """WIN-04: spans of useful talk in chains (root, id, ts, text): (root, span, messages).
+    """WIN-04: spans of useful talk in chains (root, id, ts, text): (root, span, id, place, ts, text, useful, question).
 
-    A span grows message by message. It is closed, without the message at hand, at two idle
-    replies in a row after something useful, and begins anew at the chain's
-    first message; or at a question after something useful among three messages or more, which begins the next.
-    Chains are a screenful of messages; each is folded by one task.
+    A chain's first message opens its spans, and does not count as useful itself. What ends a span lies within two
+    messages of a useful one, so lags find it: a question that follows it, at once or after
+    one idle message, begins the next span; the second of two idle messages is in none, and what comes after it
+    opens with the chain's first message again. Spans without a useful message do not count.
     """
-    flagged = chains.select("root", "id", "ts", "text", useful.alias("useful"), question.alias("question"), noise.alias("noise"))
-
-    def cut(chain: pd.DataFrame) -> pd.DataFrame:
-        chain = chain.sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
-        flags = list(zip(chain["useful"], chain["noise"], chain["question"], strict=True))
-        out: list[list[int]] = []
-        at, good, idle = [0], 0, 0
-        for k in range(1, len(chain)):
-            use, dull, asks = flags[k]
-            at.append(k)
-            if use:
-                good, idle = good + 1, 0
-            elif not dull and asks and good and len(at) >= 3:
-                out.append(at[:-1])
-                at, good, idle = [k], 0, 0
-            else:
-                idle += 1
-            if idle >= 2 and good:
-                out.append(at[:-1])
-                at, good, idle = [0], 0, 0
-        if good:
-            out.append(at)
-        out = [s for s in out if len(s) > 1 and any(flags[k][0] for k in s[1:])]
-        rows = [(chain["root"][0], n, chain["id"][k], j, chain["ts"][k], chain["text"][k], bool(flags[k][0]), bool(flags[k][2])) for n, s in enumerate(out) for j, k in enumerate(s)]
-        return pd.DataFrame(rows, columns=["root", "span", "id", "place", "ts", "text", "useful", "question"])
-
-    kinds = dict(chains.dtypes)
-    return flagged.groupBy("root").applyInPandas(cut, f"root {kinds['root']}, span int, id {kinds['id']}, place int, ts {kinds['ts']}, text string, useful boolean, question boolean")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    order = Window.partitionBy("root").orderBy("ts", "id")
+    rows = chains.select("root", "id", "ts", "text", flag(useful).alias("useful"), flag(question).alias("question"), flag(noise).alias("noise"))
+    message = F.struct("id", "ts", "text", "useful", "question")
+    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("opener", F.first(message).over(order))
+    counts = F.col("useful") & (F.col("n") > 1)
+    asks = F.col("question") & ~F.col("useful") & ~F.col("noise") & (F.col("n") > 1)
+    rows = rows.withColumn("kind", F.when(counts, "u").when(asks, "q").otherwise("i"))
+    last, before = F.lag("kind", 1, "").over(order), F.lag("kind", 2, "").over(order)
+    soon = (last == "u") | ((last == "i") & (before == "u"))
+    rows = rows.withColumn("begins", (F.col("kind") == "q") & soon).withColumn("ends", (F.col("kind") == "i") & (last == "i") & (before == "u"))
+    rows = rows.withColumn("span", F.sum((F.col("begins") | F.col("ends")).cast("int")).over(order)).where(~F.col("ends") & (F.col("n") > 1))
+    whole = Window.partitionBy("root", "span")
+    rows = rows.withColumn("good", F.max(F.col("kind") == "u").over(whole)).withColumn("asked", F.max("begins").over(whole)).withColumn("k", F.row_number().over(whole.orderBy("ts", "id")))
+    place = F.col("k") - F.when(F.col("asked"), 1).otherwise(0)
+    own = F.struct(place.alias("place"), message.alias("m"))
+    opened = F.when((F.col("k") == 1) & ~F.col("asked"), F.array(F.struct(F.lit(0).alias("place"), F.col("opener").alias("m")), own)).otherwise(F.array(own))
+    found = rows.where("good").select("root", F.col("span").cast("int").alias("span"), F.explode(opened).alias("x"))
+    return found.select("root", "span", "x.m.id", F.col("x.place").cast("int").alias("place"), "x.m.ts", "x.m.text", "x.m.useful", "x.m.question")
 
 
 def claims(span_rows: DataFrame) -> DataFrame:

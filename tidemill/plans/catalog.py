@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import messages, pages, scalars, streams, tables, threads, vectors
+    from . import messages, pages, records, scalars, streams, tables, threads, vectors
 
-    assert all((messages, pages, scalars, streams, tables, threads, vectors))
+    assert all((messages, pages, records, scalars, streams, tables, threads, vectors))
     return QUERIES, ORACLES

@@ -11,6 +11,7 @@ from tidemill.operators import tables as t
 
 from .adapters import MESSAGES, PATTERNS, messages, patterns, table
 from .catalog import query
+from .records import SAID, SAID_SQL
 
 START, END, NOW = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 9, 12), dt.datetime(2024, 1, 20)
 KEYWORDS = ["click", "purch*", "2024x"]
@@ -82,9 +83,10 @@ def src16(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(done, "doc_id", "left_anti").select(F.col("doc_id").alias("id"))
 
 
-@query("flt10_junk", "select item_id, regexp_matches(text, '^\\s*(Information (on|about|regarding)|Seeking\\b|Looking for\\b)') as junk from benchmark")
+@query("flt10_junk", f"select item_id, false as junk from benchmark union all select * from (values {SAID_SQL}) v(id, junk_text, junk)".replace("select * from (values", "select id, junk from (values"))
 def flt10(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", m.is_junk(F.col("text")).alias("junk"))
+    said = spark.createDataFrame([(i, t) for i, t, _ in SAID], "item_id long, text string")
+    return table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(said).select("item_id", m.is_junk(F.col("text")).alias("junk"))
 
 
 @query("flt15_gate", "select lang, source, count(*) as n from documents group by all having count(*) >= 12")

@@ -61,15 +61,15 @@ def vec12(spark, sf_dir):
     return c.carried_branches(b, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
-@query("top11_siblings", "with pg as (select p_partkey as key, p_brand as geo, p_type as theme from part where p_partkey < 400), x as (select a.key, b.key as sibling, a.theme = b.theme as same from pg a join pg b on a.geo = b.geo and a.key <> b.key), y as (select *, max(same::int) over (partition by key) as any_same from x) select key, sibling, place from (select key, sibling, row_number() over (partition by key order by sibling)::int as place from y where same or any_same = 0) where place <= 6")
+@query("top11_siblings", "with pg as (select p_partkey as key, p_brand as geo, p_type as theme from part), x as (select a.key, b.key as sibling, a.theme = b.theme as same from pg a join pg b on a.geo = b.geo and a.key <> b.key), y as (select *, max(same::int) over (partition by key) as any_same from x) select key, sibling, place from (select key, sibling, row_number() over (partition by key order by sibling)::int as place from y where same or any_same = 0) where place <= 6")
 def top11(spark, sf_dir):
-    return p.siblings(table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("geo"), F.col("p_type").alias("theme")))
+    return p.siblings(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("geo"), F.col("p_type").alias("theme")))
 
 
 @query("jon08_merge_claims")
 def jon08(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
-    q = conv.where("turn = 0").select("conv_id", F.substring("text", 1, 60).alias("question"))
+    q = conv.where("turn = 0").select("conv_id", F.col("text").alias("question"))
     a = conv.where("turn = 1").select("conv_id", "text")
     rows = q.join(a, "conv_id").select(
         F.col("conv_id").alias("id"), F.lit("br").alias("country"), F.concat(F.lit("c"), (F.col("conv_id") % 4).cast("string")).alias("category"), "question", F.col("text").alias("answer"),
@@ -107,10 +107,14 @@ def agg20(spark, sf_dir):
     return p.mature(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), d.where("id % 5 = 0"))
 
 
-@query("pg10_bad_geos", "with r as (select regexp_extract(html, 'lang=\"([a-z]+)\"', 1) as geo, regexp_matches(html, 'Ã|â€|�') or not contains(html, '<h1') as bad from pages) select geo, bool_or(bad) as bad, count(*) as n from r group by 1")
+SPOILT = [(-1, "xa", "<h1>Ã©tÃ©</h1>"), (-2, "xb", "<p>no heading</p>"), (-3, "xc", "<h1>fine</h1>")]
+SPOILT_SQL = ", ".join(f"({i}, '{g}', '{h}')" for i, g, h in SPOILT)
+
+
+@query("pg10_bad_geos", f"with r as (select page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) as geo, html from pages union all values {SPOILT_SQL}) select geo, bool_or(regexp_matches(html, 'Ã|â€|�') or not contains(html, '<h1')) as bad, count(*) as n from r group by 1")
 def pg10(spark, sf_dir):
-    pg = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("geo"), (F.col("html").rlike("Ã|â€|�") | ~F.col("html").contains("<h1")).alias("bad"))
-    return pg.groupBy("geo").agg(F.bool_or("bad").alias("bad"), F.count("*").alias("n"))
+    pg = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("geo"), "html").unionByName(spark.createDataFrame(SPOILT, "page_id long, geo string, html string"))
+    return p.bad_geos(pg)
 
 
 @query("pg07_skeleton")

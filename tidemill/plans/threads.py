@@ -36,7 +36,18 @@ def chains(spark, sf_dir):
     return t.spans(rooted, useful=low.contains("wh") | low.contains("ch"), question=low.contains("is"), noise=low.rlike(r"^\w+\.$"))
 
 
-@query("win04_spans")
+#: Spans by recursion over each chain's messages, as SQL: what is open, how much of it was useful, and how long nothing was.
+SPANS = f"""with recursive up as (select id, id as root from {TURNS} where reply_to is null union all select c.id, up.root from {TURNS} c join up on c.reply_to = up.id),
+ m as (select t.id, root, row_number() over (partition by root order by said, t.id) as n, contains(lower(text), 'wh') or contains(lower(text), 'ch') as useful, contains(lower(text), 'is') as asks, regexp_matches(lower(text), '^\\w+\\.$') as dull from up join {TURNS} t on t.id = up.id),
+ f as (select root, n, id, useful, 0 as span, 0 as good, 0 as idle, true as inside, false as closed from m where n = 1
+  union all select root, n, id, useful, span + (split or over_)::int, case when split or over_ then 0 else good + useful::int end, case when useful or split or over_ then 0 else idle + 1 end, not over_, split or over_ from
+   (select m.root, m.n, m.id, m.useful, f.span, f.good, f.idle, not m.useful and not m.dull and m.asks and f.good > 0 as split,
+     not m.useful and not (not m.dull and m.asks and f.good > 0) and f.idle + 1 >= 2 and f.good > 0 as over_ from f join m on m.root = f.root and m.n = f.n + 1)),
+ s as (select root, span, count(*) filter (where inside and n > 1) as n, count(*) filter (where useful and n > 1) as useful, bool_or(closed and inside) as asked from f group by all having count(*) filter (where useful and n > 1) > 0)
+"""
+
+
+@query("win04_spans", SPANS + "select root, span, n + (not asked)::int as n, useful + (not asked and (select useful from m where m.root = s.root and m.n = 1))::int as useful from s")
 def win04(spark, sf_dir):
     return chains(spark, sf_dir).groupBy("root", "span").agg(F.count("*").alias("n"), F.count_if("useful").alias("useful"))
 

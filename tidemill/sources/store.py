@@ -12,9 +12,11 @@ _local: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, which executors share."""
+    """A new path in the folder that spark.checkpoint.dir names, which executors share; on one machine without it, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # one machine, as in tests
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="tidemill-"))
         root = f"file://{_local[0]}"
