@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of characters outside ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_local: list[str] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir, which all executors share.
-
-    Only where the session names no such folder (single-machine tests) is a
-    temporary one made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="tidemill-"))
-        root = f"file://{_local[0]}"
-    return f"{root.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
+from tidemill.plans.adapters import table
+from tidemill.sources.store import cut_lineage as materialize
 
+__all__ = ["BROADCAST_ROWS", "WORD", "materialize", "sized", "table", "word_count"]
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts the lineage: what follows survives the loss of any executor and
-    never repeats the work before it.
-    """
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+#: Words are maximal runs of characters outside ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a counted side (ids, keys or offsets, tens of bytes a row) is broadcast.
 BROADCAST_ROWS = 500_000
@@ -51,7 +25,3 @@ def sized(df: DataFrame) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words in text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
