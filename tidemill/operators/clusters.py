@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import vectors as v
-from tidemill.sources.store import cut_lineage
+from tidemill.sources.store import cut_lineage, dimension
 
 #: Rows per block of vectors that meet in a similarity join.
 BLOCK = 512
@@ -178,9 +178,9 @@ def coherence(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def assign(rows: DataFrame, categories: DataFrame) -> DataFrame:
-    """VEC-07: (id, category, score): the category (category, c) of largest cosine, the smallest name on ties. Categories are a list of some dozens."""
+    """VEC-07: (id, category, score): the category (category, c) of largest cosine, the smallest name on ties. Categories are a dimension, which is checked."""
     score = F.round(v.cosine(F.col("v"), F.col("c")), 12)
-    pairs = rows.select("id", "v").crossJoin(F.broadcast(categories))
+    pairs = rows.select("id", "v").crossJoin(dimension(categories))
     best = F.max(F.struct(score.alias("score"), (-F.col("category")).alias("neg"))).alias("b")
     return pairs.groupBy("id").agg(best).select("id", (-F.col("b.neg")).alias("category"), F.col("b.score").alias("score"))
 

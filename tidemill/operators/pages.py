@@ -140,7 +140,9 @@ def slots(day: Column, n: int) -> Column:
 def resolve_country(queries: DataFrame, countries: DataFrame) -> DataFrame:
     """TXT-28: (query, code): a code, else a name, else the only name that the query begins; null if none or several. countries (code, name) is a dimension."""
     q = queries.select("query", F.lower(F.trim("query")).alias("q"))
-    c = F.broadcast(countries.select("code", F.lower("code").alias("lc"), F.lower("name").alias("ln")))
+    from tidemill.sources.store import dimension
+
+    c = dimension(countries.select("code", F.lower("code").alias("lc"), F.lower("name").alias("ln")))
     j = q.join(c, (F.col("q") == F.col("lc")) | (F.col("q") == F.col("ln")) | ((F.col("q") != "") & F.col("ln").startswith(F.col("q"))), "left")
     by_code, by_name = F.max(F.when(F.col("q") == F.col("lc"), F.col("code"))), F.max(F.when(F.col("q") == F.col("ln"), F.col("code")))
     only = F.when(F.count_distinct("code") == 1, F.max("code"))

@@ -30,6 +30,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dimension(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small table for broadcasting, such as categories or countries: its rows are counted, and more than `most` are refused."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"a dimension of {n} rows exceeds {most}")
+    return F.broadcast(df)
+
+
 def claims_file(spark: SparkSession, path: str, country: str, min_answer: int = 10) -> DataFrame:
     """SRC-06: JSON lines of claims; malformed rows stay, with `_corrupt`, and short answers go."""
     schema = "question string, answer string, category string, confidence string, tags array<string>, source_msgs array<string>, _corrupt string"
