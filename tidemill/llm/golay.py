@@ -29,7 +29,7 @@ def key_errors() -> np.ndarray:
 
     A word up to 2 bits off its codeword has that one; a word 3 bits off also has
     the five codewords 4 bits off. Words that differ in 2 bits or fewer share a
-    codeword so (tests/llm/test_simhash.py tries all).
+    codeword so (tests/llm/test_vector_ops.py tries all).
     """
     bit = [syndrome(1 << b) for b in range(BITS)]
     found: list[list[int]] = [[] for _ in range(1 << CHECK_BITS)]

@@ -126,15 +126,24 @@ class Fingerprint:
     def checked(self, words: np.ndarray) -> np.ndarray:
         return words[:, self.key_words : self.key_words + self.check_words] if self.check_words else words[:, : self.key_words]
 
-    def keys(self, words: np.ndarray) -> np.ndarray:
-        """Keys of fingerprints (n, words): a row for each fingerprint, padded with -1."""
-        segment = []
+    @property
+    def exhaustive(self) -> bool:
+        """Whether keys miss no link: three segments, two errors at most, the first of a key's segments exact."""
+        return self.max_bits <= 2 and len(self.segments) == 3 and not self.check_words and all(exact for _, _, exact in self.pairs)
+
+    def segment_values(self, words: np.ndarray) -> list[np.ndarray]:
+        out = []
         for at, size in self.segments:
             word, off = divmod(at, 64)
             value = words[:, word] >> np.uint64(off)
             if off + size > 64:
                 value |= words[:, word + 1] << np.uint64(64 - off)
-            segment.append((value & np.uint64((1 << size) - 1)).astype(np.int64))
+            out.append((value & np.uint64((1 << size) - 1)).astype(np.int64))
+        return out
+
+    def keys(self, words: np.ndarray) -> np.ndarray:
+        """Keys of fingerprints (n, words): a row for each fingerprint, padded with -1."""
+        segment = self.segment_values(words)
         fuzzy = {j: golay.keys(segment[j]) for a, b, exact in self.pairs for j in ((b,) if exact else (a, b))}
         parts = []
         for number, (a, b, exact) in enumerate(self.pairs):
@@ -281,8 +290,10 @@ def fingerprint_links(reps: DataFrame, kind: Fingerprint, verify: Callable[[Data
     """Links (u, v) between the ids of distinct fingerprints (rep, fp), enough to connect all that link.
 
     Keys with few members form pairs in a join that compares before it emits.
-    Keys with more are counted off first, dealt into blocks of bounded size by a
-    hash of the id, and each block and each two blocks of a key are walked by a
+    Keys with more are counted off first. Where keys miss no link, a key of more than a block is
+    divided by the fuzzy keys of its third segment, which two linked members share too: what is
+    left together then is bounded by the code, whatever the table. Groups are dealt into blocks of
+    bounded size by a hash of the id, and each block and each two blocks of a group are walked by a
     task of their own: exact at any size of a group, and linear in edges.
 
     With longer, members of such groups are compared by longer fingerprints, which it gives for ids.
@@ -313,6 +324,15 @@ def fingerprint_links(reps: DataFrame, kind: Fingerprint, verify: Callable[[Data
         edges = walk(ids, words, other, bits)
         return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
 
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.asarray(batch.column("key"))
+            values = kind.segment_values(_matrix(batch.column("w"), width))
+            other = np.array([3 - a - b for a, b, _ in kind.pairs])[key & 15] if len(key) else np.zeros(0, np.int64)
+            subs = golay.keys(np.stack(values)[other, np.arange(len(key))]) if len(key) else np.zeros((0, 1), np.int64)
+            row, column = np.nonzero(subs >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(subs[row, column], pa.int64()), batch.column("rep").take(pa.array(row)), batch.column("w").take(pa.array(row))], names=["key", "sub", "rep", "w"])
+
     keyed = materialize(reps.select("rep", "fp").mapInArrow(spread, schema))
     many = materialize(keyed.groupBy("key").count().where(F.col("count") > PAIR_GROUP).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")))
     many = sized(many)
@@ -320,14 +340,21 @@ def fingerprint_links(reps: DataFrame, kind: Fingerprint, verify: Callable[[Data
     a, b = few.alias("a"), few.alias("b")
     near = distance(F.col("a.w"), F.col("b.w"), width) <= kind.max_bits
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    large = keyed.join(many, "key")
+    large = keyed.join(many, "key").withColumn("sub", F.lit(0).cast("long"))
+    if kind.exhaustive:
+        # Members of a key that fill several blocks are told apart by the segment that is not in it.
+        sub = large.where("blocks > 1").select("key", "rep", "w").mapInArrow(divide, "key long, sub long, rep long, w array<long>")
+        sub = materialize(sub)
+        sizes = sub.groupBy("key", "sub").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+        columns = ["key", "sub", "rep", "w", "blocks"]
+        large = large.where("blocks = 1").select(*columns).unionByName(sub.join(sized(materialize(sizes)), ["key", "sub"]).select(*columns))
     if longer:
         large = large.drop("w").join(longer(large.select("rep").distinct()), "rep")
     dealt = large.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "rep", "w", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "rep", "w")
+    dealt = dealt.select("key", "sub", "rep", "w", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("key", "sub", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "rep", "w")
     dealt = materialize(dealt)
-    walked = dealt.groupBy("key", "lo", "hi").applyInArrow(across, "u long, v long")
+    walked = dealt.groupBy("key", "sub", "lo", "hi").applyInArrow(across, "u long, v long")
     if verify is None:
         return pairs.unionByName(walked).distinct()
 
@@ -357,7 +384,7 @@ def fingerprint_links(reps: DataFrame, kind: Fingerprint, verify: Callable[[Data
         placed = dealt.join(start, "rep", "left").join(here, "rep", "left")
         placed = placed.withColumn("start", F.coalesce("start", "rep")).withColumn("now", F.coalesce("now", "rep"))
 
-        due = materialize(placed.groupBy("key", "lo", "hi").applyInArrow(rest(ranks), "u long, v long").distinct())
+        due = materialize(placed.groupBy("key", "sub", "lo", "hi").applyInArrow(rest(ranks), "u long, v long").distinct())
         more = not due.where("u is null").isEmpty()
         found = materialize(found.unionByName(verify(materialize(ordered(due.where("u is not null"))))))
         if not more:
