@@ -122,9 +122,9 @@ with split as (
   select words, place, n_words >= 8 as by_words, case when n_words >= 8 then words else string_split(array_to_string(words, ' '), '') end as tokens
   from firsts where n_words >= 8 or length(array_to_string(words, ' ')) >= 16
 ), sized as (
-  select *, len(tokens) as n, case when by_words then ' ' else '' end as gap from tokened
+  select *, len(tokens) as n from tokened
 ), prefixed as (
-  select place, tokens, n, by_words, m, unnest([['s', array_to_string(tokens[1:m // 2], gap)], ['e', array_to_string(tokens[n - m // 2 + 1:n], gap)]]) as side
+  select place, tokens, n, by_words, m, unnest([['s', array_to_string(tokens[1:m // 2], '|')], ['e', array_to_string(tokens[n - m // 2 + 1:n], '|')]]) as side
   from (select *, unnest([n, n + 1]) as m from sized)
 ), pairs as (
   select distinct a.place as place, a.tokens as tokens, a.n as n, b.tokens as of, b.n as k
