@@ -381,8 +381,9 @@ def fingerprint_links(reps: DataFrame, kind: Fingerprint, verify: Callable[[Data
         found = now.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         here = now.select(F.col("node").alias("rep"), F.col("component").alias("now"))
         start = here.withColumnRenamed("now", "start") if start is None else start
-        placed = dealt.join(start, "rep", "left").join(here, "rep", "left")
-        placed = placed.withColumn("start", F.coalesce("start", "rep")).withColumn("now", F.coalesce("now", "rep"))
+        # One row per linked node: the members of groups meet both components in one join.
+        state = sized(materialize(here.join(start, "rep", "left").select("rep", F.coalesce("start", "rep").alias("start"), "now")))
+        placed = dealt.join(state, "rep", "left").withColumn("start", F.coalesce("start", "rep")).withColumn("now", F.coalesce("now", "rep"))
 
         due = materialize(placed.groupBy("key", "sub", "lo", "hi").applyInArrow(rest(ranks), "u long, v long").distinct())
         more = not due.where("u is null").isEmpty()
