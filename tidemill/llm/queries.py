@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curves, epsilon, lines, mixing, packing, quality, sharding, simhash, toxicity
+from . import chat, curves, epsilon, ledger, lines, merkle, mixing, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -72,6 +72,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all rules under the latest policy."""
+    rows = ledger.apply_policy(ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v2")
+    base = F.col("failed").bitwiseAND(F.lit(ledger.mask("base"))) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and roots of all documents, and each proof tried on a tampered fifth."""
+    docs = table(spark, sf_dir, "documents")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    leaf = lambda text: merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    proved = merkle.manifest(docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), leaf(tampered).alias("tampered")))
+    folded = proved.withColumn("folded_root", merkle.fold(F.col("tampered"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it stands beside the package, and imports it
 
@@ -89,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_quality_rules": op11_quality_rules,
+    "op13_manifest": op13_manifest,
     "pipeline": pipeline,
 }
 
@@ -170,5 +190,75 @@ with recursive sized as (
 )
 select doc_id, size, source_size, target, (size * copies)::bigint as taken, copies::bigint as copies
 from (select *, base + (case when rem > 0 and through <= upto and size >= 0 then 1 else 0 end) as copies from final)
+""",
+    "op11_quality_rules": r"""
+with docs as (
+  select doc_id, row_number() over () as r, coalesce(text, '') as text from documents
+), parts as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from docs
+), windows as (
+  select r, i, words[i] as a, words[i + 1] as b, words[i + 2] as c from (select r, words, unnest(range(1, len(words) - 1)) as i from parts)
+), twice as (
+  select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from windows) where n > 1
+), covered as (
+  select r, count(distinct i + k) as n from twice, (select unnest([0, 1, 2]) as k) group by r
+), measured as (
+  select p.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    len(regexp_extract_all(text, '[A-Z]'))::bigint as n_capitals, len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
+  from parts p left join covered c on p.r = c.r
+), judged as (
+  select *, (case when n_words < 50 then 1 else 0 end) | (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end) | (case when 10 * n_symbols > n_words then 4 else 0 end)
+    | (case when n_lines >= 5 and 10 * n_dup_lines > 4 * n_lines then 8 else 0 end) | (case when n_words > 0 and (word_chars / n_words < 2.5 or word_chars / n_words > 12) then 16 else 0 end)
+    | (case when 10 * n_capitals > 4 * word_chars then 32 else 0 end) as failed
+  from measured
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed::bigint as failed from judged
+""",
+    "op13_manifest": r"""
+with recursive docs as (
+  select *, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) as crc_ from documents
+), hashed as (
+  select doc_id, source, sha256(e0 || e1 || e2 || e3 || coalesce(strlen(text)::varchar || ':' || text, '-')) as leaf, sha256(e0 || e1 || e2 || e3 || coalesce(strlen(low)::varchar || ':' || low, '-')) as tampered
+  from (select *, coalesce(strlen(doc_id::varchar)::varchar || ':' || doc_id::varchar, '-') as e0, coalesce(strlen(source)::varchar || ':' || source, '-') as e1,
+      coalesce(strlen(lang)::varchar || ':' || lang, '-') as e2, coalesce(strlen(n_chars::varchar)::varchar || ':' || n_chars::varchar, '-') as e3,
+      case when xor(crc_, 4294967295) % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as low from docs)
+), leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as total from hashed
+), up as (
+  select 0 as level, source, pos, total, leaf as node from leaves
+  union all
+  select level + 1, source, pos // 16, (max(total) + 15) // 16, sha256(string_agg(node, '' order by pos)) from up where total > 1 group by level, source, pos // 16
+), subroots as (
+  select source, node as subroot, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as total from up where total = 1
+), top as (
+  select 0 as level, pos, total, subroot as node from subroots
+  union all
+  select level + 1, pos // 16, (max(total) + 15) // 16, sha256(string_agg(node, '' order by pos)) from top where total > 1 group by level, pos // 16
+), root as (
+  select node as root from top where total = 1
+), runs as (
+  select a.source, a.level, a.pos, coalesce(string_agg(b.node, '' order by b.pos) filter (where b.pos < a.pos), '') as left_, coalesce(string_agg(b.node, '' order by b.pos) filter (where b.pos > a.pos), '') as right_
+  from up a join up b on a.source is not distinct from b.source and a.level = b.level and a.pos // 16 = b.pos // 16 where a.total > 1 group by a.source, a.level, a.pos
+), topruns as (
+  select a.level, a.pos, coalesce(string_agg(b.node, '' order by b.pos) filter (where b.pos < a.pos), '') as left_, coalesce(string_agg(b.node, '' order by b.pos) filter (where b.pos > a.pos), '') as right_
+  from top a join top b on a.level = b.level and a.pos // 16 = b.pos // 16 where a.total > 1 group by a.level, a.pos
+), steps as (
+  select l.source, l.pos, r.level as step, r.left_, r.right_ from leaves l join runs r on l.source is not distinct from r.source and r.pos = l.pos // (16 ** r.level)::bigint
+  union all
+  select l.source, l.pos, 100 + t.level, t.left_, t.right_ from leaves l join subroots s on l.source is not distinct from s.source join topruns t on t.pos = s.pos // (16 ** t.level)::bigint
+), numbered as (
+  select *, row_number() over (partition by source, pos order by step) as n from steps
+), fold as (
+  select source, pos, 0 as n, tampered as node from leaves
+  union all
+  select f.source, f.pos, f.n + 1, sha256(m.left_ || f.node || m.right_) from fold f join numbered m on f.source is not distinct from m.source and f.pos = m.pos and m.n = f.n + 1
+), folded as (
+  select source, pos, max_by(node, n) as folded_root from fold group by source, pos
+), proofs as (
+  select source, pos, string_agg(left_ || right_, '' order by n) as said from numbered group by source, pos
+)
+select l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(p.said, '')) as proof_sha256, f.folded_root, f.folded_root = r.root as verified
+from leaves l join subroots s on l.source is not distinct from s.source cross join root r join folded f on l.source is not distinct from f.source and l.pos = f.pos left join proofs p on l.source is not distinct from p.source and l.pos = p.pos
 """,
 }
