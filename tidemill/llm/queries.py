@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curves, epsilon, ledger, lines, merkle, mixing, packing, quality, sharding, simhash, toxicity
+from . import chat, curves, epsilon, ledger, lines, merkle, mixing, packing, phrases, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -79,6 +79,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, proofs and roots of all documents, and each proof tried on a tampered fifth."""
     docs = table(spark, sf_dir, "documents")
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
     "op11_quality_rules": op11_quality_rules,
+    "op12_phrases": op12_phrases,
     "op13_manifest": op13_manifest,
     "pipeline": pipeline,
 }
@@ -139,16 +144,18 @@ with split as (
 ), firsts as (
   select words, n_words, min(place) as place from placed group by words, n_words
 ), tokened as (
-  select words, place, n_words >= 8 as by_words, case when n_words >= 8 then words else string_split(array_to_string(words, ' '), '') end as tokens
+  select words, place, n_words, n_words >= 8 as by_words, case when n_words >= 8 then words else string_split(array_to_string(words, ' '), '') end as tokens
   from firsts where n_words >= 8 or length(array_to_string(words, ' ')) >= 16
+  union all
+  select words, place, n_words, true, words from firsts where n_words = 7
 ), sized as (
   select *, len(tokens) as n from tokened
 ), prefixed as (
-  select place, tokens, n, by_words, m, unnest([['s', array_to_string(tokens[1:m // 2], '|')], ['e', array_to_string(tokens[n - m // 2 + 1:n], '|')]]) as side
+  select place, tokens, n, n_words, by_words, m, unnest([['s', array_to_string(tokens[1:m // 2], '|')], ['e', array_to_string(tokens[n - m // 2 + 1:n], '|')]]) as side
   from (select *, unnest([n, n + 1]) as m from sized)
 ), pairs as (
   select distinct a.place as place, a.tokens as tokens, a.n as n, b.tokens as of, b.n as k
-  from prefixed a join prefixed b on a.m = b.m and a.side = b.side and a.by_words = b.by_words and b.place < a.place and abs(a.n - b.n) <= 1 and greatest(a.n, b.n) = a.m
+  from prefixed a join prefixed b on a.m = b.m and a.side = b.side and a.by_words = b.by_words and b.place < a.place and (not a.by_words or greatest(a.n_words, b.n_words) >= 8) and abs(a.n - b.n) <= 1 and greatest(a.n, b.n) = a.m
 ), near as (
   select distinct place from pairs where
     len(list_filter(range(1, least(n, k) + 1), lambda i: tokens[1:i] = of[1:i])) + len(list_filter(range(1, least(n, k) + 1), lambda i: tokens[n - i + 1:n] = of[k - i + 1:k])) >= greatest(n, k) - 1
@@ -213,6 +220,36 @@ with docs as (
   from measured
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed::bigint as failed from judged
+""",
+    "op12_phrases": r"""
+with split as (
+  select row_number() over () as r, coalesce(lang, 'und') as lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as parts from documents
+), worded as (
+  select lang, regexp_extract_all(part, '[^\x20\x09]+') as words from (select lang, unnest(parts) as part from split)
+), totals as (
+  select lang, sum(len(words))::bigint as n from worded group by lang
+), grams as (
+  select lang, m, array_to_string(words[i:i + m - 1], ' ') as phrase
+  from (select lang, words, m, unnest(range(1, len(words) - m + 2)) as i from worded, (select unnest([1, 2, 3, 4]) as m))
+), counts as (
+  select lang, m, phrase, count(*) as f from grams group by lang, m, phrase having count(*) >= 30
+), cands as (
+  select lang, m, phrase, f as a, string_split(phrase, ' ') as words from counts where m >= 2
+), longer as (
+  select s.lang, s.phrase, max(l.a) as top from cands s join cands l on s.lang = l.lang and l.m > s.m and contains(' ' || l.phrase || ' ', ' ' || s.phrase || ' ') group by s.lang, s.phrase
+), cuts as (
+  select c.lang, c.phrase, c.a, k, array_to_string(words[1:k], ' ') as head, array_to_string(words[k + 1:m], ' ') as tail
+  from (select *, unnest(range(1, m)) as k from cands) c left join longer g on c.lang = g.lang and c.phrase = g.phrase where g.top is null or 100 * g.top < 80 * c.a
+), scored as (
+  select c.*, l.f as l, r.f as r, (2000000::hugeint * c.a) // (l.f::hugeint + r.f) as score
+  from cuts c join counts l on c.lang = l.lang and c.head = l.phrase join counts r on c.lang = r.lang and c.tail = r.phrase
+), best as (
+  select *, row_number() over (partition by lang, phrase order by score, k) as place from scored
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best where place = 1
+)
+select lang, rank, phrase, a, l, r, t.n, score::bigint as score from ranked join totals t using (lang) where rank <= 2000
 """,
     "op13_manifest": r"""
 with recursive docs as (
