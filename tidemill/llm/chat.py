@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoder
+from . import tokens
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Reserved ids, beyond the vocabulary: no text can encode to them.
@@ -75,7 +76,7 @@ def format_conversations(
     schema = T._parse_datatype_string(CHUNK_SCHEMA.format(id=id_type.simpleString()))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = functools.partial(tokens.encode, path=vocabulary, ordinary=True)
         line_end = encode("\n")
         out: list[tuple] = []
         text: list[str] = []
@@ -140,7 +141,7 @@ def read_back(chunks: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(vocabulary).decode
+        decode = tokens.encoder(vocabulary).decode
         turns, loss, counts = hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
         for batch in batches:
             out: list[list] = [[] for _ in schema]

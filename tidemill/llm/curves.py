@@ -215,4 +215,5 @@ def _window(blocks: DataFrame, points: DataFrame, sample: list, k: int, curves:
     places = blocks.select("curve", "at", F.explode("id").alias("id")).join(F.broadcast(wanted), "id").collect()
     at = {(r["curve"], r["id"]): r["at"] for r in places}
     away = [min(abs(at[c, r["q"]] - at[c, r["id"]]) for c in range(curves)) for r in true]
-    return max(1, int(np.quantile(away, HELD, method="higher")))
+    # Without two usable vectors nothing is near anything.
+    return max(1, int(np.quantile(away, HELD, method="higher"))) if away else 1

@@ -34,49 +34,76 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), " "), "")
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line_no, words of each line that has words."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(spaced(F.col(text_col)), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+def text_hash(text_col: str) -> Column:
+    """Tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.lit(3), F.col(text_col))
 
 
-def tokens(words: Column) -> Column:
-    """What edits are counted in: a longer line's words, or a shorter line's characters.
+def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, line_no, words of each line that has words."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), F.posexplode(F.split(spaced(F.col(text_col)), "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "text_hash", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
-    Characters carry a blank, which no word has, so that the two never meet.
-    """
-    return F.when(F.size(words) >= WORDS, words).otherwise(F.transform(F.split(F.array_join(words, " "), ""), lambda c: F.concat(F.lit(" "), c)))
+
+def characters(words: Column) -> Column:
+    """A shorter line's characters. Each carries a blank, which no word has, so that they never meet words."""
+    return F.transform(F.split(F.array_join(words, " "), ""), lambda c: F.concat(F.lit(" "), c))
 
 
 def lines_at(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The tokens of wanted lines (doc_id, line_no, key, place): key, place, tokens; other documents are not split."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key", "place")).alias("at"))
-    per_doc = sized(materialize(per_doc.withColumnRenamed("doc_id", "__at_doc")))
+    """The words of wanted lines (doc_id, text_hash, line_no, key, place): key, place, words; other documents are not split."""
+    per_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "key", "place")).alias("at"))
+    per_doc = materialize(per_doc.select(F.col("doc_id").alias("__at_doc"), F.col("text_hash").alias("__at_hash"), "at"))
+    n_docs, n_lines = per_doc.agg(F.count("*"), F.sum(F.size("at"))).first()
+    if n_docs + (n_lines or 0) <= common.BROADCAST_ROWS:
+        per_doc = F.broadcast(per_doc)
     # The text is split once, as the only element of a list: inside, `parts` is a value.
     taken = F.transform(F.array(F.split(F.col(text_col), "\n")), lambda parts: F.transform("at", lambda x: F.struct(x["key"].alias("key"), x["place"].alias("place"), F.get(parts, x["line_no"]).alias("line"))))[0]
-    found = docs.join(per_doc, docs[id_col].eqNullSafe(F.col("__at_doc"))).select(F.explode(taken).alias("x"))
+    found = docs.join(per_doc, docs[id_col].eqNullSafe(F.col("__at_doc")) & (text_hash(text_col) == F.col("__at_hash"))).select(F.explode(taken).alias("x"))
     found = found.select("x.key", "x.place", line_words(spaced(F.col("x.line"))).alias("words"))
-    # Rows that share an id may differ in text: the line's own hash decides.
-    return found.where(_key(F.col("words")) == F.col("key")).dropDuplicates(["key"]).select("key", "place", tokens(F.col("words")).alias("tokens"))
+    # Equal rows give a line more than once, and texts of equal hashes other lines: the line's own hash decides.
+    return found.where(_key(F.col("words")) == F.col("key")).dropDuplicates(["key"])
+
+
+def forms(lines: DataFrame) -> DataFrame:
+    """Lines (key, place, words) as what edits are counted in: key, place, by_words, whole_only, tokens.
+
+    A line of WORDS words or more is its words, a shorter one its characters. One word less than WORDS
+    is words too, but meets longer lines only: of it there are no deletions (whole_only).
+    """
+    n, w = F.size("words"), F.col("words")
+    short = F.array_join(w, " ")
+    form = lambda by_words, whole_only, tokens: F.struct(F.lit(by_words).alias("by_words"), F.lit(whole_only).alias("whole_only"), tokens.alias("tokens"))
+    each = F.when(n >= WORDS, F.array(form(True, False, w))).when(n < WORDS - 1, F.array(form(False, False, characters(w))))
+    each = each.when(F.length(short) >= CHARACTERS, F.array(form(False, False, characters(w)), form(True, True, w))).otherwise(F.array(form(True, True, w)))
+    return lines.select("key", "place", F.explode(each).alias("f")).select("key", "place", "f.*")
+
+
+def _total(shift: int) -> Column:
+    """The exclusive or of the hashes of token and place, the latter moved by shift."""
+    return F.aggregate(F.transform("tokens", lambda t, j: F.xxhash64(t, j + shift)), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(h))
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(place, cut, v) of lines (place, tokens): hashed keys of the line itself (cut -1) and of it less each token.
+    """(place, by_words, cut, v) of lines (place, by_words, tokens): hashed keys of the line itself (cut -1) and of it less each token.
 
     A list of tokens is keyed by the exclusive or of the hashes of token and place. So
     the key without a token is made of the exclusive or of the hashes ahead of it,
     and of that of the hashes behind it, each a place earlier. Both are
     running sums over the exploded line: work and memory grow with its length alone.
     """
-    none = F.lit(0).cast("long")
-    total = lambda shift: F.aggregate(F.transform("tokens", lambda t, j: F.xxhash64(t, j + shift)), none, lambda acc, h: acc.bitwiseXOR(h))
-    totals = lines.select("place", "tokens", total(0).alias("whole"), total(-1).alias("moved"))
-    each = totals.select("place", "moved", F.posexplode("tokens").alias("cut", "t"))
-    each = each.select("place", "cut", "moved", F.xxhash64("t", "cut").alias("here"), F.xxhash64("t", F.col("cut") - 1).alias("before"))
+    totals = lines.select("place", "by_words", "tokens", _total(0).alias("whole"), _total(-1).alias("moved"))
+    each = totals.select("place", "by_words", "moved", F.posexplode("tokens").alias("cut", "t"))
+    each = each.select("place", "by_words", "cut", "moved", F.xxhash64("t", "cut").alias("here"), F.xxhash64("t", F.col("cut") - 1).alias("before"))
     run = Window.partitionBy("place").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = F.bit_xor("here").over(run).bitwiseXOR(F.col("here"))
     behind = F.col("moved").bitwiseXOR(F.bit_xor("before").over(run))
-    return each.select("place", "cut", ahead.bitwiseXOR(behind).alias("v")).unionByName(totals.select("place", F.lit(-1).alias("cut"), F.col("whole").alias("v")))
+    return each.select("place", "by_words", "cut", ahead.bitwiseXOR(behind).alias("v")).unionByName(totals.select("place", "by_words", F.lit(-1).alias("cut"), F.col("whole").alias("v")))
+
+
+def whole_keys(lines: DataFrame) -> DataFrame:
+    """The keys of variants() of the lines themselves."""
+    return lines.select("place", "by_words", F.lit(-1).alias("cut"), _total(0).alias("v"))
 
 
 def _places(numbered: DataFrame) -> Column:
@@ -93,15 +120,15 @@ def _places(numbered: DataFrame) -> Column:
     return (order * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def _without_part(parts: int, n: Column, head_of, tail_of, salt: int) -> Column:
-    """Hashed keys of a line of n tokens less one of so many equal parts, for lines as long or a token longer.
+def _without_part(parts: int, n: Column, head_of, tail_of, salt: int, extra: tuple[int, ...] = (0, 1)) -> Column:
+    """Hashed keys of a line of n tokens less one of so many equal parts, for lines that are longer by the extra tokens.
 
     If two lines differ by one token, it lies in one part of the longer, counted
     from the start before it and from the end behind it; what is left of both is equal.
     head_of and tail_of give the first and last tokens of a number.
     """
     keys = []
-    for longer in (n, n + 1):
+    for longer in [n + k for k in extra]:
         for k in range(parts):
             head = F.floor(longer * k / parts).cast("int")
             tail = longer - F.floor(longer * (k + 1) / parts).cast("int")
@@ -109,9 +136,9 @@ def _without_part(parts: int, n: Column, head_of, tail_of, salt: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def _list_parts(values: Column, parts: int) -> Column:
+def _list_parts(values: Column, parts: int, extra: tuple[int, ...] = (0, 1)) -> Column:
     n = F.size(values)
-    return _without_part(parts, n, lambda k: F.slice(values, F.lit(1), k), lambda k: F.slice(values, n - k + 1, k), 0)
+    return _without_part(parts, n, lambda k: F.slice(values, F.lit(1), k), lambda k: F.slice(values, n - k + 1, k), 0, extra)
 
 
 def _text_halves(line: Column) -> Column:
@@ -143,12 +170,12 @@ def within_one_token(a: Column, b: Column) -> Column:
 
 
 def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that repeat an earlier line: (doc_id, line_no).
+    """Lines that repeat an earlier line: (doc_id, text_hash, line_no).
 
     Lines are compared as lists of words, lower-cased; lines without words stay. Order is by doc_id
     (null last) and line. A line goes if an earlier one is equal, whatever its length, or
     within the edit bound, whether or not that one is kept itself. The bound is one
-    token put in, left out or replaced: one word where both lines have WORDS words or more, and
+    token put in, left out or replaced: one word where one of the lines has WORDS words or more, and
     one character where both have fewer and CHARACTERS characters or more (words joined by blanks).
 
     1. Equal lines meet by their hash; the earliest is kept.
@@ -166,34 +193,39 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     lines = line_table(docs, id_col, text_col)
     w = F.col("words")
-    longer = F.size(w) >= WORDS
-    numbered = materialize(lines.select("doc_id", "line_no", _key(w).alias("key"), F.when(longer, _list_parts(w, 2)).alias("halves"), F.when(~longer, F.array_join(w, " ")).alias("short")))
+    n = F.size(w)
+    at = ["doc_id", "text_hash", "line_no"]
+    halves = F.when(n >= WORDS, _list_parts(w, 2)).when(n == WORDS - 1, _list_parts(w, 2, (1,)))
+    numbered = materialize(lines.select(*at, _key(w).alias("key"), halves.alias("halves"), F.when(n < WORDS, F.array_join(w, " ")).alias("short")))
     place = _places(numbered)
-    hashed = numbered.select("doc_id", "line_no", "key", place.alias("place"))
+    hashed = numbered.select(*at, "key", place.alias("place"))
     first = hashed.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
     repeated = materialize(first.where("copies > 1").select("key", "first"))
-    exact = hashed.join(sized(repeated), "key").where(F.col("place") > F.col("first")).select("doc_id", "line_no")
+    exact = hashed.join(sized(repeated), "key").where(F.col("place") > F.col("first")).select(*at)
 
-    halves = F.coalesce("halves", F.when(F.length("short") >= CHARACTERS, _text_halves(F.col("short"))))
-    fuzzy = numbered.select("doc_id", "line_no", "key", place.alias("place"), halves.alias("keys")).where("keys is not null")
+    by_text = F.when(F.length("short") >= CHARACTERS, _text_halves(F.col("short")))
+    keys = F.when(F.col("halves").isNotNull() & by_text.isNotNull(), F.concat("halves", by_text)).otherwise(F.coalesce("halves", by_text))
+    fuzzy = numbered.select(*at, "key", place.alias("place"), keys.alias("keys")).where("keys is not null")
     halved = materialize(_sharing(fuzzy.select("key.a", "keys")))
     candidates = fuzzy.withColumn("a", F.col("key.a")).join(sized(halved), "a", "left_semi")
-    candidates = candidates.groupBy("key").agg(F.min_by(F.struct("doc_id", "line_no", "place"), "place").alias("at")).select("key", "at.*")
-    texts = materialize(lines_at(docs, candidates, id_col, text_col))
-    quartered = materialize(_sharing(texts.select("key.a", _list_parts(F.col("tokens"), 4).alias("keys"))))
+    candidates = candidates.groupBy("key").agg(F.min_by(F.struct(*at, "place"), "place").alias("at")).select("key", "at.*")
+    texts = materialize(forms(lines_at(docs, candidates, id_col, text_col)))
+    quarters = F.when(F.col("whole_only"), _list_parts(F.col("tokens"), 4, (1,))).otherwise(_list_parts(F.col("tokens"), 4))
+    quartered = materialize(_sharing(texts.select("key.a", quarters.alias("keys"))))
     texts = materialize(texts.withColumn("a", F.col("key.a")).join(sized(quartered), "a", "left_semi").drop("a"))
 
-    deletions = materialize(variants(texts.select("place", "tokens")))
+    deletions = materialize(variants(texts.where("not whole_only").select("place", "by_words", "tokens")).unionByName(whole_keys(texts.where("whole_only"))))
     by_cut = deletions.groupBy("v", "cut").agg(F.min("place").alias("first"), F.count("*").alias("members"))
     by_variant = by_cut.groupBy("v").agg(
         F.min(F.when(F.col("cut") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("cut") >= 0, F.col("first"))).alias("cut_first"), F.sum("members").alias("all_members")
     ).where("all_members > 1")
     partners = by_cut.join(by_variant, "v").select("v", "cut", F.when(F.col("cut") < 0, F.col("cut_first")).otherwise(F.least("first", "whole")).alias("partner"))
     partners = materialize(partners.where("partner is not null"))
-    found = deletions.join(sized(partners), ["v", "cut"]).where(F.col("partner") < F.col("place")).groupBy("place").agg(F.min("partner").alias("partner"))
-    of = texts.select(F.col("place").alias("at"), F.col("tokens").alias("of"))
-    verified = found.join(texts, "place").join(of, F.col("partner") == F.col("at")).where(within_one_token(F.col("tokens"), F.col("of"))).select("key", "place")
-    near = fuzzy.join(sized(materialize(verified)), ["key", "place"], "left_semi").select("doc_id", "line_no")
+    found = deletions.join(sized(partners), ["v", "cut"]).where(F.col("partner") < F.col("place")).groupBy("place", "by_words").agg(F.min("partner").alias("partner"))
+    of = texts.select(F.col("place").alias("at"), F.col("by_words").alias("of_words"), F.col("tokens").alias("of"))
+    verified = found.join(texts, ["place", "by_words"]).join(of, (F.col("partner") == F.col("at")) & (F.col("by_words") == F.col("of_words")))
+    verified = verified.where(within_one_token(F.col("tokens"), F.col("of"))).select("key", "place").distinct()
+    near = fuzzy.join(sized(materialize(verified)), ["key", "place"], "left_semi").select(*at)
     return exact.unionByName(near).distinct()
 
 
@@ -201,19 +233,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """docs without repeated lines: its columns, text rewritten, and n_lines, n_removed.
 
     See duplicate_lines for what repeats. Null text stays null (no lines) and empty text stays
-    empty. Rows that share a doc_id are one document in the order: their
-    lines of the same number do not remove each other. With drop_emptied, documents
+    empty. Rows that share a doc_id, or have none, are one document in the order: their
+    lines of the same number do not remove each other, and each loses its own. With drop_emptied, documents
     whose words are all in removed lines go. Columns of docs already
     called n_lines or n_removed are replaced.
     """
     removed = duplicate_lines(docs, id_col=id_col, text_col=text_col)
     # One array per document, no longer than the document's own list of lines.
-    removed = materialize(removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("__removed")).withColumnRenamed("doc_id", "__line_doc"))
+    removed = removed.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("__removed"))
+    removed = materialize(removed.select(F.col("doc_id").alias("__line_doc"), F.col("text_hash").alias("__line_hash"), "__removed"))
     docs_hit, lines_hit = removed.agg(F.count("*"), F.sum(F.size("__removed"))).first()
     if docs_hit + (lines_hit or 0) <= 2 * common.BROADCAST_ROWS:
         removed = F.broadcast(removed)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.join(removed, docs[id_col].eqNullSafe(removed["__line_doc"]), "left")
+    joined = docs.join(removed, docs[id_col].eqNullSafe(removed["__line_doc"]) & (text_hash(text_col) == removed["__line_hash"]), "left")
     split = F.split(F.col(text_col), "\n")
 
     def left(parts: Column) -> Column:

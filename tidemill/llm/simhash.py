@@ -364,11 +364,14 @@ def fingerprint_links(reps: DataFrame, kind: Fingerprint, verify: Callable[[Data
             ids, words = np.asarray(batch["rep"]), _matrix(batch["w"], wide)
             other = np.asarray(batch["block"]) != batch["lo"][0].as_py()
             edges, more = remaining(ids, words, other, np.asarray(batch["start"]), np.asarray(batch["now"]), bits, ranks)
+            # A row without ends says that this group holds more.
             edges = edges + [(None, None)] * more
-            return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
+            columns = {"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())}
+            return pa.table(columns | {c: pa.array([batch[c][0].as_py() if len(edges) else None] * len(edges), batch[c].type) for c in group})
 
         return of
 
+    group = ["key", "sub", "lo", "hi"]
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     found = materialize(verify(materialize(ordered(pairs.unionByName(walked)))))
     if many.isEmpty():
@@ -385,11 +388,13 @@ def fingerprint_links(reps: DataFrame, kind: Fingerprint, verify: Callable[[Data
         state = sized(materialize(here.join(start, "rep", "left").select("rep", F.coalesce("start", "rep").alias("start"), "now")))
         placed = dealt.join(state, "rep", "left").withColumn("start", F.coalesce("start", "rep")).withColumn("now", F.coalesce("now", "rep"))
 
-        due = materialize(placed.groupBy("key", "sub", "lo", "hi").applyInArrow(rest(ranks), "u long, v long").distinct())
-        more = not due.where("u is null").isEmpty()
-        found = materialize(found.unionByName(verify(materialize(ordered(due.where("u is not null"))))))
-        if not more:
+        due = materialize(placed.groupBy(*group).applyInArrow(rest(ranks), "u long, v long, key long, sub long, lo int, hi int"))
+        found = materialize(found.unionByName(verify(materialize(ordered(due.where("u is not null").select("u", "v"))))))
+        # Groups that hold no more candidates between components are done: the next round reads the others only.
+        unfinished = materialize(due.where("u is null").select(*group).distinct())
+        if unfinished.isEmpty():
             return found
+        dealt = dealt.join(sized(unfinished), group, "left_semi")
     raise RuntimeError("groups were not walked to the end")
 
 

@@ -6,6 +6,7 @@ import base64
 import functools
 import json
 import os
+import re
 
 #: The split pattern that belongs to the byte_bpe_50k vocabulary (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,6 +43,27 @@ def added_tokens(path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
-def encode(text: str, path: str | None = None) -> list[int]:
-    """Ids of a text: added tokens wherever their string stands, and the parts between them on their own."""
-    return encoder(path).encode(text, allowed_special="all")
+#: White space on end beyond which the pattern's look-ahead may exhaust its stack.
+LONG_RUN = 4_096
+_run = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
+@functools.lru_cache(maxsize=4)
+def plain_encoder(path: str | None = None, ordinary: bool = False):
+    """The JSON form of the vocabulary, slower, for texts that the other encoder cannot split."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(f"{os.path.splitext(path or vocabulary_path())[0]}.json")
+    made.encode_special_tokens = ordinary
+    return made
+
+
+def encode(text: str, path: str | None = None, *, ordinary: bool = False) -> list[int]:
+    """Ids of a text: added tokens wherever their string stands, and the parts between them on their own.
+
+    With ordinary, such strings are text like any other. Texts with long runs of white space go
+    through the JSON form, which gives the same ids.
+    """
+    if len(text) >= LONG_RUN and _run.search(text):
+        return plain_encoder(path, ordinary).encode(text, add_special_tokens=False).ids
+    return encoder(path).encode_ordinary(text) if ordinary else encoder(path).encode(text, allowed_special="all")

@@ -18,8 +18,7 @@ from .common import materialize
 
 #: Labelled rows that the model is fitted on, at most: those of the smallest hashed id.
 TRAIN_ROWS = 20_000
-#: Terms learned, at most; word beginnings of these lengths count as terms beside whole words.
-MAX_TERMS = 4_000
+#: Word beginnings of these lengths count as terms beside whole words.
 STEMS = (4, 5, 6, 7)
 #: A term's share of toxic documents, smoothed, from which it may vote.
 PRECISION = 0.8
@@ -300,7 +299,8 @@ def find_voters(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     sizes = {bool(r["t"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     terms = materialize(sample.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    strong = terms.where(((F.col("pos") + 0.5) / (F.col("pos") + F.col("neg") + 1) >= PRECISION) & (F.col("pos") >= 3)).orderBy(F.desc("pos"), "term").limit(MAX_TERMS)
+    strong = terms.where(((F.col("pos") + 0.5) / (F.col("pos") + F.col("neg") + 1) >= PRECISION) & (F.col("pos") >= 3)).orderBy(F.desc("pos"), "term")
+    # Terms of at most TRAIN_ROWS rows that pass the bar of evidence: all of them.
     return Voters(lexicons([tuple(r) for r in strong.select("term", "pos", "neg").collect()], n_pos, n_neg, terms.where("pos + neg >= 3").count())), sample
 
 
