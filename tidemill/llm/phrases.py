@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from .common import materialize, sized
 BREAKS, TAB = b".,;:!?\n\v\f\r", b"\t"
 _CLEAN = bytes.maketrans(BREAKS + TAB, b"\n" * len(BREAKS) + b" ")
 
-#: Distinct suffixes that a task counts before it hands them on.
+#: Distinct words that a task counts before it hands them on, and words that it takes together.
 HELD = 400_000
 #: Size of the filter of frequent words, whatever their number: 2 MB.
 FILTER_BITS = 1 << 24
@@ -28,19 +28,26 @@ HOT_SHARE = 256
 LANG_SEED = 42
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """A text's pieces, A-Z in lower case; words are parted by blanks and hold no zero byte (written as 1 1, and 1 as 1 2)."""
+def cleaned(text: bytes) -> bytes:
+    """A text, A-Z in lower case, with line feeds between its pieces and blanks between words; it holds no zero byte (written as 1 1, and 1 as 1 2)."""
     text = text.lower().translate(_CLEAN)
     if b"\0" in text or b"\1" in text:
         text = text.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
-    return text.split(b"\n")
+    return text
 
 
-def _tally(docs: DataFrame, terms: Callable[[], Callable[[str, bytes], list[bytes]]]) -> DataFrame:
-    """Terms of the texts (lang, text) with their number per task, in lots: lang, term, n."""
+COUNTED = ["lang", "term", "n"]
+
+
+def _lot(lang: str, terms: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(terms), np.int8)), pa.array([lang])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([langs, terms, n], names=COUNTED)
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """Words of the texts (lang, text) with their number per task, in lots: lang, term, n."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = terms()
         seen: dict[str, Counter] = defaultdict(Counter)
 
         def lots() -> Iterator[pa.RecordBatch]:
@@ -48,14 +55,13 @@ def _tally(docs: DataFrame, terms: Callable[[], Callable[[str, bytes], list[byte
                 keys = list(counter)
                 for lo in range(0, len(keys), 50_000):
                     part = keys[lo : lo + 50_000]
-                    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), np.int8)), pa.array([lang])).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([langs, pa.array(part, pa.binary()), pa.array([counter[k] for k in part], pa.int64())], names=["lang", "term", "n"])
+                    yield _lot(lang, pa.array(part, pa.binary()), pa.array([counter[k] for k in part], pa.int64()))
             seen.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen[lang].update(of(lang, text.as_py()))
-                if len(seen[lang]) > HELD:
+                seen[lang].update(cleaned(text.as_py()).split())
+                if sum(map(len, seen.values())) > HELD:
                     yield from lots()
         yield from lots()
 
@@ -72,88 +78,148 @@ def _filter(frequent: DataFrame) -> bytes:
     return out.astype("<i8").tobytes()
 
 
+def _together(words: pa.Array, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Phrases of so many words from each start on, joined by zero bytes; codes tell the words."""
+    parts = []
+    for k in range(int(lengths.max(initial=0))):
+        has = lengths > k
+        at = codes[np.where(has, starts + k, 0)]
+        parts.append(words.take(pa.array(np.where(has, at, 0), mask=~has)))
+    return pc.binary_join_element_wise(*parts, b"\0", null_handling="skip") if parts else pa.array([], pa.binary())
+
+
+def suffix_lot(words: pa.Array, codes: np.ndarray, often: np.ndarray, longest: int) -> tuple[pa.Array, pa.Array]:
+    """Different suffixes of the runs of frequent words in a text of codes, truncated to `longest` words, and how often each occurs."""
+    names = np.cumsum(often) * often  # 0 ends a run
+    c, base = np.append(names[codes], np.zeros(longest, np.int64)), int(often.sum()) + 1
+    n = len(codes)
+    alive, lengths, key = c[:n] > 0, (c[:n] > 0).astype(np.int64), c[:n]
+    for k in range(1, longest):
+        nxt = np.where(alive, c[k : n + k], 0)
+        alive = nxt > 0
+        lengths += alive
+        if int(key.max(initial=0)) > (1 << 62) // base:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * base + nxt
+    real = np.flatnonzero(lengths)
+    _, first, times = np.unique(key[real], return_index=True, return_counts=True)
+    starts = real[first]
+    return _together(words, codes, starts, lengths[starts]), pa.array(times, pa.int64())
+
+
 def _suffixes(docs: DataFrame, frequent: bytes, longest: int) -> DataFrame:
-    """Suffixes of the runs of frequent words, truncated to `longest` words, with their number per task."""
+    """Suffixes of the runs of frequent words, truncated to `longest` words, with their number per lot: lang, term, n."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def terms() -> Callable[[str, bytes], list[bytes]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         # What is known of words: emptied when full, so that rare words cannot fill the memory.
         known: dict[str, dict[bytes, bool]] = defaultdict(dict)
-        seeds = functools.cache(lambda lang: xxhash.xxh64_intdigest(lang.encode(), seed=LANG_SEED))
-        join = b"\0".join
+        held: dict[str, list[bytes]] = defaultdict(list)
 
-        def of(lang: str, text: bytes) -> list[bytes]:
-            here, seed, out = known[lang], seeds(lang), []
+        def often(lang: str, words: list[bytes]) -> list[bool]:
+            here, seed, out = known[lang], xxhash.xxh64_intdigest(lang.encode(), seed=LANG_SEED), []
             if len(here) > HELD:
                 here.clear()
-            for piece in pieces(text):
-                run: list[bytes] = []
-                for word in piece.split():
-                    often = here.get(word)
-                    if often is None:
-                        at = xxhash.xxh64_intdigest(word, seed=seed) & (FILTER_BITS - 1)
-                        often = here[word] = bool(bits[at >> 3] >> (at & 7) & 1)
-                    if often:
-                        run.append(word)
-                    elif run:
-                        out += [join(run[i : i + longest]) for i in range(len(run))]
-                        run = []
-                if run:
-                    out += [join(run[i : i + longest]) for i in range(len(run))]
+            for word in words:
+                there = here.get(word)
+                if there is None:
+                    at = xxhash.xxh64_intdigest(word, seed=seed) & (FILTER_BITS - 1)
+                    there = here[word] = word != b"\0" and bool(bits[at >> 3] >> (at & 7) & 1)
+                out.append(there)
             return out
 
-        return of
+        def lots() -> Iterator[pa.RecordBatch]:
+            for lang, tokens in held.items():
+                coded = pa.array(tokens, pa.binary()).dictionary_encode()
+                words = coded.dictionary
+                yield _lot(lang, *suffix_lot(words, coded.indices.to_numpy().astype(np.int64), np.array(often(lang, words.to_pylist()), np.int64), longest))
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                # A zero byte of its own stands where a piece ends.
+                held[lang] += cleaned(text.as_py()).replace(b"\n", b" \0 ").split()
+                held[lang].append(b"\0")
+                if sum(map(len, held.values())) > HELD:
+                    yield from lots()
+        yield from lots()
+
+    return docs.mapInArrow(count, "lang string, term binary, n long")
+
+
+class Stack:
+    """Counts of the prefixes of sorted suffixes of one language.
 
-    return _tally(docs, terms)
+    It holds the words of the present suffix and the count of each of its prefixes so far. A lot of
+    suffixes is taken at a time: what its first suffixes share with the stack goes on, all runs of equal prefixes
+    that end within the lot are closed and counted, and the prefixes of its last suffix become the stack.
+    """
+
+    def __init__(self, least: int) -> None:
+        self.least, self.words, self.counts, self.divided = least, [], [], False
+
+    def closed(self, depth: np.ndarray, totals: np.ndarray, divided: np.ndarray) -> np.ndarray:
+        """Which prefixes are handed on: frequent ones, and those of which other tasks may hold more."""
+        return (totals >= self.least) | (divided & (depth <= 2))
+
+    def rest(self) -> tuple[pa.Array, pa.Array]:
+        """The prefixes on the stack, which nothing follows."""
+        depth = np.arange(1, len(self.words) + 1)
+        keep = np.flatnonzero(self.closed(depth, np.array(self.counts, np.int64), np.full(len(depth), self.divided)))
+        return pa.array([b"\0".join(self.words[: k + 1]) for k in keep], pa.binary()), pa.array([self.counts[k] for k in keep], pa.int64())
+
+    def take(self, terms: pa.Array, n: np.ndarray, divided: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The prefixes that end within these suffixes, and their counts."""
+        # The stack's own suffix comes first, without a count; what its prefixes have so far is added below.
+        terms = pa.concat_arrays([pa.array([b"\0".join(self.words)], pa.binary()), terms])
+        n, divided = np.append(0, n), np.append(self.divided, divided)
+        split = pc.split_pattern(terms, b"\0")
+        offsets, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
+        codes, starts, sizes = coded.indices.to_numpy().astype(np.int64), offsets[:-1], np.diff(offsets)
+        if not self.words:
+            sizes[0] = 0
+        same = np.ones(len(sizes), bool)
+        same[0] = False
+        out_starts, out_depth, out_n, words, counts = [], [], [], [], []
+        for k in range(int(sizes.max())):
+            has = sizes > k
+            code = codes[np.where(has, starts + k, 0)]
+            same[1:] &= has[1:] & has[:-1] & (code[1:] == code[:-1])
+            opens = np.flatnonzero(has & ~same)
+            totals = np.add.reduceat(np.where(has, n, 0), opens)
+            if k < len(self.words):
+                totals[0] += self.counts[k]
+            if has[-1]:  # the last run goes on
+                words.append(coded.dictionary[code[-1]].as_py())
+                counts.append(int(totals[-1]))
+                opens, totals = opens[:-1], totals[:-1]
+            keep = self.closed(np.full(len(opens), k + 1), totals, divided[opens])
+            out_starts.append(starts[opens[keep]])
+            out_depth.append(np.full(int(keep.sum()), k + 1))
+            out_n.append(totals[keep])
+        self.words, self.counts, self.divided = words, counts, bool(divided[-1])
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return _together(coded.dictionary, codes, join(out_starts), join(out_depth)), pa.array(join(out_n), pa.int64())
 
 
 def _prefixes(rows: DataFrame, least: int) -> DataFrame:
-    """Counts of all prefixes of the sorted suffixes (lang, term, n, parts): lang, term, n.
+    """Counts of all prefixes of the suffixes (lang, term, n, parts), sorted in reverse: lang, term, n.
 
-    The stack holds the words of the present suffix with their counts; a word that is
-    taken off hands its count to the one before it. Prefixes below `least` go, unless their
-    first word is divided over tasks and so short that other tasks may hold more of them.
+    A stack for each language counts them. Prefixes below `least` go, unless their
+    first word is divided over tasks and they are so short that other tasks may hold more of them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        counts: list[int] = []
-        current, divided = None, False
-        out: list[tuple[str, bytes, int]] = []
-
-        def drop(down_to: int) -> None:
-            while len(words) > down_to:
-                n = counts.pop()
-                if n >= least or divided and len(words) <= 2:
-                    out.append((current, b"\0".join(words), n))
-                words.pop()
-                if counts:
-                    counts[-1] += n
-
-        def lot() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            batch = pa.RecordBatch.from_arrays([pa.array([*c], k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "term", "n"])
-            out.clear()
-            return batch
-
+        stacks: dict[str, Stack] = {}
         for batch in batches:
-            for lang, term, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new = term.split(b"\0")
-                same = 0
-                if lang == current:
-                    for a, b in zip(new, words):
-                        if a != b:
-                            break
-                        same += 1
-                drop(same)
-                current, divided = lang, parts is not None
-                words += new[same:]
-                counts += [0] * (len(new) - same)
-                counts[-1] += n
-            yield lot()
-        drop(0)
-        yield lot()
+            coded = batch.column(0).dictionary_encode()
+            of, n, divided = coded.indices.to_numpy(), batch.column(2).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            for k, lang in enumerate(coded.dictionary.to_pylist()):
+                at = np.flatnonzero(of == k)
+                yield _lot(lang, *stacks.setdefault(lang, Stack(least)).take(batch.column(1).take(pa.array(at)), n[at], divided[at]))
+        for lang, stack in stacks.items():
+            yield _lot(lang, *stack.rest())
 
     return rows.mapInArrow(count, "lang string, term binary, n long")
 
@@ -162,11 +228,11 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     """Phrases of 1 to `longest` words with at least `least` occurrences, and the number of all words: (lang, phrase, words, f) and (lang, n).
 
     A first pass counts words. No phrase with a rarer word can reach `least`, so rare words
-    end a run, by a bit filter of fixed size whose false hits change nothing. Suffixes are counted in each task,
+    end a run, by a bit filter of fixed size whose false hits change nothing. Suffixes are counted in lots,
     dealt by language and first word (a very common first word, by its first three words), and sorted.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    words = materialize(_tally(texts, lambda: lambda lang, text: b" ".join(pieces(text)).split()).groupBy("lang", "term").agg(F.sum("n").alias("n")))
+    words = materialize(_words(texts).groupBy("lang", "term").agg(F.sum("n").alias("n")))
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")))
     frequent = words.where(F.col("n") >= least)
     everything = totals.agg(F.sum("n")).first()[0] or 0
@@ -178,7 +244,7 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     first, three = F.substring_index(text, "\0", 1), F.substring_index(text, "\0", 3)
     suffixes = _suffixes(texts, _filter(frequent), longest).join(F.broadcast(hot), (F.col("lang") == F.col("__lang")) & (first.cast("binary") == F.col("__first")), "left").select("lang", "term", "n", "parts")
     shard = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(three), F.col("parts"))).otherwise(0)
-    dealt = suffixes.repartition("lang", first, shard).sortWithinPartitions(F.desc("lang"), F.desc("term"))
+    dealt = suffixes.repartition("lang", first, shard).sortWithinPartitions(F.desc("term"))
     counted = _prefixes(dealt, least).groupBy("lang", "term").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     phrase = F.replace(F.replace(F.replace(text, F.lit("\0"), F.lit(" ")), F.lit("\1\1"), F.lit("\0")), F.lit("\1\2"), F.lit("\1"))
     phrases = counted.select("lang", phrase.alias("phrase"), "f").withColumn("words", F.split("phrase", " "))
