@@ -62,3 +62,15 @@ TRANSLITERATION = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
     "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
 }
+
+#: Tags of listing templates, of sections by heading, and of all others.
+LISTING_TAGS = {"see": "Travel", "do": "Travel", "eat": "Food", "drink": "Food", "sleep": "Accommodation", "buy": "Shopping", "listing": "Travel", "marker": "Travel"}
+SECTION_TAGS = {
+    "understand": "Culture", "history": "Culture", "regions": "Travel", "cities": "Travel", "other destinations": "Travel", "get in": "Bureaucracy", "by plane": "Transport", "by train": "Transport",
+    "by bus": "Transport", "by car": "Transport", "by boat": "Transport", "get around": "Transport", "talk": "Language", "see": "Travel", "do": "Travel", "buy": "Shopping", "money": "Finance",
+    "costs": "Finance", "eat": "Food", "drink": "Food", "sleep": "Accommodation", "learn": "Education", "work": "Work", "stay safe": "Safety", "stay healthy": "Health", "respect": "Culture",
+    "connect": "Telecom", "cope": "Bureaucracy", "go next": "Travel",
+}
+OTHER_TAG = "Travel"
+#: Fixed value: what the hashed ids of wiki rows begin with.
+WIKI_SEED = "wikivoyage"

@@ -5,12 +5,15 @@ Event times must be TIMESTAMP; parquet's TIMESTAMP_NTZ is cast on the way in.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
 from tidemill.functions import fixed
@@ -105,3 +108,91 @@ def penalty_stream(requests: DataFrame) -> DataFrame:
 def each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
     """STR-08, STR-09, MSC-02: every micro-batch of what is there now through a function; the checkpoint resumes it."""
     return df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+FORGIVEN = "forgiven"
+
+
+def quiet_until(level: int, until: float) -> float:
+    """When a refusal's penalty is forgiven if nothing else happens: a step's length after its end."""
+    return until + fixed.PENALTY_LADDER[max(level - 1, 0)]
+
+
+Ladder = tuple[int, bool, float]
+
+
+def after_quiet(state: Ladder, at: float) -> tuple[Ladder, list[tuple[float, str, float]]]:
+    """The ladder's state at a time, and the forgiveness that came before."""
+    level, struck, until = state
+    if until and at > quiet_until(level, until):
+        return (0, False, 0.0), [(quiet_until(level, until), FORGIVEN, until)]
+    return state, []
+
+
+def forgiving_penalties(requests: DataFrame) -> DataFrame:
+    """STR-06 in batch: penalties() and a row `forgiven` for each penalty that a quiet time ends, at that time: after it the key is free."""
+
+    def replay(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at", kind="stable")
+        state: Ladder = (0, False, 0.0)
+        out: list[tuple[float, str, float]] = []
+        for at, status in zip(group["at"], group["status"], strict=True):
+            state, rows = after_quiet(state, at)
+            out += rows
+            *state, rows = climb(*state, [(at, status)])
+            state, out = tuple(state), out + rows
+        out += after_quiet(state, float("inf"))[1]
+        return pd.DataFrame([(group["key"].iloc[0], *o) for o in out], columns=["key", "at", "verdict", "until"])
+
+    return requests.groupBy("key").applyInPandas(replay, LADDER_OUT)
+
+
+class ForgivingLadder(StatefulProcessor):
+    """The ladder of a key with a timer: a penalty is forgiven when its quiet time is over, also if the key is not heard of again."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ladder = handle.getValueState("ladder", "level int, struck boolean, until double")
+
+    def _now(self) -> Ladder:
+        return tuple(self.ladder.get()) if self.ladder.exists() else (0, False, 0.0)
+
+    def _put(self, state: Ladder) -> None:
+        self.ladder.update(state)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if state[2]:
+            # A timer has milliseconds; it fires once the watermark has passed it.
+            self.handle.registerTimer(math.ceil(quiet_until(state[0], state[2]) * 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        state, out = self._now(), []
+        got = pd.concat(rows).sort_values("at", kind="stable")
+        for at, status in zip(got["at"], got["status"], strict=True):
+            state, said = after_quiet(state, at)
+            out += said
+            *state, said = climb(*state, [(at, status)])
+            state, out = tuple(state), out + said
+        self._put(state)
+        yield self._told(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, out = after_quiet(self._now(), float("inf"))
+        self._put(state)
+        yield self._told(key, out)
+
+    @staticmethod
+    def _told(key: tuple, out: list[tuple[float, str, float]]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *o) for o in out], columns=["key", "at", "verdict", "until"])
+
+    def close(self) -> None:
+        pass
+
+
+def forgiving_stream(requests: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """STR-06: the same over a stream of requests (key, at, status) that come in order of time, by timers on event time.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    timed = requests.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("ts", delay)
+    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=ForgivingLadder(), outputStructType=LADDER_OUT, outputMode="Append", timeMode="EventTime")
