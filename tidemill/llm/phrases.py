@@ -88,10 +88,10 @@ def _together(words: pa.Array, codes: np.ndarray, starts: np.ndarray, lengths: n
     return pc.binary_join_element_wise(*parts, b"\0", null_handling="skip") if parts else pa.array([], pa.binary())
 
 
-def suffix_lot(words: pa.Array, codes: np.ndarray, often: np.ndarray, longest: int) -> tuple[pa.Array, pa.Array]:
-    """Different suffixes of the runs of frequent words in a text of codes, truncated to `longest` words, and how often each occurs."""
-    names = np.cumsum(often) * often  # 0 ends a run
-    c, base = np.append(names[codes], np.zeros(longest, np.int64)), int(often.sum()) + 1
+def suffix_lot(words: pa.Array, codes: np.ndarray, often: np.ndarray, longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Different suffixes of two words or more of the runs of frequent words in a text of codes, truncated to `longest` words: the suffix, how often it occurs, where it first does, and its length."""
+    marks = np.cumsum(often) * often  # 0 ends a run
+    c, base = np.append(marks[codes], np.zeros(longest, np.int64)), int(often.sum()) + 1
     n = len(codes)
     alive, lengths, key = c[:n] > 0, (c[:n] > 0).astype(np.int64), c[:n]
     for k in range(1, longest):
@@ -101,39 +101,53 @@ def suffix_lot(words: pa.Array, codes: np.ndarray, often: np.ndarray, longest: i
         if int(key.max(initial=0)) > (1 << 62) // base:
             key = np.unique(key, return_inverse=True)[1]
         key = key * base + nxt
-    real = np.flatnonzero(lengths)
+    real = np.flatnonzero(lengths > 1)
     _, first, times = np.unique(key[real], return_index=True, return_counts=True)
     starts = real[first]
-    return _together(words, codes, starts, lengths[starts]), pa.array(times, pa.int64())
+    return _together(words, codes, starts, lengths[starts]), times, starts, lengths[starts]
 
 
-def _suffixes(docs: DataFrame, frequent: bytes, longest: int) -> DataFrame:
-    """Suffixes of the runs of frequent words, truncated to `longest` words, with their number per lot: lang, term, n."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _suffixes(docs: DataFrame, frequent: bytes, hot: dict[tuple[str, bytes], int], longest: int) -> DataFrame:
+    """Suffixes of the runs of frequent words, truncated to `longest` words, with their number per lot: lang, term, n, home, divided.
+
+    `home` is where a suffix is dealt: a hash of language and first word, and for hot first words (with the number
+    of their parts) one of as many homes by the first three words; these are `divided`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
+    names = [*COUNTED, "home", "divided"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        # What is known of words: emptied when full, so that rare words cannot fill the memory.
-        known: dict[str, dict[bytes, bool]] = defaultdict(dict)
+        bits, hot = shared.value
+        # What is known of words, a hash or zero for rare ones: emptied when full, so that rare words cannot fill the memory.
+        known: dict[str, dict[bytes, int]] = defaultdict(dict)
         held: dict[str, list[bytes]] = defaultdict(list)
 
-        def often(lang: str, words: list[bytes]) -> list[bool]:
+        def hashes(lang: str, words: list[bytes]) -> np.ndarray:
             here, seed, out = known[lang], xxhash.xxh64_intdigest(lang.encode(), seed=LANG_SEED), []
             if len(here) > HELD:
                 here.clear()
             for word in words:
                 there = here.get(word)
                 if there is None:
-                    at = xxhash.xxh64_intdigest(word, seed=seed) & (FILTER_BITS - 1)
-                    there = here[word] = word != b"\0" and bool(bits[at >> 3] >> (at & 7) & 1)
+                    there = xxhash.xxh64_intdigest(word, seed=seed)
+                    at = there & (FILTER_BITS - 1)
+                    there = here[word] = (there | 1) if word != b"\0" and bits[at >> 3] >> (at & 7) & 1 else 0
                 out.append(there)
-            return out
+            return np.array(out, np.uint64)
 
         def lots() -> Iterator[pa.RecordBatch]:
             for lang, tokens in held.items():
                 coded = pa.array(tokens, pa.binary()).dictionary_encode()
-                words = coded.dictionary
-                yield _lot(lang, *suffix_lot(words, coded.indices.to_numpy().astype(np.int64), np.array(often(lang, words.to_pylist()), np.int64), longest))
+                words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+                h = hashes(lang, words.to_pylist())
+                terms, times, starts, lengths = suffix_lot(words, codes, h > 0, longest)
+                parts = np.array([hot.get((lang, w), 0) for w in words.to_pylist()], np.uint64)[codes[starts]]
+                home, three = h[codes[starts]], np.zeros(len(starts), np.uint64)
+                for k in range(3):
+                    three = three * np.uint64(0x9E3779B97F4A7C15) + np.where(lengths > k, h[codes[np.minimum(starts + k, len(codes) - 1)]], np.uint64(0))
+                home = home + np.where(parts > 0, (three >> np.uint64(17)) % np.maximum(parts, np.uint64(1)), np.uint64(0)) * np.uint64(0xD1342543DE82EF95)
+                rows = _lot(lang, terms, pa.array(times, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(home.view(np.int64)), pa.array(parts > 0)], names=names)
             held.clear()
 
         for batch in batches:
@@ -145,7 +159,7 @@ def _suffixes(docs: DataFrame, frequent: bytes, longest: int) -> DataFrame:
                     yield from lots()
         yield from lots()
 
-    return docs.mapInArrow(count, "lang string, term binary, n long")
+    return docs.mapInArrow(count, "lang string, term binary, n long, home long, divided boolean")
 
 
 class Stack:
@@ -160,8 +174,8 @@ class Stack:
         self.least, self.words, self.counts, self.divided = least, [], [], False
 
     def closed(self, depth: np.ndarray, totals: np.ndarray, divided: np.ndarray) -> np.ndarray:
-        """Which prefixes are handed on: frequent ones, and those of which other tasks may hold more."""
-        return (totals >= self.least) | (divided & (depth <= 2))
+        """Which prefixes are handed on: frequent ones of two words or more, and those of which other tasks may hold more."""
+        return (depth > 1) & ((totals >= self.least) | (divided & (depth == 2)))
 
     def rest(self) -> tuple[pa.Array, pa.Array]:
         """The prefixes on the stack, which nothing follows."""
@@ -204,7 +218,7 @@ class Stack:
 
 
 def _prefixes(rows: DataFrame, least: int) -> DataFrame:
-    """Counts of all prefixes of the suffixes (lang, term, n, parts), sorted in reverse: lang, term, n.
+    """Counts of all prefixes of two words or more of the suffixes (lang, term, n, divided), sorted in reverse: lang, term, n.
 
     A stack for each language counts them. Prefixes below `least` go, unless their
     first word is divided over tasks and they are so short that other tasks may hold more of them.
@@ -214,7 +228,7 @@ def _prefixes(rows: DataFrame, least: int) -> DataFrame:
         stacks: dict[str, Stack] = {}
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
-            of, n, divided = coded.indices.to_numpy(), batch.column(2).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            of, n, divided = coded.indices.to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
             for k, lang in enumerate(coded.dictionary.to_pylist()):
                 at = np.flatnonzero(of == k)
                 yield _lot(lang, *stacks.setdefault(lang, Stack(least)).take(batch.column(1).take(pa.array(at)), n[at], divided[at]))
@@ -227,7 +241,7 @@ def _prefixes(rows: DataFrame, least: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to `longest` words with at least `least` occurrences, and the number of all words: (lang, phrase, words, f) and (lang, n).
 
-    A first pass counts words. No phrase with a rarer word can reach `least`, so rare words
+    A first pass counts words. No longer phrase with a rarer word can reach `least`, so rare words
     end a run, by a bit filter of fixed size whose false hits change nothing. Suffixes are counted in lots,
     dealt by language and first word (a very common first word, by its first three words), and sorted.
     """
@@ -237,15 +251,11 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     frequent = words.where(F.col("n") >= least)
     everything = totals.agg(F.sum("n")).first()[0] or 0
     # At most HOT_SHARE words have so large a share.
-    hot = frequent.where(F.col("n") * HOT_SHARE > everything).select(
-        F.col("lang").alias("__lang"), F.col("term").alias("__first"), F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, everything))).cast("int").alias("parts")
-    )
+    hot = frequent.where(F.col("n") * HOT_SHARE > everything).select("lang", "term", F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, everything))).cast("int").alias("parts")).collect()
+    suffixes = _suffixes(texts, _filter(frequent), {(r["lang"], bytes(r["term"])): r["parts"] for r in hot}, longest)
+    dealt = suffixes.repartition("lang", "home").select("lang", "term", "n", "divided").sortWithinPartitions(F.desc("term"))
+    counted = _prefixes(dealt, least).groupBy("lang", "term").agg(F.sum("n").alias("f")).where(F.col("f") >= least).unionByName(frequent.withColumnRenamed("n", "f"))
     text = F.col("term").cast("string")
-    first, three = F.substring_index(text, "\0", 1), F.substring_index(text, "\0", 3)
-    suffixes = _suffixes(texts, _filter(frequent), longest).join(F.broadcast(hot), (F.col("lang") == F.col("__lang")) & (first.cast("binary") == F.col("__first")), "left").select("lang", "term", "n", "parts")
-    shard = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(three), F.col("parts"))).otherwise(0)
-    dealt = suffixes.repartition("lang", first, shard).sortWithinPartitions(F.desc("term"))
-    counted = _prefixes(dealt, least).groupBy("lang", "term").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     phrase = F.replace(F.replace(F.replace(text, F.lit("\0"), F.lit(" ")), F.lit("\1\1"), F.lit("\0")), F.lit("\1\2"), F.lit("\1"))
     phrases = counted.select("lang", phrase.alias("phrase"), "f").withColumn("words", F.split("phrase", " "))
     return materialize(phrases), totals
