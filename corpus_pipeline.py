@@ -25,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document or line has, earlier by id, then line; those that had nothing else go. Null and empty texts had no lines, and stay."""
-    cleaned = lines.dedup_lines(docs, drop_emptied=True)
+    # The operator's own counts have names that documents may have, too.
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("n_lines", "n_removed")}
+    cleaned = lines.dedup_lines(docs.withColumnsRenamed(own), drop_emptied=True).drop("n_lines", "n_removed")
+    cleaned = cleaned.withColumnsRenamed({v: k for k, v in own.items()})
     return cleaned.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -144,7 +144,7 @@ def test_tagging_can_be_repeated(spark, tmp_path):
     assert sorted(r["id"] for r in dead) == [0, 4]
 
 
-@pytest.mark.parametrize("at", ["points", "dropped", "attempts", "waiting", "embed"])
+@pytest.mark.parametrize("at", ["points", "waiting"])
 def test_pump_survives_a_kill(spark, tmp_path, at):
     rows = [(k, None if k == 3 else f"text {k}") for k in range(24)]
     parts = [rows[:9], rows[9:18] + rows[:2], rows[18:], [(None, None)], [(None, None)]]
