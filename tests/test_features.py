@@ -250,3 +250,33 @@ def test_projection_carries_what_is_unchanged(spark):
     assert third.count() == 0  # two of five texts are left
     a, b = projection.signature(nodes_, texts), projection.signature(nodes_, changed)
     assert projection.stale(a, a).count() == 0 and [r["geo"] for r in projection.stale(b, a).collect()] == ["br"]
+
+
+# ---- average link in rounds
+
+
+def test_average_link_in_rounds(spark, monkeypatch):
+    import numpy as np
+
+    from tidemill.operators import clusters
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    x = np.repeat(centres, 30, axis=0) + rng.normal(scale=0.9, size=(360, 16))
+    x = np.concatenate([x, x[:40], x[:3]])  # copies
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(int(k), x[k].tolist(), int(k * 7919 % 100)) for k in range(len(x))] + [(1000, None, 5)], "id long, v array<double>, length long")
+    in_tasks = {r["id"]: (r["component"], r["rep"], r["n"]) for r in clusters.near_groups(rows, 0.55).collect()}
+    monkeypatch.setattr(clusters, "ONE_TASK", 2)
+    monkeypatch.setattr(clusters, "BLOCK", 50)
+    in_rounds = {r["id"]: (r["component"], r["rep"], r["n"]) for r in clusters.near_groups(rows, 0.55).collect()}
+    assert in_rounds == in_tasks and len(in_tasks) == len(x) + 1
+    # By hand: merging over all rows at once, copies and all.
+    label = clusters.average_link(x @ x.T, 0.55)
+    by_hand = {}
+    for c in np.unique(label):
+        members = np.flatnonzero(label == c).tolist()
+        rep = min(members, key=lambda k: (-(k * 7919 % 100), k))
+        by_hand |= {k: (rep, len(members)) for k in members}
+    assert {k: v[1:] for k, v in in_tasks.items() if k < 1000} == by_hand and in_tasks[1000] == (1000, 1000, 1)
+    assert len({v[1] for v in in_tasks.values()}) < len(x) / 3

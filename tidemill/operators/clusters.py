@@ -98,13 +98,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
-def average_link(sim: np.ndarray, threshold: float) -> np.ndarray:
+def average_link(sim: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
     """Cluster of each row: pairs of clusters merge while the best mean similarity reaches the threshold; the first pair wins ties.
 
-    Sums of similarities between clusters are kept and added on a merge (Lance-Williams), so a merge costs a row.
+    Sums of similarities between clusters are kept and added on a merge (Lance-Williams), so a merge costs a row. A row
+    may stand for several equal ones, whose number is its size.
     """
     n = len(sim)
-    sums, sizes, label = sim.astype(np.float64).copy(), np.ones(n), np.arange(n)
+    sizes, label = np.ones(n) if sizes is None else sizes.astype(np.float64), np.arange(n)
+    sums = sim.astype(np.float64) * np.outer(sizes, sizes)
     alive = np.ones(n, bool)
     while alive.sum() > 1:
         mean = sums / np.outer(sizes, sizes)
@@ -122,31 +124,132 @@ def average_link(sim: np.ndarray, threshold: float) -> np.ndarray:
     return label
 
 
+def linking_edges(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): enough of the pairs of rows (id, v) at or above a threshold to connect all that they connect.
+
+    Of each two blocks a spanning forest comes out: fewer edges than rows, however many pairs are similar.
+    """
+    blocks = blocked(rows, "b")
+    left = blocks.select(F.col("b").alias("ba"), F.col("id").alias("ia"), F.col("v").alias("va"))
+    pairs = left.join(blocks, F.col("ba") <= F.col("b"))
+
+    def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                same = row.ba == row.b
+                ids = np.asarray(row.ia) if same else np.concatenate([row.ia, row.id])
+                x, y = np.stack(row.va), np.stack(row.v)
+                near = x @ y.T >= threshold
+                whole = near if same else np.block([[np.eye(len(x), dtype=bool), near], [near.T, np.eye(len(y), dtype=bool)]])
+                parent, done = np.full(len(ids), -1), np.zeros(len(ids), bool)
+                for root in range(len(ids)):
+                    front = [] if done[root] else [root]
+                    done[root] = True
+                    while front:
+                        at = front.pop()
+                        new = np.flatnonzero(whole[at] & ~done)
+                        done[new], parent[new] = True, at
+                        front += new.tolist()
+                child = np.flatnonzero(parent >= 0)
+                yield pd.DataFrame({"a": ids[parent[child]], "b": ids[child]})
+
+    kind = dict(rows.dtypes)["id"]
+    return pairs.mapInPandas(connect, f"a {kind}, b {kind}")
+
+
+def best_partners(clusters: DataFrame, threshold: float) -> DataFrame:
+    """(cluster, partner, score): of clusters (part, cluster, m) the one of largest m · m' of the same part at or above a threshold, the smallest on ties.
+
+    A part's clusters meet in blocks, and two blocks give a row for each of their clusters at most.
+    """
+    counted = clusters.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = clusters.join(counted, "part").withColumn("b", F.pmod(F.xxhash64("cluster"), F.col("blocks")))
+    blocks = dealt.groupBy("part", "b").agg(F.collect_list("cluster").alias("id"), F.collect_list("m").alias("v"))
+    left = blocks.select(F.col("part").alias("pa"), F.col("b").alias("ba"), F.col("id").alias("ia"), F.col("v").alias("va"))
+    pairs = left.join(blocks, (F.col("pa") == F.col("part")) & (F.col("ba") <= F.col("b")))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ia, ib = np.asarray(row.ia), np.asarray(row.id)
+                ra, rb = np.argsort(ia), np.argsort(ib)
+                ia, ib = ia[ra], ib[rb]
+                sim = np.stack(row.va)[ra] @ np.stack(row.v)[rb].T
+                if row.ba == row.b:
+                    sim = np.maximum(np.triu(sim, 1), np.triu(sim, 1).T) + np.where(np.eye(len(ia), dtype=bool), -np.inf, 0)
+                # Ids ascend, so the first of equal scores has the smallest.
+                for own, other, best, score in ((ia, ib, sim.argmax(1), sim.max(1)), (ib, ia, sim.argmax(0), sim.max(0))):
+                    keep = score >= threshold
+                    yield pd.DataFrame({"cluster": own[keep], "partner": other[best[keep]], "score": score[keep]})
+
+    kind = dict(clusters.dtypes)["cluster"]
+    found = pairs.mapInPandas(compare, f"cluster {kind}, partner {kind}, score double")
+    best = F.max(F.struct("score", (-F.col("partner")).alias("neg"))).alias("best")
+    return found.groupBy("cluster").agg(best).select("cluster", (-F.col("best.neg")).alias("partner"), "best.score")
+
+
+def linked_in_rounds(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, cluster): average-link clusters of rows (part, id, v, n) within each part, n being how many equal rows one stands for.
+
+    A cluster is its size and mean vector: the mean similarity of two clusters is the product of their means. Each round, clusters that are each
+    other's best partner merge. Average link never brings a cluster nearer to a merged one than it was
+    to the nearer of the two, so this ends with the clusters that taking the best pair each time ends with (ties apart),
+    and clusters without a partner are done. Rounds are written; a task holds two blocks at a time.
+    """
+    n, m = F.col("n"), F.col("m")
+    labels = cut_lineage(rows.select("id", F.col("id").alias("cluster")))
+    active = cut_lineage(rows.select("part", F.col("id").alias("cluster"), F.col("v").alias("m"), F.col("n").cast("double").alias("n")))
+    while True:
+        best = cut_lineage(best_partners(active, threshold))
+        other = best.select(F.col("cluster").alias("partner"), F.col("partner").alias("back"))
+        merged = cut_lineage(best.join(other, "partner").where("cluster = back and cluster < partner").select("cluster", "partner"))
+        if merged.isEmpty():
+            return labels
+        target = F.coalesce("into", "cluster")
+        into = merged.select(F.col("partner").alias("gone"), F.col("cluster").alias("into"))
+        labels = cut_lineage(labels.join(into, F.col("cluster") == F.col("gone"), "left").select("id", target.alias("cluster")))
+        alive = active.join(best.select("cluster"), "cluster", "left_semi")
+        moved = alive.join(into, F.col("cluster") == F.col("gone"), "left").select("part", target.alias("cluster"), m.alias("m"), n.alias("n"))
+        total = F.sum("n").alias("n")
+        weighted = moved.groupBy("part", "cluster").agg(total, F.collect_list(F.struct("m", "n")).alias("two"))  # one cluster or two
+        mean = F.transform(F.col("two")[0]["m"], lambda x, k: F.aggregate("two", F.lit(0.0), lambda acc, c: acc + c["m"][k] * c["n"]) / n)
+        active = cut_lineage(weighted.select("part", "cluster", mean.alias("m"), "n"))
+
+
+#: Different vectors of a component up to which one task links it.
+ONE_TASK = 1_000
+
+
 def near_groups(rows: DataFrame, threshold: float) -> DataFrame:
     """VEC-03, 04, 05, 10: (id, component, rep, n) of rows (id, v, length): average-link groups inside components; rep is the longest, then the smallest id.
 
-    Rows without a vector are groups of their own.
+    Equal vectors are one row with a number before any are compared. A component of up to ONE_TASK different vectors is
+    linked by a task; a larger one in rounds. Rows without a vector are groups of their own.
     """
-    with_v = rows.where("v is not null")
-    comps = components(with_v, similar_pairs(with_v.select("id", "v"), threshold))
-    joined = with_v.join(comps, "id")
+    with_v = cut_lineage(rows.where("v is not null"))
+    distinct = cut_lineage(with_v.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    comps = components(distinct, linking_edges(distinct.select("id", "v"), threshold))
+    parted = distinct.join(comps, "id").withColumnRenamed("component", "part")
+    many = cut_lineage(parted.join(parted.groupBy("part").agg(F.count("*").alias("c")), "part"))
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id").reset_index(drop=True)
         x = np.stack(group["v"])
-        label = average_link(x @ x.T, threshold)
-        group["rank"] = -group["length"]
-        rep = group.assign(label=label).sort_values(["rank", "id"]).groupby("label")["id"].first()
-        n = pd.Series(label).value_counts()
-        return pd.DataFrame({"id": group["id"], "component": group["component"], "rep": rep.loc[label].to_numpy(), "n": n.loc[label].to_numpy()})
+        label = average_link(x @ x.T, threshold, group["n"].to_numpy())
+        return pd.DataFrame({"id": group["id"], "cluster": group["id"].to_numpy()[label]})
 
     kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, component {kind}, rep {kind}, n long"
-    many = joined.withColumn("c", F.count("*").over(Window.partitionBy("component")))
-    grouped = many.where("c > 1").select("id", "v", "length", "component").groupBy("component").applyInPandas(link, schema)
-    single = many.where("c = 1").select("id", "component", F.col("id").alias("rep"), F.lit(1).cast("long").alias("n"))
+    small = many.where((F.col("c") > 1) & (F.col("c") <= ONE_TASK)).select("part", "id", "v", "n").groupBy("part").applyInPandas(link, f"id {kind}, cluster {kind}")
+    large = many.where(F.col("c") > ONE_TASK).select("part", "id", "v", "n")
+    labels = small.unionByName(many.where("c = 1").select("id", F.col("id").alias("cluster")))
+    labels = labels if large.isEmpty() else labels.unionByName(linked_in_rounds(large, threshold))
+    placed = cut_lineage(many.select("v", "id", F.col("part").alias("component")).join(labels, "id").drop("id"))
+    each = cut_lineage(with_v.select("id", "v", "length").join(placed, "v").drop("v"))
+    longest = F.max(F.struct(F.coalesce("length", F.lit(-1)).alias("length"), (-F.col("id")).alias("neg"))).alias("best")
+    reps = each.groupBy("cluster").agg(longest, F.count("*").alias("n")).select("cluster", (-F.col("best.neg")).alias("rep"), "n")
+    grouped = each.join(reps, "cluster").select("id", "component", "rep", "n")
     bare = rows.where("v is null").select("id", F.col("id").alias("component"), F.col("id").alias("rep"), F.lit(1).cast("long").alias("n"))
-    return grouped.unionByName(single).unionByName(bare)
+    return grouped.unionByName(bare)
 
 
 def greedy_distinct(rows: DataFrame, key: str, threshold: float) -> DataFrame:

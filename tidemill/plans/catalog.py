@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import messages, pages, records, runs, scalars, site, streams, tables, threads, vectors, wiki
+    from . import messages, pages, records, runs, scalars, site, streams, tables, threads, upkeep, vectors, wiki
 
     assert all((messages, pages, records, scalars, streams, tables, threads, vectors))
     wiki.same_rows()

@@ -78,7 +78,12 @@ def jon08(spark, sf_dir):
     return k.merge_claims(rows).select("id", "category", "count", "confidence", F.size("tags").alias("tags"))
 
 
-@query("jon12_carry_forward")
+@query(
+    "jon12_carry_forward",
+    """with old as (select lang || '/' || source as key, doc_id as id from documents), new as (select 'n/' || lang || '/' || source as key, doc_id as id from documents where doc_id % 6 <> 1),
+sizes as (select o.key as old_key, n.key as new_key, count(*) as both_, (select count(*) from old x where x.key = o.key) as os, (select count(*) from new x where x.key = n.key) as ns from old o join new n on o.id = n.id group by o.key, n.key)
+select new_key, old_key, round(both_ / os, 6) as coverage from sizes where both_ / os >= 0.7 or (both_ = os and both_ = ns)""",
+)
 def jon12(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     old = d.groupBy(F.concat_ws("/", "lang", "source").alias("key")).agg(F.collect_list("doc_id").alias("ids"))

@@ -124,7 +124,10 @@ def vec15(spark, sf_dir):
     return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(x.word_overlap(F.col("a.w"), F.col("b.w")), 9).alias("overlap"))
 
 
-@query("vec21_uuid5")
+@query(
+    "vec21_uuid5",
+    "select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::int % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point from (select doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || doc_id::varchar::blob) as h from documents)",
+)
 def vec21(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", fn.uuid5(F.col("doc_id").cast("string")).alias("point"))
 

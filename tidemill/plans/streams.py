@@ -39,12 +39,18 @@ def str01(spark, sf_dir):
     return drained(spark, lambda s: st.ingest(s.unionByName(s), known), sf_dir).groupBy("channel").agg(F.count("*").alias("n"))
 
 
-@query("str03_stream_days")
+@query("str03_stream_days", "select date_trunc('day', ts)::timestamp::varchar as day, event_type as channel, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2")
 def str03(spark, sf_dir):
     return drained(spark, lambda s: st.daily_counts(s, ["channel"]), sf_dir).select(F.col("day").cast("string").alias("day"), "channel", "n")
 
 
-@query("str04_stream_sessions")
+@query(
+    "str04_stream_sessions",
+    """with gaps as (select event_type as channel, ts, ts - lag(ts) over (partition by event_type order by ts) as gap from events),
+sessions as (select channel, ts, count(*) filter (where gap is null or gap >= interval 10 minutes) over (partition by channel order by ts rows unbounded preceding) as s from gaps),
+ended as (select channel, s, count(*) as n, max(ts) as last_ from sessions group by channel, s)
+select channel, count(*) as sessions, sum(n)::bigint as messages from ended where last_ + interval 10 minutes <= (select max(ts) - interval 1 hour from events) group by channel""",
+)
 def str04(spark, sf_dir):
     return drained(spark, lambda s: st.sessions(s, ["channel"]), sf_dir).groupBy("channel").agg(F.count("*").alias("sessions"), F.sum("n").alias("messages"))
 

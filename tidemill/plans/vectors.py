@@ -43,7 +43,17 @@ def vec05(spark, sf_dir):
     return c.near_groups(d.join(units(spark, sf_dir).select("id", "v"), "id", "left"), THRESHOLD)
 
 
-@query("vec06_greedy_distinct")
+@query(
+    "vec06_greedy_distinct",
+    f"""with recursive u as (select id, label, v, row_number() over (partition by label order by id) as n from {UNITS}),
+r as (
+  select label, n, [v] as kept, id as kept_id from u where n = 1
+  union all
+  select u.label, u.n, case when free then list_append(r.kept, u.v) else r.kept end, case when free then u.id end
+  from r join u on u.label = r.label and u.n = r.n + 1, lateral (select len(list_filter(r.kept, lambda k: list_inner_product(k, u.v) >= 0.3)) = 0 as free)
+)
+select label, kept_id as id from r where kept_id is not null""",
+)
 def vec06(spark, sf_dir):
     return c.greedy_distinct(units(spark, sf_dir), "label", 0.3)
 
