@@ -41,6 +41,7 @@ def unescape_role(role: str) -> str:
     return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
 
 
+CHUNK_COLUMNS = ["conv_id", "chunk", "last", "formatted", "input_ids", "loss_mask"]
 CHUNK_SCHEMA = "conv_id {id}, chunk int, last boolean, formatted string, input_ids array<int>, loss_mask array<tinyint>"
 
 
@@ -131,7 +132,7 @@ def format_conversations(
 def read_back(chunks: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
     """What formatted conversations say, from their tokens alone.
 
-    Takes the rows of format_conversations in their order within partitions. Returns conv_id,
+    Takes the rows of format_conversations in any order. Returns conv_id,
     n_turns, turns_sha256 (role, line end, text, line end per turn), loss_chars and
     loss_sha256 (the text under the mask) and formatted_chars.
     """
@@ -167,4 +168,5 @@ def read_back(chunks: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
             kinds = [batch.column(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=schema.names)
 
-    return chunks.mapInArrow(read, schema)
+    rows = chunks.select(*CHUNK_COLUMNS).repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
+    return rows.mapInArrow(read, schema)

@@ -38,11 +38,14 @@ def external_shuffle(df: DataFrame, *, id_col: str, size_col: str, seed: int = 1
     rows = df.select(*names, F.pmod(key, F.lit(n)).alias("__bucket"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("__row"))
     rows = rows.join(heavy, "__bucket", "left")
     rows = rows.withColumn("bucket", F.concat_ws("/", F.col("__bucket").cast("string"), F.pmod("__row", F.col("__parts")).cast("string")))
-    rows = rows.select(*names, "bucket", F.xxhash64(F.lit(seed + 1), F.col(id_col).cast("string")).alias("__order"))
+    # Rows that share an id are told apart by what else they hold, so that reruns agree; equal rows are interchangeable.
+    content = F.xxhash64(F.lit(seed + 1), *[F.col(c) for c, t in df.select(*names).dtypes if "map<" not in t and t != "variant"])
+    rows = rows.select(*names, "bucket", F.struct(F.xxhash64(F.lit(seed + 1), F.col(id_col).cast("string")).alias("id"), content.alias("row")).alias("__order"))
     schema = T.StructType([*rows.select(*names, "bucket").schema.fields, T.StructField("place", T.LongType())])
 
     def shuffle(key: tuple, bucket: pa.Table) -> pa.Table:
-        order = np.lexsort((np.asarray(bucket["__order"]),))
+        by = bucket["__order"].combine_chunks()
+        order = np.lexsort((np.asarray(by.field("row")), np.asarray(by.field("id"))))
         bucket = bucket.take(pa.array(order)).drop_columns(["__order"])
         random = np.random.default_rng([seed, *key[0].as_py().encode()])
         perm = np.arange(bucket.num_rows)
