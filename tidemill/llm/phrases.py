@@ -20,8 +20,10 @@ _CLEAN = bytes.maketrans(BREAKS + TAB, b"\n" * len(BREAKS) + b" ")
 
 #: Distinct words that a task counts before it hands them on, and words that it takes together.
 HELD = 400_000
-#: Size of the filter of frequent words, whatever their number: 2 MB.
-FILTER_BITS = 1 << 24
+#: Size of the filters of frequent words and pairs, whatever their number: 8 MB each.
+FILTER_BITS = 1 << 26
+#: Pairs of words that a task counts before it hands them on.
+HELD_PAIRS = 6_000_000
 #: A first word with more than this share of all words is divided over several tasks; there are at most this many.
 HOT_SHARE = 256
 
@@ -68,16 +70,91 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, term binary, n long")
 
 
-def _filter(frequent: DataFrame) -> bytes:
-    """A bit for the hash of each frequent (lang, term). Other words may share a bit: they only cost time."""
-    bit = F.pmod(F.xxhash64("lang", "term"), F.lit(FILTER_BITS))
-    cells = frequent.withColumn("__bit", bit).groupBy(F.floor(F.col("__bit") / 64).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit % 64 as int))")).alias("bits"))
-    got = cells.toArrow()
+def _bits(hashes: DataFrame) -> bytes:
+    """A bit for each hash (h). What else has the same bit only costs time."""
+    bit = F.pmod("h", F.lit(FILTER_BITS))
+    cells = hashes.select(F.floor(bit / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    got = cells.toArrow()  # at most FILTER_BITS / 64 rows
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[got["cell"].to_numpy()] = got["bits"].to_numpy()
     return out.astype("<i8").tobytes()
 
 
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(FILTER_BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next one; zero where either is rare or a piece ends, and at the last."""
+    nxt = np.append(h[1:], np.uint64(0))
+    return np.where((h > 0) & (nxt > 0), (h * np.uint64(0x9E3779B97F4A7C15) ^ (nxt >> np.uint64(29)) ^ nxt) * np.uint64(0xD1342543DE82EF95) >> np.uint64(24) | np.uint64(1), np.uint64(0))
+
+
+class Coder:
+    """Texts as codes of words, in lots of some size: words, codes, and a hash of each word, zero for rare ones."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits = np.frombuffer(bits, np.uint8)
+        # What is known of words: emptied when full, so that rare words cannot fill the memory.
+        self.known: dict[str, dict[bytes, int]] = defaultdict(dict)
+        self.held: dict[str, list[bytes]] = defaultdict(list)
+
+    def hashes(self, lang: str, words: list[bytes]) -> np.ndarray:
+        here, seed = self.known[lang], xxhash.xxh64_intdigest(lang.encode(), seed=LANG_SEED)
+        if len(here) > HELD:
+            here.clear()
+        new = [w for w in words if w not in here]
+        if new:
+            h = np.array([xxhash.xxh64_intdigest(w, seed=seed) for w in new], np.uint64)
+            kept = _has(self.bits, h) & np.array([w != b"\0" for w in new])
+            here.update(zip(new, np.where(kept, h | np.uint64(1), np.uint64(0)).tolist()))
+        return np.array([here[w] for w in words], np.uint64)
+
+    def add(self, lang: str, text: bytes) -> bool:
+        """Take a text in; whether a lot is full."""
+        # A zero byte of its own stands where a piece ends.
+        self.held[lang] += cleaned(text).replace(b"\n", b" \0 ").split()
+        self.held[lang].append(b"\0")
+        return sum(map(len, self.held.values())) > HELD
+
+    def lots(self) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+        for lang, taken in self.held.items():
+            coded = pa.array(taken, pa.binary()).dictionary_encode()
+            yield lang, coded.dictionary, coded.indices.to_numpy().astype(np.int64), self.hashes(lang, coded.dictionary.to_pylist())
+        self.held.clear()
+
+    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+        """The lots of batches (lang, text)."""
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if self.add(lang, text.as_py()):
+                    yield from self.lots()
+        yield from self.lots()
+
+
+def _word_pairs(docs: DataFrame, frequent: bytes) -> DataFrame:
+    """Hashes of neighbouring frequent words with their number per lot of pairs: h, n."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def lot() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times, pa.int64())], names=["h", "n"])
+
+        for _, _, codes, h in Coder(shared.value).read(batches):
+            pairs = _pairs(h[codes])
+            held.append(pairs[pairs > 0])
+            if sum(map(len, held)) > HELD_PAIRS:
+                yield lot()
+        yield lot()
+
+    return docs.mapInArrow(count, "h long, n long")
+
+
 def _together(words: pa.Array, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Phrases of so many words from each start on, joined by zero bytes; codes tell the words."""
     parts = []
@@ -88,14 +165,18 @@ def _together(words: pa.Array, codes: np.ndarray, starts: np.ndarray, lengths: n
     return pc.binary_join_element_wise(*parts, b"\0", null_handling="skip") if parts else pa.array([], pa.binary())
 
 
-def suffix_lot(words: pa.Array, codes: np.ndarray, often: np.ndarray, longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Different suffixes of two words or more of the runs of frequent words in a text of codes, truncated to `longest` words: the suffix, how often it occurs, where it first does, and its length."""
+def suffix_lot(words: pa.Array, codes: np.ndarray, often: np.ndarray, longest: int, follows: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Different suffixes of two words or more of the runs of frequent words in a text of codes, truncated to `longest` words: the suffix, how often it occurs, where it first does, and its length.
+
+    follows says after which places a run goes on.
+    """
     marks = np.cumsum(often) * often  # 0 ends a run
     c, base = np.append(marks[codes], np.zeros(longest, np.int64)), int(often.sum()) + 1
     n = len(codes)
+    goes = np.append(np.ones(n, bool) if follows is None else follows, np.zeros(longest, bool))
     alive, lengths, key = c[:n] > 0, (c[:n] > 0).astype(np.int64), c[:n]
     for k in range(1, longest):
-        nxt = np.where(alive, c[k : n + k], 0)
+        nxt = np.where(alive & goes[k - 1 : n + k - 1], c[k : n + k], 0)
         alive = nxt > 0
         lengths += alive
         if int(key.max(initial=0)) > (1 << 62) // base:
@@ -107,57 +188,29 @@ def suffix_lot(words: pa.Array, codes: np.ndarray, often: np.ndarray, longest: i
     return _together(words, codes, starts, lengths[starts]), times, starts, lengths[starts]
 
 
-def _suffixes(docs: DataFrame, frequent: bytes, hot: dict[tuple[str, bytes], int], longest: int) -> DataFrame:
-    """Suffixes of the runs of frequent words, truncated to `longest` words, with their number per lot: lang, term, n, home, divided.
+def _suffixes(docs: DataFrame, frequent: bytes, pairs: bytes, hot: dict[tuple[str, bytes], int], longest: int) -> DataFrame:
+    """Suffixes of the runs of frequent words and pairs, truncated to `longest` words, with their number per lot: lang, term, n, home, divided.
 
     `home` is where a suffix is dealt: a hash of language and first word, and for hot first words (with the number
     of their parts) one of as many homes by the first three words; these are `divided`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, pairs, hot))
     names = [*COUNTED, "home", "divided"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hot = shared.value
-        # What is known of words, a hash or zero for rare ones: emptied when full, so that rare words cannot fill the memory.
-        known: dict[str, dict[bytes, int]] = defaultdict(dict)
-        held: dict[str, list[bytes]] = defaultdict(list)
-
-        def hashes(lang: str, words: list[bytes]) -> np.ndarray:
-            here, seed, out = known[lang], xxhash.xxh64_intdigest(lang.encode(), seed=LANG_SEED), []
-            if len(here) > HELD:
-                here.clear()
-            for word in words:
-                there = here.get(word)
-                if there is None:
-                    there = xxhash.xxh64_intdigest(word, seed=seed)
-                    at = there & (FILTER_BITS - 1)
-                    there = here[word] = (there | 1) if word != b"\0" and bits[at >> 3] >> (at & 7) & 1 else 0
-                out.append(there)
-            return np.array(out, np.uint64)
-
-        def lots() -> Iterator[pa.RecordBatch]:
-            for lang, tokens in held.items():
-                coded = pa.array(tokens, pa.binary()).dictionary_encode()
-                words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-                h = hashes(lang, words.to_pylist())
-                terms, times, starts, lengths = suffix_lot(words, codes, h > 0, longest)
-                parts = np.array([hot.get((lang, w), 0) for w in words.to_pylist()], np.uint64)[codes[starts]]
-                home, three = h[codes[starts]], np.zeros(len(starts), np.uint64)
-                for k in range(3):
-                    three = three * np.uint64(0x9E3779B97F4A7C15) + np.where(lengths > k, h[codes[np.minimum(starts + k, len(codes) - 1)]], np.uint64(0))
-                home = home + np.where(parts > 0, (three >> np.uint64(17)) % np.maximum(parts, np.uint64(1)), np.uint64(0)) * np.uint64(0xD1342543DE82EF95)
-                rows = _lot(lang, terms, pa.array(times, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(home.view(np.int64)), pa.array(parts > 0)], names=names)
-            held.clear()
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                # A zero byte of its own stands where a piece ends.
-                held[lang] += cleaned(text.as_py()).replace(b"\n", b" \0 ").split()
-                held[lang].append(b"\0")
-                if sum(map(len, held.values())) > HELD:
-                    yield from lots()
-        yield from lots()
+        frequent, pairs, hot = shared.value
+        pair_bits = np.frombuffer(pairs, np.uint8)
+        for lang, words, codes, h in Coder(frequent).read(batches):
+            each = h[codes]
+            near = _pairs(each)
+            terms, times, starts, lengths = suffix_lot(words, codes, (h > 0).astype(np.int64), longest, (near > 0) & _has(pair_bits, near))
+            parts = np.array([hot.get((lang, w), 0) for w in words.to_pylist()], np.uint64)[codes[starts]]
+            home, three = each[starts], np.zeros(len(starts), np.uint64)
+            for k in range(3):
+                three = three * np.uint64(0x9E3779B97F4A7C15) + np.where(lengths > k, each[np.minimum(starts + k, len(codes) - 1)], np.uint64(0))
+            home = home + np.where(parts > 0, (three >> np.uint64(17)) % np.maximum(parts, np.uint64(1)), np.uint64(0)) * np.uint64(0xD1342543DE82EF95)
+            rows = _lot(lang, terms, pa.array(times, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(home.view(np.int64)), pa.array(parts > 0)], names=names)
 
     return docs.mapInArrow(count, "lang string, term binary, n long, home long, divided boolean")
 
@@ -241,8 +294,8 @@ def _prefixes(rows: DataFrame, least: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to `longest` words with at least `least` occurrences, and the number of all words: (lang, phrase, words, f) and (lang, n).
 
-    A first pass counts words. No longer phrase with a rarer word can reach `least`, so rare words
-    end a run, by a bit filter of fixed size whose false hits change nothing. Suffixes are counted in lots,
+    A first pass counts words, a second one hashes of neighbouring words. No phrase with a rarer word or pair can reach `least`, so these
+    end a run, by bit filters of fixed size whose false hits change nothing. Suffixes are counted in lots,
     dealt by language and first word (a very common first word, by its first three words), and sorted.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -252,7 +305,9 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     everything = totals.agg(F.sum("n")).first()[0] or 0
     # At most HOT_SHARE words have so large a share.
     hot = frequent.where(F.col("n") * HOT_SHARE > everything).select("lang", "term", F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, everything))).cast("int").alias("parts")).collect()
-    suffixes = _suffixes(texts, _filter(frequent), {(r["lang"], bytes(r["term"])): r["parts"] for r in hot}, longest)
+    often = _bits(frequent.select(F.xxhash64("lang", "term").alias("h")))
+    pairs = _word_pairs(texts, often).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    suffixes = _suffixes(texts, often, _bits(pairs), {(r["lang"], bytes(r["term"])): r["parts"] for r in hot}, longest)
     dealt = suffixes.repartition("lang", "home").select("lang", "term", "n", "divided").sortWithinPartitions(F.desc("term"))
     counted = _prefixes(dealt, least).groupBy("lang", "term").agg(F.sum("n").alias("f")).where(F.col("f") >= least).unionByName(frequent.withColumnRenamed("n", "f"))
     text = F.col("term").cast("string")
