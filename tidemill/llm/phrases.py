@@ -81,7 +81,7 @@ def _bits(hashes: DataFrame) -> bytes:
 
 
 def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(FILTER_BITS - 1)
+    at = hashes & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -94,15 +94,15 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 class Coder:
     """Texts as codes of words, in lots of some size: words, codes, and a hash of each word, zero for rare ones."""
 
-    def __init__(self, bits: bytes) -> None:
-        self.bits = np.frombuffer(bits, np.uint8)
+    def __init__(self, bits: bytes, size: int) -> None:
+        self.bits, self.size = np.frombuffer(bits, np.uint8), size
         # What is known of words: emptied when full, so that rare words cannot fill the memory.
         self.known: dict[str, dict[bytes, int]] = defaultdict(dict)
         self.held: dict[str, list[bytes]] = defaultdict(list)
 
     def hashes(self, lang: str, words: list[bytes]) -> np.ndarray:
         here, seed = self.known[lang], xxhash.xxh64_intdigest(lang.encode(), seed=LANG_SEED)
-        if len(here) > HELD:
+        if len(here) > self.size:
             here.clear()
         new = [w for w in words if w not in here]
         if new:
@@ -116,7 +116,7 @@ class Coder:
         # A zero byte of its own stands where a piece ends.
         self.held[lang] += cleaned(text).replace(b"\n", b" \0 ").split()
         self.held[lang].append(b"\0")
-        return sum(map(len, self.held.values())) > HELD
+        return sum(map(len, self.held.values())) > self.size
 
     def lots(self) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
         for lang, taken in self.held.items():
@@ -145,7 +145,7 @@ def _word_pairs(docs: DataFrame, frequent: bytes) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times, pa.int64())], names=["h", "n"])
 
-        for _, _, codes, h in Coder(shared.value).read(batches):
+        for _, _, codes, h in Coder(shared.value, HELD).read(batches):
             pairs = _pairs(h[codes])
             held.append(pairs[pairs > 0])
             if sum(map(len, held)) > HELD_PAIRS:
@@ -200,7 +200,7 @@ def _suffixes(docs: DataFrame, frequent: bytes, pairs: bytes, hot: dict[tuple[st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, pairs, hot = shared.value
         pair_bits = np.frombuffer(pairs, np.uint8)
-        for lang, words, codes, h in Coder(frequent).read(batches):
+        for lang, words, codes, h in Coder(frequent, HELD).read(batches):
             each = h[codes]
             near = _pairs(each)
             terms, times, starts, lengths = suffix_lot(words, codes, (h > 0).astype(np.int64), longest, (near > 0) & _has(pair_bits, near))
