@@ -9,8 +9,9 @@ from tidemill.operators import clusters as c
 from tidemill.operators import knowledge as k
 from tidemill.operators import pages as p
 
-from .adapters import PATTERNS, patterns, table
+from .adapters import UNITS, PATTERNS, patterns, table
 from .catalog import query
+from .vectors import DOT
 
 PATH = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace({0}, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/+$', ''), ''), '/')"
 
@@ -66,7 +67,27 @@ def top11(spark, sf_dir):
     return p.siblings(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("geo"), F.col("p_type").alias("theme")))
 
 
-@query("jon08_merge_claims")
+@query(
+    "jon08_merge_claims",
+    """
+with recursive said as (
+  select q.conv_id as id, 'c' || q.conv_id % 4 as category, 't' || q.conv_id % 5 as tag, list_distinct(regexp_extract_all(lower(q.text), '[а-яёa-z0-9]+')) as words, row_number() over (partition by q.conv_id % 4 order by q.conv_id) as n
+  from conversations q join conversations a on q.conv_id = a.conv_id and q.turn = 0 and a.turn = 1 where trim(q.text) <> '' and trim(a.text) <> ''
+), fold as (
+  select category, n, [{'id': id, 'words': words, 'n': 1::bigint, 'tags': [tag], 'stamp': n}] as stored from said where n = 1
+  union all
+  select category, n, case when hit is null then list_append(stored, {'id': id, 'words': words, 'n': 1::bigint, 'tags': [tag], 'stamp': n})
+    else list_transform(stored, lambda s: case when s.id = hit then {'id': s.id, 'words': s.words, 'n': s.n + 1, 'tags': list_distinct(list_append(s.tags, tag)), 'stamp': n} else s end) end
+  from (
+    select r.*, f.stored, list_reverse_sort(list_filter(list_transform(f.stored, lambda s: {'share': len(list_intersect(s.words, r.words)) / greatest(least(len(s.words), len(r.words)), 1), 'stamp': s.stamp, 'id': s.id}), lambda x: x.share >= 0.6))[1].id as hit
+    from fold f join said r on r.category = f.category and r.n = f.n + 1
+  )
+), last_ as (
+  select category, unnest(arg_max(stored, n)) as s from fold group by category
+)
+select s.id as id, category, s.n as count, case when s.n >= 3 then 'high' else 'low' end as confidence, len(s.tags)::int as tags from last_
+""",
+)
 def jon08(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     q = conv.where("turn = 0").select("conv_id", F.col("text").alias("question"))
@@ -122,7 +143,20 @@ def pg10(spark, sf_dir):
     return p.bad_geos(pg)
 
 
-@query("pg07_skeleton")
+@query(
+    "pg07_skeleton",
+    f"""
+with u as (select * from {UNITS}), m as (select label, list(x order by p) as v from (select label, p, avg(x) as x from (select label, unnest(v) as x, generate_subscripts(v, 1) as p from u) group by all) group by 1
+), best as (
+  select id, category, v from (select a.id, a.v, b.label as category, row_number() over (partition by a.id order by round({DOT} / sqrt(list_sum(list_transform(b.v, lambda x: x * x))), 12) desc, b.label) as n from u a, m b) where n = 1
+), centres as (
+  select category, list(x order by p) as v from (select category, p, avg(x) as x from (select category, unnest(v) as x, generate_subscripts(v, 1) as p from best) group by all) group by 1
+)
+select a.category, count(*) as n, md5(string_agg(a.id::varchar, '' order by a.id::varchar)) as hash, round(avg({DOT} / sqrt(list_sum(list_transform(b.v, lambda x: x * x)))), 6) as coherence,
+  count(*) >= 4 and avg({DOT} / sqrt(list_sum(list_transform(b.v, lambda x: x * x)))) >= 0.2 as open
+from best a join centres b on a.category = b.category group by a.category
+""",
+)
 def pg07(spark, sf_dir):
     from .adapters import units
 

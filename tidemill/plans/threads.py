@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 
+from tidemill.functions import fixed
 from tidemill.operators import messages as m
 from tidemill.operators import sequences as s
 from tidemill.operators import threads as t
@@ -52,7 +53,23 @@ def win04(spark, sf_dir):
     return chains(spark, sf_dir).groupBy("root", "span").agg(F.count("*").alias("n"), F.count_if("useful").alias("useful"))
 
 
-@query("win05_claims")
+#: Claims from the spans' messages, in order; a span that no question began opens with the chain's first message.
+CLAIMS = SPANS + f""", told as (
+  select f.root, f.span, f.n, f.id from f join s on f.root = s.root and f.span = s.span where f.inside and f.n > 1
+  union all select s.root, s.span, 0, m.id from s join m on m.root = s.root and m.n = 1 where not s.asked
+), spoken as (
+  select told.root, told.span, list({{'text': t.text, 'useful': m.useful, 'asks': m.asks}} order by told.n) as ms from told join m on m.id = told.id join {TURNS} t on t.id = told.id group by all
+), answered as (
+  select root, span, ms[1].asks as asks, len(ms)::int as chain_size, array_to_string(list_transform(ms, lambda x: x.text), ' ') as whole, list_transform(list_filter(ms[2:], lambda x: x.useful), lambda x: x.text) as answers from spoken
+), claimed as (
+  select *, 'qa' as claim_type, array_to_string(answers[1:2], ' ') as answer from answered where asks
+  union all select *, 'fact', unnest(answers[1:3]) from answered
+)
+select root, span, claim_type, length(answer)::int as answer_chars, case {" ".join(f"when regexp_matches(whole, '(?i){p}') then '{c}'" for _, c, p in fixed.SUBJECTS)} else '{fixed.OTHER_CATEGORY}' end as category, chain_size from claimed
+"""
+
+
+@query("win05_claims", CLAIMS)
 def win05(spark, sf_dir):
     return t.claims(chains(spark, sf_dir)).select("root", "span", "claim_type", F.length("answer").alias("answer_chars"), "category", "chain_size")
 
