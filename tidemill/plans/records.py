@@ -118,9 +118,9 @@ def msc04(spark, sf_dir):
     return r.url_countries(spark.range(25).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url")), feeds(spark, sf_dir))
 
 
-@query("flt22_done_dead", "select user_id as id, case when bool_or(event_type = 'purchase') then 'done' else 'dead' end as state from events where event_id % 9 = 0 group by 1 having bool_or(event_type = 'purchase') or count(*) >= 3")
+@query("flt22_done_dead", "select user_id::varchar || '/' || ts::date::varchar as id, case when bool_or(event_type = 'purchase') then 'done' else 'dead' end as state from events group by 1 having bool_or(event_type = 'purchase') or count(*) >= 3")
 def flt22(spark, sf_dir):
-    return r.done_and_dead(table(spark, sf_dir, "events").where("event_id % 9 = 0").select(F.col("user_id").alias("id"), (F.col("event_type") == "purchase").alias("ok")))
+    return r.done_and_dead(table(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("id"), (F.col("event_type") == "purchase").alias("ok")))
 
 
 @query("set07_leftovers", "select doc_id as id from documents where doc_id not in (select doc_id from labels) and doc_id not in (select vec_id from embeddings where label = 0)")
@@ -142,14 +142,14 @@ def pg04(spark, sf_dir):
     return r.addressed(rows, "label", x.slug).select("p_partkey", "address")
 
 
-@query("pg03_shelves", "select lang || source as shelf, count(distinct doc_id) as n from documents where doc_id % 2 = 0 group by 1 having count(distinct doc_id) >= 3")
+@query("pg03_shelves", "select lang || source as shelf, count(distinct doc_id) as n from documents group by 1 having count(distinct doc_id) >= 3")
 def pg03(spark, sf_dir):
-    return r.shelves(table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.concat("lang", "source").alias("shelf"), F.col("doc_id").alias("id")))
+    return r.shelves(table(spark, sf_dir, "documents").select(F.concat("lang", "source").alias("shelf"), F.col("doc_id").alias("id")))
 
 
-@query("vec16_carved_views", "select doc_id as id, case when doc_id % 13 <> 0 and count(*) over (partition by lang, case when doc_id % 13 <> 0 then source end) >= 9 then lang || '/' || source else lang || '/tail' end as view from documents where doc_id % 4 = 0")
+@query("vec16_carved_views", "select doc_id as id, case when doc_id % 13 <> 0 and count(*) over (partition by lang, case when doc_id % 13 <> 0 then source end) >= 9 then lang || '/' || source else lang || '/tail' end as view from documents")
 def vec16(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0")
+    d = table(spark, sf_dir, "documents")
     return r.carved_views(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("shelf"), F.when(F.col("doc_id") % 13 != 0, F.col("source")).alias("deal")), 9)
 
 

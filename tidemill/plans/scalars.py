@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemill.functions import fixed
 from tidemill.functions import text as x
 from tidemill.functions import values as fn
 from tidemill.operators import knowledge as k
+from tidemill.operators import messages as m
 
 from .adapters import MESSAGES, TURNS, messages, table, turns
 from .catalog import query
@@ -16,10 +18,9 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-@query("txt01_sanitize_ascii", r"select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://\S+|www\.\S+', '', 'g'), '[@#][\p{L}\p{N}_]+', '', 'g'), '[^\p{L}\p{N}\p{P}\p{Zs}]', '', 'g'), '\s+', ' ', 'g'))) as h from documents where regexp_full_match(text, '[\x00-\x7f]*')")
+@query("txt01_sanitize_ascii", r"select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://\S+|www\.\S+', '', 'g'), '[@#][\p{L}\p{N}_]+', '', 'g'), '[^\p{L}\p{N}\p{P}\p{Zs}]', '', 'g'), '\s+', ' ', 'g'))) as h from documents")
 def txt01(spark, sf_dir):
-    d = docs(spark, sf_dir).where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return d.select("doc_id", F.md5(x.sanitize(F.col("text")).cast("binary")).alias("h"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(x.sanitize(F.col("text")).cast("binary")).alias("h"))
 
 
 @query("txt03_utf16_len", "select doc_id, length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) as n from documents")
@@ -117,6 +118,47 @@ def vec14(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", x.tags(F.col("text"), [("thand", "b"), ("wh", "a"), ("ch", "c")]).alias("tags"))
 
 
+#: Words of the shipped rules, one after each document; and what is near them, but not them.
+SEEDS = (
+    "Нужна карта банка", "где получить ВНЖ?", "нужна ли виза туристу", "сколько стоит багаж", "Такси или метро", "квартира в аренду", "супермаркет рядом", "торговый центр, mall", "спасибо", "картонка без визы",
+    "принимают Pix и Wise", "апостиль и справка", "консульство и картория", "доставка еды ifood", "у карторио", "ок", "банкет", "можно ли без cpf", "перелёт с пересадкой", "Nubank",
+)
+
+
+def re2(pattern: str) -> str:
+    """A pattern of the shipped rules as DuckDB reads it: word characters of all scripts, and borders of words as what surrounds them."""
+    letter = r"[\p{L}\p{N}_]"
+    return "(?i)" + pattern.replace(r"\b(?:", rf"(?:^|[^\p{{L}}\p{{N}}_])(?:").replace(r")\b", r")(?:$|[^\p{L}\p{N}_])").replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])").replace(r"\w", letter)
+
+
+SEEDED = f"(select doc_id, list_value({', '.join(f"'{s}'" for s in SEEDS)})[doc_id % {len(SEEDS)} + 1] as said from documents)"
+
+
+def seeded(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array(*[F.lit(s) for s in SEEDS])[(F.col("doc_id") % len(SEEDS)).cast("int")].alias("said"))
+
+
+@query(
+    "vec13_shipped_rules",
+    "select doc_id, case "
+    + " ".join(f"when regexp_matches(said, '{re2(p)}') then '{s}'" for s, _, p in fixed.SUBJECTS) + f" else '{fixed.OTHER_SUBJECT}' end as subject, case "
+    + " ".join(f"when regexp_matches(said, '{re2(p)}') then '{c}'" for _, c, p in fixed.SUBJECTS) + f" else '{fixed.OTHER_CATEGORY}' end as category from {SEEDED}",
+)
+def vec13_shipped(spark, sf_dir):
+    return seeded(spark, sf_dir).select("doc_id", x.subject(F.col("said")).alias("subject"), x.category(F.col("said")).alias("category"))
+
+
+@query("vec14_shipped_rules", "select doc_id, list_sort(list_distinct(list_filter([" + ", ".join(f"case when regexp_matches(said, '{re2(p)}') then '{t}' end" for p, t in fixed.TAGS) + f"], lambda t: t is not null))) as tags from {SEEDED}")
+def vec14_shipped(spark, sf_dir):
+    return seeded(spark, sf_dir).select("doc_id", x.tags(F.col("said")).alias("tags"))
+
+
+@query("flt12_shipped_rules", f"select doc_id, regexp_matches(said, '{re2(fixed.QUESTION)}') as asks, regexp_matches(said, '{re2(fixed.USEFUL)}') as useful, regexp_matches(said, '{re2(fixed.NOISE)}') as noise from {SEEDED}")
+def flt12_shipped(spark, sf_dir):
+    said = F.col("said")
+    return seeded(spark, sf_dir).select("doc_id", m.is_question(said).alias("asks"), m.is_useful(said).alias("useful"), m.is_noise(said).alias("noise"))
+
+
 @query("vec15_overlap", "with w as (select item_id, list_distinct(regexp_extract_all(lower(text), '[а-яёa-z0-9]+')) as w from benchmark) select a.item_id as a, b.item_id as b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 9) as overlap from w a join w b on a.item_id < b.item_id")
 def vec15(spark, sf_dir):
     w = table(spark, sf_dir, "benchmark").select("item_id", x.word_set(F.col("text")).alias("w"))  # a list of some dozens of phrases

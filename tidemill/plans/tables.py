@@ -213,9 +213,10 @@ def snk10(spark, sf_dir):
     return t.aged(table(spark, sf_dir, "orders").withColumn("outdated", F.lit(0)), "o_orderdate", dt.datetime(1998, 1, 1), 90, "outdated").select("o_orderkey", "outdated")
 
 
-@query("snk12_failures", "select user_id, count(*) as failed, arg_max(props, ts)[1:500] as last_error, count(*) >= 3 as dead from events where event_type = 'error' and event_id % 23 < 7 group by 1")
+@query("snk12_failures", "select user_id::varchar || '/' || ts::date::varchar as key, count(*) as failed, arg_max(props, ts)[1:500] as last_error, count(*) >= 3 as dead from events where event_type = 'error' group by 1")
 def snk12(spark, sf_dir):
-    return t.failures(table(spark, sf_dir, "events").where("event_type = 'error' and event_id % 23 < 7"), "user_id", "props")
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return t.failures(errors.withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))), "key", "props")
 
 
 @query("snk13_delete_bots", f"select count(*) as kept, (select count(*) from {MESSAGES} where is_bot) as deleted from {MESSAGES} where not is_bot")
