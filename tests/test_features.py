@@ -261,14 +261,14 @@ def test_average_link_in_rounds(spark, monkeypatch):
     from tidemill.operators import clusters
 
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(8, 16))
-    x = np.repeat(centres, 20, axis=0) + rng.normal(scale=0.9, size=(160, 16))
-    x = np.concatenate([x, x[:20], x[:3]])  # copies
+    centres = rng.normal(size=(5, 16))
+    x = np.repeat(centres, 16, axis=0) + rng.normal(scale=0.8, size=(80, 16))
+    x = np.concatenate([x, x[:10], x[:3]])  # copies
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = spark.createDataFrame([(int(k), x[k].tolist(), int(k * 7919 % 100)) for k in range(len(x))] + [(1000, None, 5)], "id long, v array<double>, length long")
     in_tasks = {r["id"]: (r["component"], r["rep"], r["n"]) for r in clusters.near_groups(rows, 0.55).collect()}
     monkeypatch.setattr(clusters, "ONE_TASK", 2)
-    monkeypatch.setattr(clusters, "BLOCK", 40)
+    monkeypatch.setattr(clusters, "BLOCK", 24)
     in_rounds = {r["id"]: (r["component"], r["rep"], r["n"]) for r in clusters.near_groups(rows, 0.55).collect()}
     assert in_rounds == in_tasks and len(in_tasks) == len(x) + 1
     # By hand: merging over all rows at once, copies and all.

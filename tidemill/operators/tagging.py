@@ -49,7 +49,8 @@ def tag_run(rows: DataFrame, tag: Callable[[DataFrame], DataFrame], state: str,
     spark, id_type = rows.sparkSession, rows.schema["id"].dataType.simpleString()
     done, fails = _state(spark, state, run, id_type)
     todo = _left(rows, done, fails)
-    todo = cut_lineage(todo if limit is None else todo.orderBy("id").limit(limit))
+    # Ids alone are ordered; the rows meet those that come next.
+    todo = cut_lineage(todo if limit is None else todo.join(todo.select("id").orderBy("id").limit(limit), "id", "left_semi"))
     tagged = cut_lineage(tag(todo).select("id", "labels"))
     good = tagged.where("labels is not null")
     bad = todo.select("id").join(good, "id", "left_anti")

@@ -24,12 +24,13 @@ LABELS = "array(substr(lower(text), 1, 4), case when id % 3 = 0 then concat('  '
 def tagged_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, list[tagging.Report]]:
     rows, state = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "lang as shelf", "text", "source"), scratch(spark)
     tag = lambda todo, run: todo.selectExpr("id", f"case when {FAILS.format(run=run)} then null else {LABELS} end as labels")
-    return rows, state, [tagging.tag_run(rows, partial(tag, run=k), state, k, limit) for k, limit in enumerate((400, 300, None, None, None))]
+    some = rows.count() * 2 // 5
+    return rows, state, [tagging.tag_run(rows, partial(tag, run=k), state, k, limit) for k, limit in enumerate((some, some // 2, None, None, None))]
 
 
 RUNS = """
 with numbered as (
-  select doc_id as id, lang as shelf, [substr(lower(text), 1, 4), case when doc_id % 3 = 0 then source else '' end] as labels, row_number() over (order by doc_id) <= 400 as first_,
+  select doc_id as id, lang as shelf, [substr(lower(text), 1, 4), case when doc_id % 3 = 0 then source else '' end] as labels, row_number() over (order by doc_id) <= count(*) over () * 2 // 5 as first_,
     doc_id % 13 = 0 as f13, doc_id % 13 = 0 or doc_id % 19 = 0 as f19, doc_id % 13 = 0 or doc_id % 19 = 0 or doc_id % 17 = 0 as any_ from documents
 ), folded as (
   select *, (first_ and any_)::int + any_::int as two, (first_ and any_)::int + any_::int + f19::int as three from numbered
