@@ -55,7 +55,7 @@ def test_chat_empty(spark):
 
 
 def brute_lines(rows):
-    """Lines that repeat an earlier one or are within one token of it, by dynamic programming over all pairs."""
+    """Lines that repeat an earlier one or are within one token of it (a word if either has eight or more), by dynamic programming over all pairs."""
 
     def near(a, b):
         if abs(len(a) - len(b)) > 1:
@@ -73,12 +73,13 @@ def brute_lines(rows):
             w = re.split("[ \\t\\x0b\\x0c\\r]+", line.lower().strip(" \t\x0b\x0c\r"))
             if w == [""]:
                 continue
-            long, said = len(w) >= 8, " ".join(w)
-            form = w if long else said
-            fuzzy = long or len(said) >= 16
-            if any(w == s or (fuzzy and f and long == g and near(form, x)) for s, f, g, x in seen):
-                out.add((i, n))
-            seen.append((w, fuzzy, long, form))
+            said = " ".join(w)
+            for s, t in seen:
+                by_words = max(len(w), len(s)) >= 8
+                if w == s or (near(w, s) if by_words else min(len(said), len(t)) >= 16 and near(said, t)):
+                    out.add((i, n))
+                    break
+            seen.append((w, said))
     return out
 
 
