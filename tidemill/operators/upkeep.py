@@ -182,3 +182,53 @@ def display_name(code: Column, names: dict[str, str]) -> Column:
     letter = lambda k: F.decode(F.unhex(F.concat(F.lit("F09F87"), F.hex(F.ascii(F.substring(low, k, 1)) + F.lit(0xA6 - ord("a"))))), "UTF-8")
     name = F.try_element_at(table, low)
     return F.when(name.isNotNull() & low.rlike("^[a-z]{2}$"), F.concat(letter(1), letter(2), F.lit(" "), name)).otherwise(F.upper(F.trim(code)))
+
+
+def of_country(messages: DataFrame, sources: DataFrame, country: str, since: dt.datetime | None = None) -> DataFrame:
+    """SRC-05: messages of a country's active channels, from a time on if one is given. sources (channel, country, active) is a dimension."""
+    wanted = dimension(sources.where((F.col("country") == country) & (F.col("active") == 1)).select("channel").distinct())
+    rows = messages if since is None else messages.where(F.col("ts") >= F.lit(since))
+    return rows.join(wanted, "channel", "left_semi")
+
+
+def counted_at(spark, paths: dict[str, str]) -> DataFrame:
+    """AGG-24: (collection, n): rows of each collection's files; -1 where there are none to be read."""
+    from pyspark.errors import AnalysisException
+
+    out = []
+    for name, path in sorted(paths.items()):
+        try:
+            out.append((name, spark.read.parquet(path).count()))
+        except AnalysisException:
+            out.append((name, -1))
+    return spark.createDataFrame(out, "collection string, n long")
+
+
+def first_of_each(values: Column) -> Column:
+    """FN-11: an array without repeats, each value where it first stood."""
+    return F.array_distinct(values)
+
+
+def migrated(rows: DataFrame, model: str, embed) -> DataFrame:
+    """MSC-14: rows (id, text, model, v) under a new model: those of another are embedded anew; where that fails a row stays as it was.
+
+    `embed` gives rows a vector v, or null. What bears the model already is not read by it, so a repeated migration is the rest of the first.
+    """
+    old = F.coalesce(F.col("model") != model, F.lit(True))
+    new = embed(rows.where(old).select("id", "text")).select("id", F.col("v").alias("__v"))
+    met = rows.join(new, "id", "left")
+    done = F.col("__v").isNotNull()
+    return met.withColumn("v", F.when(done, F.col("__v")).otherwise(F.col("v"))).withColumn("model", F.when(done, F.lit(model)).otherwise(F.col("model"))).select(*rows.columns)
+
+
+def emptied(rows: DataFrame, path: str) -> None:
+    """SNK-14: a stored table without rows, of the same columns."""
+    rows.limit(0).write.mode("overwrite").parquet(path)
+
+
+def home_pages(pages: DataFrame, names: DataFrame, least: int = 1) -> DataFrame:
+    """MSC-16: (lang, path, geos, n): a home page for each language with a name (lang, name) and `least` geos that have a hub; its geos by pages, then code."""
+    counts = pages.groupBy("lang", "geo").agg(F.count("*").alias("n"), F.bool_or(F.col("kind") == "hub").alias("hub")).where("hub")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("mass"), "geo"))), lambda x: x["geo"])  # geos of a language: countries
+    home = counts.groupBy("lang").agg(listed.alias("geos"), F.sum("n").alias("n")).where(F.size("geos") >= least)
+    return home.join(dimension(names.select("lang").distinct()), "lang", "left_semi").select("lang", F.concat(F.lit("/"), "lang", F.lit("/")).alias("path"), "geos", "n")

@@ -207,3 +207,48 @@ def msc32(spark, sf_dir):
 @query("msc31_display_names", "select doc_id, case lang when 'de' then '🇩🇪 Germany' when 'fr' then '🇫🇷 France' else upper(lang) end as name from documents")
 def msc31(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", u.display_name(F.col("lang"), {"de": "Germany", "fr": "France", "br": "Brazil"}).alias("name"))
+
+
+@query("src05_country_backfill", f"select id from {MESSAGES} where channel in ('click', 'view') and ts >= '2024-01-10'")
+def src05(spark, sf_dir):
+    sources = spark.createDataFrame([("click", "br", 1), ("view", "br", 1), ("error", "br", 0), ("purchase", "lk", 1)], "channel string, country string, active int")
+    return u.of_country(messages(spark, sf_dir), sources, "br", dt.datetime(2024, 1, 10)).select("id")
+
+
+@query("agg24_collection_counts", "select 'documents' as collection, count(*) as n from documents union all select 'missing', -1 union all select 'pages', count(*) from pages")
+def agg24(spark, sf_dir):
+    return u.counted_at(spark, {"documents": f"{sf_dir}/documents.parquet", "pages": f"{sf_dir}/pages.parquet", "missing": f"{sf_dir}/no-such-table.parquet"})
+
+
+@query(
+    "fn11_first_of_each",
+    "select doc_id, list(w order by at_) as words from (select doc_id, w, min(at_) as at_ from (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as at_ from (select doc_id, string_split(lower(text), ' ') as ws from documents)) group by doc_id, w) group by doc_id",
+)
+def fn11(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", u.first_of_each(F.split(F.lower("text"), " ")).alias("words"))
+
+
+@query("msc14_migrated", "select doc_id as id, case when doc_id % 3 = 0 or length(text) % 7 <> 0 then 'new' when doc_id % 3 = 1 then 'old' end as model, case when doc_id % 3 <> 0 and length(text) % 7 <> 0 then length(text)::double else 0 end as v from documents")
+def msc14(spark, sf_dir):
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 3 == 0, "new").when(F.col("doc_id") % 3 == 1, "old").alias("model"), F.array(F.lit(0.0)).alias("v"))
+    got = u.migrated(rows, "new", lambda todo: todo.withColumn("v", F.when(F.length("text") % 7 != 0, F.array(F.length("text").cast("double")))))
+    return got.select("id", "model", F.col("v")[0].alias("v"))
+
+
+@query("snk14_emptied", "select count(*) as before, 0::bigint as after, 'doc_id,text,lang,source,n_chars' as kept_columns from documents")
+def snk14(spark, sf_dir):
+    rows, path = docs(spark, sf_dir), scratch(spark)
+    rows.write.parquet(path)
+    u.emptied(rows, path + "-emptied")
+    left = spark.read.schema(rows.schema).parquet(path + "-emptied")
+    return spark.read.parquet(path).agg(F.count("*").alias("before"), F.lit(left.count()).cast("long").alias("after"), F.lit(",".join(left.columns)).alias("kept_columns"))
+
+
+@query(
+    "msc16_home_pages",
+    """with g as (select lang, 'g' || doc_id % 6 as geo, count(*) as n, bool_or(doc_id % 11 = 0) as hub from documents group by all)
+select lang, '/' || lang || '/' as path, list(geo order by -n, geo) as geos, sum(n)::bigint as n from g where hub and lang <> 'es' group by lang""",
+)
+def msc16(spark, sf_dir):
+    pages = docs(spark, sf_dir).select("lang", F.concat(F.lit("g"), (F.col("doc_id") % 6).cast("string")).alias("geo"), F.when(F.col("doc_id") % 11 == 0, "hub").otherwise("fact").alias("kind"))
+    return u.home_pages(pages, pages.where("lang <> 'es'").select("lang", F.lit("x").alias("name")).distinct())
