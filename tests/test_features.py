@@ -144,8 +144,8 @@ def test_tagging_can_be_repeated(spark, tmp_path):
     assert sorted(r["id"] for r in dead) == [0, 4]
 
 
-@pytest.mark.parametrize("at", ["points", "waiting"])
-def test_pump_survives_a_kill(spark, tmp_path, at):
+def test_pump_survives_kills(spark, tmp_path):
+    """Killed after the first of a batch's writes, and after the last, before the checkpoint knows."""
     rows = [(k, None if k == 3 else f"text {k}") for k in range(24)]
     parts = [rows[:9], rows[9:18] + rows[:2], rows[18:], [(None, None)], [(None, None)]]
 
@@ -158,7 +158,7 @@ def test_pump_survives_a_kill(spark, tmp_path, at):
             spark.createDataFrame(part, "id long, text string").coalesce(1).write.mode("append").parquet(f"{home}/in")
             handle = pumping.pump(embed, f"{home}/state", f"day {k // 3}", 7, junk=lambda todo: todo.where("id % 11 = 10"), strikes=3)
 
-            def broken(df, batch, handle=handle):
+            def broken(df, batch, handle=handle, at={1: "points", 3: "waiting"}.get(k)):
                 # As much of the batch is done as was written before the kill.
                 from pyspark.sql import DataFrameWriter
 
@@ -171,8 +171,6 @@ def test_pump_survives_a_kill(spark, tmp_path, at):
 
                 DataFrameWriter.parquet = write
                 try:
-                    if at == "embed":
-                        raise RuntimeError("killed")
                     handle(df, batch)
                 finally:
                     DataFrameWriter.parquet = real
@@ -184,9 +182,7 @@ def test_pump_survives_a_kill(spark, tmp_path, at):
             st.each_batch(source(), handle, f"{home}/checkpoint").awaitTermination()
         return sorted(map(tuple, pumping.pumped(spark, f"{home}/state", "bigint", len(parts)).collect()))
 
-    if not hasattr(test_pump_survives_a_kill, "whole"):
-        test_pump_survives_a_kill.whole = pumped("whole", False)
-    whole = test_pump_survives_a_kill.whole
+    whole = pumped("whole", False)
     assert len(whole) == 24 and {r[1] for r in whole} == {"embedded", "skipped", "dropped", "waiting"}
     assert sum(r[1] == "embedded" for r in whole) <= 14 and (3, "dropped", 3, 2) in whole
     assert pumped("killed", True) == whole
