@@ -98,6 +98,15 @@ def test_node_trees(spark):
     assert rows.where("page = 4 and tree is not null").count() == 1
 
 
+def test_references_without_a_semicolon_stay_as_they_are():
+    text = lambda html: "".join(x if isinstance(x, str) else "".join(x["children"]) for p in nodes.tree_of(html) for x in p["children"])
+    assert text("<h1>and&amp</h1>a&lt b &copyx; &amp;lt; &#65; &#66 &notit; <i>R&amp;D</i> & &&nbsp;.") == "and&ampa&lt b &copyx; &lt; A &#66 &notit; R&D & &\xa0."
+    # In scripts nothing is a reference; in attributes the same holds as in texts; what a text breaks off with waits.
+    assert text('<script>if (a&b && c&amp;d) x="&amp";</script>') == 'if (a&b && c&amp;d) x="&amp";'
+    assert nodes.tree_of('<a href="?a=1&copy=2&amp;b">x</a>')[0]["children"][0]["attrs"] == {"href": "?a=1&copy=2&b"}
+    assert text("<b>x</b>y &amp") == "x"
+
+
 # ---- the index
 
 

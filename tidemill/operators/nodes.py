@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,13 +17,20 @@ from tidemill.sources.store import cut_lineage
 VOID = frozenset({"br", "img", "hr"})
 #: Levels of open tags; a tag opened deeper stands on the deepest level, so that a page of unclosed tags stays a valid value.
 DEEPEST = 200
+#: An ampersand, and the rest of a reference that a semicolon ends. One after which the text breaks off is left to the parser, which waits for more.
+AMPERSAND = re.compile(r"&(?![^\s;<>]*\Z)(#\d+;|#[xX][0-9A-Fa-f]+;|[0-9A-Za-z]+;)?")
 
 
 class _Builder(HTMLParser):
-    """Nodes of a fragment: text, or a tag with its attributes and children."""
+    """Nodes of a fragment: text, or a tag with its attributes and children.
 
-    def __init__(self) -> None:
+    Only references that end in a semicolon stand for a character: the parser never sees another ampersand, but a character
+    that the fragment does not hold.
+    """
+
+    def __init__(self, fragment: str) -> None:
         super().__init__()
+        self.plain = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in fragment)
         self.top: list = []
         self.path: list[dict] = []
         self.beyond = 0
@@ -31,7 +39,8 @@ class _Builder(HTMLParser):
         (self.path[-1]["children"] if self.path else self.top).append(node)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        given = {k: v for k, v in attrs if v is not None}
+        given = {k.replace(self.plain, "&"): v.replace(self.plain, "&") for k, v in attrs if v is not None}
+        tag = tag.replace(self.plain, "&")
         node = {"tag": tag} | ({"attrs": given} if given else {})
         self.put(node)
         if tag in VOID:
@@ -42,19 +51,24 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         # Only what is innermost closes; other closing tags are void.
-        if self.path and self.path[-1]["tag"] == tag:
+        if self.path and self.path[-1]["tag"] == tag.replace(self.plain, "&"):
             self.path.pop()
 
     def handle_data(self, data: str) -> None:
-        self.put(data)
+        self.put(data.replace(self.plain, "&"))
+
+    def read(self, fragment: str) -> None:
+        whole = lambda end: end is not None and (end[0] == "#" or end in html5)
+        self.feed(AMPERSAND.sub(lambda m: m[0] if whole(m[1]) else self.plain + (m[1] or ""), fragment))
 
 
 def tree_of(html: str) -> list[dict]:
     """Paragraphs of a text: blank lines part them, other line ends are br; one that says so if there are none."""
     out = []
     for part in filter(None, (p.strip() for p in re.split(r"\n{2,}", html.strip()))):
-        builder = _Builder()
-        builder.feed(part.replace("\n", "<br>"))
+        part = part.replace("\n", "<br>")
+        builder = _Builder(part)
+        builder.read(part)
         if builder.top:
             out.append({"tag": "p", "children": builder.top})
     return out or [{"tag": "p", "children": ["(empty)"]}]
