@@ -293,3 +293,50 @@ def test_average_link_in_rounds(spark, monkeypatch):
         by_hand |= {k: (rep, len(members)) for k in members}
     assert {k: v[1:] for k, v in in_tasks.items() if k < 1000} == by_hand and in_tasks[1000] == (1000, 1000, 1)
     assert len({v[1] for v in in_tasks.values()}) < len(x) / 3
+
+
+def test_blocks_of_vectors_meet_in_many_tasks(spark, monkeypatch):
+    """Ranks with ties, all links, and a part of many clusters whose last merges are one by one, over blocks of a few rows."""
+    import numpy as np
+
+    from tidemill.operators import clusters
+
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 8))
+    x[60:75] = x[:15]  # copies tie
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(int(k), x[k].tolist()) for k in range(90)], "id long, v array<double>")
+    dot = lambda a, b: float(sum(p * q for p, q in zip(x[a].tolist(), x[b].tolist())))
+    got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in clusters.nearest(rows.where("id % 5 = 0"), rows, 7, 0.3).collect()}
+    want = {}
+    for q in range(0, 90, 5):
+        near = sorted((-dot(q, k), k) for k in range(90) if k != q and dot(q, k) >= 0.3)[:7]
+        want |= {(q, n + 1): (k, -s) for n, (s, k) in enumerate(near)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    links = {(a, b) for a in range(90) for b in range(a + 1, 90) if dot(a, b) >= 0.7}
+    assert {(r["a"], r["b"]) for r in clusters.similar_pairs(rows, 0.7).collect()} == links
+    # One pair that was tiled by part took a part of any size in one task; edges are no more than two a row and partition.
+    edges = clusters.linking_edges(rows, 0.7)
+    smallest = lambda e: {r["id"]: r["component"] for r in clusters.components(rows, e).collect()}
+    assert edges.count() <= 2 * clusters.DEAL * 90 and smallest(edges) == smallest(spark.createDataFrame(sorted(links), "a long, b long"))
+    parted = rows.withColumn("part", F.lit(0)).withColumn("n", F.lit(1))
+    pairs = clusters.best_partners(parted.select("part", F.col("id").alias("cluster"), F.col("v").alias("m")), 0.3)
+    best = {k: min((-dot(k, j), j) for j in range(90) if j != k) for k in range(90)}
+    assert {r["cluster"]: r["partner"] for r in pairs.collect()} == {k: j for k, (s, j) in best.items() if -s >= 0.3}
+
+
+def test_the_end_of_linking_takes_no_round_for_each_pair(spark, monkeypatch):
+    import numpy as np
+
+    from tidemill.operators import clusters
+
+    # Each vector joins the one cluster there is: mutual best pairs are one a round.
+    angle = np.cumsum(0.02 * 1.12 ** np.arange(18))
+    rows = spark.createDataFrame([(k, [float(np.cos(a)), float(np.sin(a))], 1) for k, a in enumerate(angle)], "id long, v array<double>, n long").withColumn("part", F.lit(0))
+    calls, plain = [], clusters.best_partners
+    monkeypatch.setattr(clusters, "best_partners", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(clusters, "ONE_TASK", 17)
+    got = {r["id"]: r["cluster"] for r in clusters.linked_in_rounds(rows, 0.5).collect()}
+    x = np.column_stack([np.cos(angle), np.sin(angle)])
+    assert got == dict(enumerate(clusters.average_link(x @ x.T, 0.5).tolist())) and len(calls) == 1
