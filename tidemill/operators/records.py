@@ -117,7 +117,7 @@ def context_matches(queries: DataFrame, collections: Sequence[tuple[str, DataFra
     """TOP-06, MSC-12: (query, source, id, rank, score): each collection's nearest rows (id, v) to queries (id, v), at or above a similarity, with the collection's name."""
     out = None
     for name, rows, limit in collections:
-        part = clusters.nearest(queries, rows, limit).where(F.col("score") >= least).withColumn("source", F.lit(name)).select("query", "source", "id", "rank", "score")
+        part = clusters.nearest(queries, rows, limit, least).withColumn("source", F.lit(name)).select("query", "source", "id", "rank", "score")
         out = part if out is None else out.unionByName(part)
     return out
 
