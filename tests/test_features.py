@@ -340,3 +340,19 @@ def test_the_end_of_linking_takes_no_round_for_each_pair(spark, monkeypatch):
     got = {r["id"]: r["cluster"] for r in clusters.linked_in_rounds(rows, 0.5).collect()}
     x = np.column_stack([np.cos(angle), np.sin(angle)])
     assert got == dict(enumerate(clusters.average_link(x @ x.T, 0.5).tolist())) and len(calls) == 1
+
+
+def test_texts_are_split_and_embedded_in_lots(spark):
+    """A batch of texts is never held as pieces at once: what was split leaves before the rest becomes strings."""
+    from tidemill.operators import external, sequences
+
+    rows = spark.createDataFrame([(k, None if k % 7 == 0 else "ab " * k) for k in range(40)], "id long, t string")
+    split = lambda t: [t[:9], t[9:]] if len(t) > 9 else [t]
+    df = sequences.split_rows(rows, "id", "t", split)
+    got = {(r["id"], r["piece"]): (r["pieces"], r["text"]) for r in df.collect()}
+    assert got == {(k, n): (len(split("ab " * k)), p) for k in range(40) if k % 7 for n, p in enumerate(split("ab " * k))}
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    sizes = spark.createDataFrame([(k, [None, " ", "x y"][k % 3]) for k in range(2000)], "id long, t string").coalesce(1)
+    model = lambda texts: [[float(len(texts)), 1.0]] * len(texts)
+    calls = {(r["id"] % 3, r["v"] is None or r["v"][0] <= external.LOT) for r in sizes.select("id", external.embed(F.col("t"), model).alias("v")).collect()}
+    assert calls == {(0, True), (1, True), (2, True)}

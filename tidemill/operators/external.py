@@ -18,6 +18,9 @@ from tidemill.operators import sequences
 Embedder = Callable[[Sequence[str]], np.ndarray]
 TextModel = Callable[[Sequence[str]], Sequence[str]]
 
+#: Texts of one call of an embedder.
+LOT = 256
+
 
 class HashEmbedder:
     """EXT-01: a stand-in: word hashes summed into a unit vector. Equal texts give equal vectors, shared words nearby ones."""
@@ -35,14 +38,18 @@ class HashEmbedder:
 
 
 def embed(text: Column, model: Embedder) -> Column:
-    """EXT-01, EXT-03: vectors of a text column, an Arrow batch a call; null and blank texts have none."""
+    """EXT-01, EXT-03: vectors of a text column, LOT texts of an Arrow batch a call at most; null and blank texts have none."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            some = s.notna() & s.fillna("").str.strip().ne("")
-            made = iter(np.asarray(model(s[some].tolist()), np.float64) if some.any() else ())
-            yield pd.Series([next(made) if x else None for x in some], index=s.index, dtype=object)
+            out: list = [None] * len(s)
+            some = [k for k, t in enumerate(s) if isinstance(t, str) and t.strip()]
+            for start in range(0, len(some), LOT):
+                lot = some[start : start + LOT]
+                for k, made in zip(lot, np.asarray(model([s.iat[k] for k in lot]), np.float64), strict=True):
+                    out[k] = made
+            yield pd.Series(out, index=s.index, dtype=object)
 
     return run(text)
 

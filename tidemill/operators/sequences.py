@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of the texts that are split before their pieces are handed on.
+PIECE_CHARACTERS = 1_000_000
+
 
 def utf16_units(text: str) -> int:
     return len(text) + sum(c > "￿" for c in text)
@@ -67,12 +71,25 @@ def overlapping_pieces(text: str, tokens: int, overlap: int = 200) -> list[str]:
 def split_rows(rows: DataFrame, id_col: str, text_col: str, split: Callable[[str], Sequence[str]]) -> DataFrame:
     """TXT-04, TXT-05, TXT-11: (id, piece, pieces, text): each text's pieces, numbered from 0."""
 
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else [*split(t)])
-
-    parts = rows.select(F.col(id_col).alias("id"), cut(F.col(text_col)).alias("parts"))
-    return parts.select("id", F.size("parts").alias("pieces"), F.posexplode("parts").alias("piece", "text"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch of texts may have tens of MB: some texts at a time become strings, and their pieces leave before the next.
+        for batch in batches:
+            ids, texts, start = batch.column(0), batch.column(1), 0
+            while start < batch.num_rows:
+                at, size, out = start, 0, []
+                while at < batch.num_rows and size < PIECE_CHARACTERS:
+                    text = texts[at].as_py()
+                    if text is not None:
+                        parts = [*split(text)]
+                        size += len(text)
+                        out += [(at, len(parts), k, p) for k, p in enumerate(parts)]
+                    at += 1
+                rows, pieces, piece, text = zip(*out, strict=True) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, "int64")), pa.array(pieces, "int32"), pa.array(piece, "int32"), pa.array(text, "string")], ["id", "pieces", "piece", "text"])
+                start = at
+
+    kind = dict(rows.dtypes)[id_col]
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, pieces int, piece int, text string")
 
 
 def pack(rows: DataFrame, key: str, order: Sequence[str], size_col: str, budget: int, most: int | None = None) -> DataFrame:
