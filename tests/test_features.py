@@ -139,6 +139,21 @@ def test_index_reads_only_its_terms(spark, tmp_path):
         assert "PartitionFilters: [" in plan and {re.search(r"folder=([^/]+)", r["f"])[1] for r in files} <= folders
 
 
+def test_a_texts_words_are_told_once(spark, tmp_path, monkeypatch):
+    """No step above the explosion counts a text's words again, none below it splits the text twice, and the postings are shuffled once."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (plans.append(self._df._jdf.queryExecution()), real(self, path, *a, **b))[1])
+    texts = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "id long, text string")
+    path = str(tmp_path / "index")
+    postings.write_index(texts, postings.words_of([F.col("text")]), path)
+    assert sorted(map(tuple, spark.read.parquet(path).select("term", "id", "n", "total").collect())) == [("a", 1, 1, 2), ("b", 1, 2, 2)]
+    above, below = plans[0].optimizedPlan().toString().split("Generate ")
+    assert "array_distinct" not in above and "Filter" not in below
+    assert plans[0].executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
 # ---- runs with state
 
 

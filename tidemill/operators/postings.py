@@ -37,10 +37,14 @@ def write_index(texts: DataFrame, words: Column, path: str, *, id_col: str = "id
     statistics of row groups. At most 1,400 folders, whatever the texts. Null texts have no words.
     """
     split = texts.select(F.col(id_col).alias("id"), *carry, words.alias("__words"))
-    each = split.select("id", *carry, F.size(F.array_distinct("__words")).alias("total"), F.explode("__words").alias("term"))
-    counted = each.groupBy("id", "term", "total", *carry).agg(F.count("*").cast("int").alias("n"))
-    placed = counted.withColumn("folder", folder(F.col("term"))).select("term", "id", "n", "total", *carry, "folder")
-    placed.repartitionByRange("folder", "term", "id").sortWithinPartitions("folder", "term", "id").write.mode("overwrite").partitionBy("folder").parquet(path)
+    # The total is told before the words are dealt out: beside explode, it would be counted again for each word.
+    told = split.select("id", *carry, F.size(F.array_distinct("__words")).alias("total"), "__words")
+    # explode_outer: explode alone puts a filter on the words before itself, which splits each text once more.
+    each = told.select("id", *carry, "total", F.explode_outer("__words").alias("term")).where("term is not null")
+    placed = each.withColumn("folder", folder(F.col("term"))).repartitionByRange("folder", "term", "id")
+    # Ranges keep a text's occurrences of a term together, so they are counted where they lie.
+    counted = placed.groupBy("folder", "term", "id", "total", *carry).agg(F.count("*").cast("int").alias("n")).select("term", "id", "n", "total", *carry, "folder")
+    counted.sortWithinPartitions("folder", "term", "id").write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
 def postings(spark: SparkSession, path: str, expression: str | None) -> DataFrame | None:
