@@ -197,6 +197,38 @@ def test_merge_claims(spark):
     assert (got[1]["confidence"], got[3]["confidence"]) == ("high", "low")
 
 
+def merge_claims_twin(rows, threshold):
+    """All stored rows compared with each claim: (id, count, newest of the answers of the greatest length, sources) of each."""
+    stored = []
+    for stamp, (i, category, question, answer) in enumerate(sorted(rows)):
+        mine = set(question.split())
+        near = [(len(mine & s["words"]) / min(len(mine), len(s["words"])), s["stamp"], s) for s in stored if s["category"] == category and mine & s["words"]]
+        best = max(near, key=lambda x: x[:2], default=(0, 0, None))
+        if best[2] and best[0] >= threshold:
+            best[2].update(stamp=stamp, answer=max(best[2]["answer"], answer, key=len), sources=best[2]["sources"] + [i])
+        else:
+            stored.append({"id": i, "category": category, "words": mine, "answer": answer, "stamp": stamp, "sources": [i]})
+    return sorted((s["id"], str(s["category"]), s["answer"], len(s["sources"]), s["sources"]) for s in stored)
+
+
+def test_merge_claims_meets_few_stored_rows(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{int(rng.zipf(1.3)) % 300}"
+    rows = [(int(k), rng.choice(["a", "b", "c", None]), " ".join(word() for _ in range(rng.integers(1, 13))), "x" * int(rng.integers(1, 9))) for k in rng.permutation(600)]
+    df = spark.createDataFrame([(*r, [], [r[0]], 1, "br") for r in rows], "id long, category string, question string, answer string, tags array<string>, source_msgs array<long>, count int, country string").repartition(5)
+    for threshold in (0.6, 0.34, 1.0):
+        merged = k.merge_claims(df, threshold)
+        assert sorted((r["id"], str(r["category"]), r["answer"], r["count"], r["source_msgs"]) for r in merged.collect()) == merge_claims_twin(rows, threshold)
+    # Categories are not put together into one task.
+    assert "REPARTITION_BY_NUM" in merged._jdf.queryExecution().executedPlan().toString()
+    # Words that all have lead to no stored row, if the rare ones differ.
+    stored = k._Stored({f"common{n}": n for n in range(4)}, 0.6)
+    for n in range(500):
+        stored.fold({"id": n, "words": [f"common{m}" for m in range(4)] + [f"own{n}-{m}" for m in range(8)], "tags": [], "source_msgs": [], "count": 1, "question": "", "answer": ""})
+    assert len(stored.rows) == 500 and max(map(len, stored.by_first.values())) == 1
+    assert all(len(stored.by_word[w]) == 1 for w in stored.by_first)
+
+
 def test_carry_forward(spark):
     new = spark.createDataFrame([("n1", [1, 2, 3, 4]), ("n2", [5, 6, 7]), ("n3", [9])], "key string, ids array<int>")
     old = spark.createDataFrame([("o1", [1, 2, 3, 4]), ("o2", [5, 6, 7, 8]), ("o3", [1, 2, 3])], "key string, ids array<int>")

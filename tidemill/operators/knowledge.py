@@ -2,15 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tidemill.functions import fixed, text
 
 
+#: Words of questions told to the fold as common, the commonest first; all others are as rare as each other.
+COMMON_WORDS = 65_536
+
+
+class _Stored:
+    """The stored rows of one country and category, found by words.
+
+    Words stand in one order, rare ones first. Rows that share `need` words of the smaller set share one of
+    the smaller set's first size - need + 1 words, whatever the other words are. So a claim looks up its own first words
+    among all words of stored rows (which finds larger ones), and all its words among the first words of stored rows (smaller ones).
+    """
+
+    def __init__(self, common: dict[str, int], threshold: float) -> None:
+        self.common, self.threshold = common, threshold
+        self.rows: list[dict] = []
+        self.by_word: dict[str, list[int]] = {}
+        self.by_first: dict[str, list[int]] = {}
+        self.stamp = 0
+
+    def _need(self, size: int) -> int:
+        """The fewest words of a set of this size that reach the threshold."""
+        n = max(1, int(self.threshold * size) - 1)
+        while n < size and n / size < self.threshold:
+            n += 1
+        return n
+
+    def _first(self, words: list[str]) -> list[str]:
+        return words[: len(words) - self._need(len(words)) + 1] if words else []
+
+    def fold(self, r: dict) -> None:
+        words = sorted(r["words"], key=lambda w: (-self.common.get(w, COMMON_WORDS), w))
+        mine, first, rows = set(words), self._first(words), self.rows
+        near: set[int] = set()
+        for w in first:
+            near.update(self.by_word.get(w, ()))
+        for w in words:
+            near.update(self.by_first.get(w, ()))
+        best = max(((len(mine & rows[k]["words"]) / min(len(mine), len(rows[k]["words"])), rows[k]["stamp"], k) for k in near), default=None)
+        self.stamp += 1
+        if best and best[0] >= self.threshold:
+            s = rows[best[2]]
+            s["tags"].update(r["tags"])
+            s["sources"].update(r["source_msgs"])
+            s["count"] += int(r["count"])
+            s["answer"] = r["answer"] if len(r["answer"]) > len(s["answer"]) else s["answer"]
+            s["stamp"] = self.stamp
+            return
+        for w in words:
+            self.by_word.setdefault(w, []).append(len(rows))
+        for w in first:
+            self.by_first.setdefault(w, []).append(len(rows))
+        rows.append({"id": r["id"], "question": r["question"], "words": mine, "answer": r["answer"], "tags": set(r["tags"]), "sources": set(r["source_msgs"]), "count": int(r["count"]), "stamp": self.stamp})
+
+
 def merge_claims(claims: DataFrame, threshold: float = 0.6) -> DataFrame:
     """JON-08: claims (id, country, category, question, answer, tags, source_msgs, count) folded in id order into stored rows.
 
@@ -18,43 +74,38 @@ def merge_claims(claims: DataFrame, threshold: float = 0.6) -> DataFrame:
     words (of the smaller set), at or above the threshold, the newest on ties: counts add,
     tags and sources unite, the longer answer stays. Else it is stored anew. Blank
     questions or answers are not stored. The fold depends on order, so a country's category
-    is one task; words are looked up in an index, so a claim meets only rows that share one.
+    is one task, which reads its claims in order and holds what is stored. A claim meets the stored rows
+    that share a rare word with it (`_Stored`), not all that share some word.
     """
     words = text.word_set(F.col("question"))
     rows = claims.where("trim(question) <> '' and trim(answer) <> ''").withColumn("words", words)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        stored: list[dict] = []
-        index: dict[str, set[int]] = {}
-        stamp = 0
-        for r in group.sort_values("id").itertuples(index=False):
-            mine = set(r.words)
-            shared: dict[int, int] = {}
-            for w in mine:
-                for k in index.get(w, ()):
-                    shared[k] = shared.get(k, 0) + 1
-            best = max(((n / min(len(mine), len(stored[k]["words"])), stored[k]["stamp"], k) for k, n in shared.items()), default=None)
-            stamp += 1
-            if best and best[0] >= threshold:
-                s = stored[best[2]]
-                s["tags"] |= set(r.tags)
-                s["sources"] |= set(r.source_msgs)
-                s["count"] += int(r.count)
-                s["answer"] = r.answer if len(r.answer) > len(s["answer"]) else s["answer"]
-                s["stamp"] = stamp
-            else:
-                stored.append({"id": r.id, "question": r.question, "words": mine, "answer": r.answer, "tags": set(r.tags), "sources": set(r.source_msgs), "count": int(r.count), "stamp": stamp})
-                for w in mine:
-                    index.setdefault(w, set()).add(len(stored) - 1)
-        country, category = group["country"].iloc[0], group["category"].iloc[0]
-        out = [(s["id"], country, category, s["question"], s["answer"], sorted(s["tags"]), sorted(s["sources"]), s["count"]) for s in stored]
-        return pd.DataFrame(out, columns=["id", "country", "category", "question", "answer", "tags", "source_msgs", "count"])
-
+    counted = rows.select(F.explode("words").alias("w")).groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(COMMON_WORDS)
+    common = {r["w"]: k for k, r in enumerate(counted.select("w").collect())}
     kinds = dict(claims.dtypes)
     schema = f"id {kinds['id']}, country string, category string, question string, answer string, tags array<string>, source_msgs array<{kinds['source_msgs'].removeprefix('array<').removesuffix('>')}>, count long"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(stored.rows), 10_000):
+                out = [{**s, "country": key[0], "category": key[1], "tags": sorted(s["tags"]), "source_msgs": sorted(s["sources"])} for s in stored.rows[at : at + 10_000]]
+                yield pa.RecordBatch.from_pylist([{c: s[c] for c in arrow.names} for s in out], arrow)
+
+        key, stored = None, _Stored(common, threshold)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["country"], r["category"]) != key:
+                    yield from told()
+                    key, stored = (r["country"], r["category"]), _Stored(common, threshold)
+                stored.fold(r)
+        yield from told()
+
     from tidemill.functions.values import stored_confidence
 
-    return rows.groupBy("country", "category").applyInPandas(fold, schema).withColumn("confidence", stored_confidence(F.col("count")))
+    # A number of partitions: without one, small partitions are put together, and several categories into one task.
+    each = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(each, "country", "category").sortWithinPartitions("country", "category", "id")
+    return dealt.mapInArrow(fold, schema).withColumn("confidence", stored_confidence(F.col("count")))
 
 
 def search(entries: DataFrame, query_lemmas: Sequence[str], limit: int) -> DataFrame:
