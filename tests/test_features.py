@@ -247,6 +247,15 @@ def test_numbered_spreads_one_group(spark):
     assert ranking.numbered(df.limit(0), ["g"], ["x"]).count() == 0
 
 
+def test_titles_read_the_beginning_of_a_text_only(spark):
+    from tidemill.plans.site import first_letters
+
+    texts = ["", "12", "  ab", "Über a\nb-c D", "x" * 30, "1" * 50_000 + "abc", "日本 a1b2c3d4e5f6g7h8i9j0k1l2m3", None, "é" * 9 + " twelve letters on", "a\r\n\u2028b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", first_letters(F.col("t"), 12).alias("title"))
+    assert [r["title"] for r in df.orderBy("n").collect()] == [None if t is None else re.sub("[^A-Za-z ]", "", t)[:12] for t in texts]
+    assert not re.search(r"regexp_replace\(t#", df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_account_is_whole(spark):
     items = spark.createDataFrame(
         [("ru", "br", "view", "Деньги", None, "money", k, "t") for k in range(5)] + [("ru", "br", "view", "Прочее", None, "money", 10 + k, None if k == 0 else "t") for k in range(4)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import assembly, projection, ranking
@@ -83,10 +83,16 @@ def pg01_account(spark, sf_dir):
     return on.unionByName(s.unplaced.select("id", "kind", F.lit(None).cast("string").alias("path"), F.col("reason").alias("outcome")))
 
 
+def first_letters(text: Column, n: int) -> Column:
+    """The first n Latin letters and blanks of a text. Only as much of it is read as holds them."""
+    start = F.regexp_extract(text, rf"^(?:[^A-Za-z ]*+[A-Za-z ]){{0,{n}}}+", 0)
+    return F.regexp_replace(start, "[^A-Za-z ]", "")
+
+
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
-        "lang", F.when(F.col("doc_id") % 17 != 0, F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 12)).alias("title"), F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/")).alias("path"),
+        "lang", F.when(F.col("doc_id") % 17 != 0, first_letters(F.col("text"), 12)).alias("title"), F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/")).alias("path"),
         (F.col("doc_id") % 9 == 0).alias("noindex"), F.when(F.col("doc_id") % 2 == 0, "2026-07-01").otherwise("").alias("updated"),
     )
 
