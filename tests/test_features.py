@@ -220,6 +220,32 @@ def test_pump_survives_kills(spark, tmp_path):
     assert pumped("killed", True) == whole
 
 
+def test_pump_moves_texts_once(spark, tmp_path, monkeypatch):
+    """A batch writes a text as new, tried and done or waiting; whose turn it is goes through no single task."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (plans.append(self._df._jdf.queryExecution()), real(self, path, *a, **b))[1])
+    embed = lambda due: due.withColumn("v", F.when(F.col("id") % 3 > 0, F.array(F.lit(1.0))))
+    state = str(tmp_path / "state")
+    for batch, rows in enumerate(([(k, f"t{k}" if k % 4 else " ") for k in range(20)], [(k, f"t{k}") for k in range(15, 30)])):
+        pumping.pump(embed, state, "day", 10, junk=lambda todo: todo.where("id % 10 = 9"))(spark.createDataFrame(rows, "id long, text string"), batch)
+    found = {r["id"]: (r["status"], r["failures"], r["batch"]) for r in pumping.pumped(spark, state, "bigint", 2).collect()}
+    first = [k for k in range(20) if k % 4 and k % 10 != 9][:10]
+    for k in range(30):
+        if k % 10 == 9:
+            assert found[k] == ("skipped", 0, 0 if k < 20 else 1)
+        elif k < 20 and k % 4 == 0:
+            assert found[k] == ("waiting", 2, 0)
+        elif k in first:
+            assert found[k] == (("embedded", 0, 0) if k % 3 else ("waiting", 1, 0))
+        else:
+            assert found[k] == ("waiting", 0, 0 if k < 20 else 1)
+    schemas = [p.optimizedPlan().schema().fieldNames() for p in plans]
+    assert sum("text" in list(names) for names in schemas) == 2 * 5
+    assert not any("Limit" in p.optimizedPlan().toString() for p in plans)
+
+
 def test_forgiveness_by_hand():
     ladder = st.fixed.PENALTY_LADDER
     # Marked at 0: forgiven a step later, at 60; a refusal before that goes on the ladder.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.ranking import numbered
 from tidemill.sources.store import cut_lineage
 
 #: Failures after which a row is dropped.
@@ -24,6 +25,17 @@ def _read(spark: SparkSession, path: str, schema: str, batch: int, last: bool =
     return spark.read.schema(f"{schema}, batch int").parquet(path).where(F.col("batch") < batch)
 
 
+def _turn(rows: DataFrame, left: int) -> Column:
+    """Which rows are the first `left` by arrived and id: a condition on the two. No row of a text is moved, and none of any kind through one task."""
+    if left <= 0:
+        return F.lit(False)
+    keys = rows.select("arrived", "id")
+    if keys.count() <= left:
+        return F.lit(True)
+    last = numbered(keys, [], ["arrived", "id"]).where(F.col("position") == left).first()
+    return (F.col("arrived") < last["arrived"]) | ((F.col("arrived") == last["arrived"]) & (F.col("id") <= F.lit(last["id"])))
+
+
 def pump(embed: Callable[[DataFrame], DataFrame], state: str, day: str, quota: int, *, junk: Callable[[DataFrame], DataFrame] | None = None, strikes: int = STRIKES) -> Callable[[DataFrame, int], None]:
     """STR-09, SRC-18: a handler for foreachBatch over arriving rows (id, text); see streams.each_batch.
 
@@ -52,25 +64,28 @@ def pump(embed: Callable[[DataFrame], DataFrame], state: str, day: str, quota: i
             if known is not None:
                 new = new.join(known.select("id"), "id", "left_anti")
         new = new.select("id", "text", F.lit(batch).alias("arrived"), F.lit(0).alias("failures"), F.lit(None).cast("string").alias("error"))
-        todo = cut_lineage(new if before is None else before.select(*new.columns).unionByName(new))
+        # What waits lies in files already.
+        new = cut_lineage(new)
+        todo = new if before is None else before.select(*new.columns).unionByName(new)
 
-        useless = junk(todo).select("id") if junk else todo.select("id").limit(0)
-        able = todo.join(useless, "id", "left_anti")
+        # Texts stay where todo lies: the junk's ids, few of all, are read again as a small side, and a border in (arrived, id) tells whose turn it is.
+        useless = cut_lineage(junk(todo).select("id").distinct()) if junk else None
+        able = todo if useless is None else todo.join(useless, "id", "left_anti")
         blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-        turn = able.where(~blank).orderBy("arrived", "id").limit(left).select("id")
-        due = cut_lineage(able.join(turn, "id", "left_semi"))
-        tried = cut_lineage(embed(due))
+        turn = _turn(able.where(~blank), left)
+        tried = cut_lineage(embed(able.where(~blank & turn)))
         failed = tried.where("v is null").select("id", "text", "arrived", (F.col("failures") + 1).alias("failures"), F.lit("no vector").alias("error"))
         empty = able.where(blank).select("id", "text", "arrived", (F.col("failures") + 1).alias("failures"), F.lit("empty text").alias("error"))
-        late = able.where(~blank).join(turn, "id", "left_anti")
+        late = able.where(~blank & ~turn)
         points = tried.where("v is not null").select("id", "text", "failures", F.lit(day).alias("day"), "v")
-        skipped = todo.join(useless, "id", "left_semi").select("id", "text", "failures", F.lit(day).alias("day"), F.lit(None).cast("array<double>").alias("v"))
+        if useless is not None:
+            points = points.unionByName(todo.join(useless, "id", "left_semi").select("id", "text", "failures", F.lit(day).alias("day"), F.lit(None).cast("array<double>").alias("v")))
         blamed = failed.unionByName(empty)
 
         def write(rows: DataFrame, name: str) -> None:
             rows.write.mode("overwrite").parquet(f"{state}/{name}/batch={batch}")
 
-        write(points.unionByName(skipped), "points")
+        write(points, "points")
         write(blamed.where(F.col("failures") >= strikes), "dropped")
         write(tried.agg(F.lit(day).alias("day"), F.count("*").alias("n")), "attempts")
         write(late.unionByName(blamed.where(F.col("failures") < strikes)), "waiting")
