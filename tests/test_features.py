@@ -255,6 +255,27 @@ def test_forgiveness_by_hand():
     assert st.after_quiet((0, False, 0.0), float("inf")) == ((0, False, 0.0), [])
 
 
+def test_requests_of_one_time_go_by_id_and_others_move_nothing(spark):
+    rng = random.Random(6)
+    rows = [("ab"[rng.randrange(2)], float(rng.randrange(400) * 40), rng.choice([0, 0, 200, 429, 429]), k) for k in range(600)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, at double, status int, id long").repartition(5)
+    for replay, quiet in ((st.forgiving_penalties, True), (st.penalties, False)):
+        want = []
+        for key in "ab":
+            state = (0, False, 0.0)
+            for _, at, status, _ in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[3])):
+                state, said = st.after_quiet(state, at) if quiet else (state, [])
+                *state, out = st.climb(*state, [(at, status)])
+                state, want = tuple(state), want + [(key, *o) for o in said + out]
+            want += [(key, *o) for o in (st.after_quiet(state, float("inf"))[1] if quiet else [])]
+        got = replay(df)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        # What moves nothing stays out of the shuffle, and keys are not put together into one task.
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"Filter .*status.* IN \(200,429\)", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 # ---- pages
 
 

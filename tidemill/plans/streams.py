@@ -79,7 +79,7 @@ select key, verdict, count(*) as n from (select key, verdict from steps where ve
 def requests_of(spark, sf_dir):
     m = messages(spark, sf_dir)
     status = F.when(F.col("is_bot"), 429).when(F.col("channel") == "purchase", 200).otherwise(0)
-    return m.select((F.col("sender_id") % 20).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), status.alias("status"))
+    return m.select((F.col("sender_id") % 20).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), status.alias("status"), F.col("id").cast("long").alias("id"))
 
 
 @query("win11_penalties", ladder_sql("e.status = 429"))
@@ -103,7 +103,7 @@ def str06_stream(spark, sf_dir):
     cuts = rows.agg(F.percentile("at", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
     edges = [float("-inf"), *cuts, float("inf")]
     parts = [rows.where((F.col("at") > lo) & (F.col("at") <= hi)) for lo, hi in zip(edges, edges[1:])]
-    ticks = [spark.createDataFrame([("tick", 4e9 + k, 200)], rows.schema) for k in range(2)]
+    ticks = [spark.createDataFrame([("tick", 4e9 + k, 200, k)], rows.schema) for k in range(2)]
     out, provider = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
 

@@ -78,18 +78,38 @@ def climb(level: int, struck: bool, until: float, outcomes: list[tuple[float, in
     return level, struck, until, out
 
 
+def in_order(requests: pd.DataFrame) -> pd.DataFrame:
+    """A key's requests by time, those of one time by id, if they have one."""
+    return requests.sort_values([c for c in ("at", "id") if c in requests.columns], kind="stable")
+
+
+def decisive(requests: DataFrame) -> DataFrame:
+    """Requests that move the ladder: refusals and successes. Others change no state, and a quiet time that one would find over is found by the next of these, or at the end, as ended at the same time.
+
+    Keys are dealt over a number of partitions: without one, small partitions are put together, and all keys into one task.
+    """
+    each = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.where(F.col("status").isin(200, 429)).repartition(each, "key")
+
+
+def no_repeated_success(requests: pd.DataFrame) -> pd.DataFrame:
+    """A key's requests in order, without successes right after a success: those find the key free."""
+    success = requests["status"].eq(200)
+    return requests[~(success & success.shift(fill_value=False))]
+
+
 LADDER_OUT = "key string, at double, verdict string, until double"
 
 
 def penalties(requests: DataFrame) -> DataFrame:
-    """WIN-11: batch replay: (key, at, verdict, until) of requests (key, at, status)."""
+    """WIN-11: batch replay: (key, at, verdict, until) of requests (key, at, status); an id, if there is one, orders those of one time."""
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at", kind="stable")
+        group = no_repeated_success(in_order(group))
         *_, out = climb(0, False, 0.0, list(zip(group["at"], group["status"], strict=True)))
         return pd.DataFrame([(group["key"].iloc[0], *o) for o in out], columns=["key", "at", "verdict", "until"])
 
-    return requests.groupBy("key").applyInPandas(replay, LADDER_OUT)
+    return decisive(requests).groupBy("key").applyInPandas(replay, LADDER_OUT)
 
 
 def penalty_stream(requests: DataFrame) -> DataFrame:
@@ -97,7 +117,7 @@ def penalty_stream(requests: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, struck, until = state.get if state.exists else (0, False, 0.0)
-        rows = pd.concat(batches).sort_values("at", kind="stable")
+        rows = in_order(pd.concat(batches))
         level, struck, until, out = climb(level, struck, until, list(zip(rows["at"], rows["status"], strict=True)))
         state.update((level, struck, until))
         yield pd.DataFrame([(key[0], *o) for o in out], columns=["key", "at", "verdict", "until"])
@@ -133,7 +153,7 @@ def forgiving_penalties(requests: DataFrame) -> DataFrame:
     """STR-06 in batch: penalties() and a row `forgiven` for each penalty that a quiet time ends, at that time: after it the key is free."""
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at", kind="stable")
+        key, group = group["key"].iloc[0], no_repeated_success(in_order(group))
         state: Ladder = (0, False, 0.0)
         out: list[tuple[float, str, float]] = []
         for at, status in zip(group["at"], group["status"], strict=True):
@@ -142,9 +162,9 @@ def forgiving_penalties(requests: DataFrame) -> DataFrame:
             *state, rows = climb(*state, [(at, status)])
             state, out = tuple(state), out + rows
         out += after_quiet(state, float("inf"))[1]
-        return pd.DataFrame([(group["key"].iloc[0], *o) for o in out], columns=["key", "at", "verdict", "until"])
+        return pd.DataFrame([(key, *o) for o in out], columns=["key", "at", "verdict", "until"])
 
-    return requests.groupBy("key").applyInPandas(replay, LADDER_OUT)
+    return decisive(requests).groupBy("key").applyInPandas(replay, LADDER_OUT)
 
 
 class ForgivingLadder(StatefulProcessor):
@@ -167,7 +187,7 @@ class ForgivingLadder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         state, out = self._now(), []
-        got = pd.concat(rows).sort_values("at", kind="stable")
+        got = in_order(pd.concat(rows))
         for at, status in zip(got["at"], got["status"], strict=True):
             state, said = after_quiet(state, at)
             out += said
