@@ -1,5 +1,6 @@
 """Wiki rows, node trees, the index, runs with state, the pump, timers, pages: edge cases and brute force."""
 
+import collections
 import json
 import random
 import re
@@ -154,6 +155,30 @@ def test_a_texts_words_are_told_once(spark, tmp_path, monkeypatch):
     assert plans[0].executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
 
 
+def test_a_text_is_split_once_and_large_folders_are_dealt_out(spark, tmp_path):
+    """No sample of ranges splits each text a second time; words are counted in linear time where the text lies; a hot folder has several files."""
+    rows = [(k, [*(["common"] * (k % 3)), "cold", f"co{k}", None if k % 5 else "übung"]) for k in range(3000)] + [(3000, []), (3001, None), (3002, [f"w{i % 60000}" for i in range(80000)])]
+    texts, splits = spark.createDataFrame(rows, "id long, said array<string>").repartition(8), spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(said):
+        splits.add(1)
+        return said
+
+    path, size = str(tmp_path / "index"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "8k")
+    try:
+        postings.write_index(texts, words("said"), path)
+    finally:
+        spark.conf.unset(size)
+    assert splits.value == len(rows)
+    counts = {k: collections.Counter(w for w in said or () if w) for k, said in rows}
+    want = sorted((w, k, n, len(each)) for k, each in counts.items() for w, n in each.items())
+    index = spark.read.parquet(path)
+    assert sorted(map(tuple, index.select("term", "id", "n", "total").collect())) == want
+    assert index.where("folder = 't-co'").select(F.input_file_name()).distinct().count() > 1
+
+
 # ---- runs with state
 
 

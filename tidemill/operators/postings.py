@@ -32,19 +32,22 @@ def folder(term: Column) -> Column:
 def write_index(texts: DataFrame, words: Column, path: str, *, id_col: str = "id", carry: Sequence[str] = ()) -> None:
     """Postings of texts: folder, term, id, n (times), total (different terms of the text), and the carried columns.
 
-    Files are dealt by ranges of folder, term and id, so a very common term is spread over
-    several of them, and rows lie sorted in each: a reader finds a term by folder, then by the
-    statistics of row groups. At most 1,400 folders, whatever the texts. Null texts have no words.
+    Occurrences are counted in the text's own row, so postings meet once, by folder. A folder of
+    very common terms is spread over several files, and rows lie sorted by term in each: a reader
+    finds a term by folder, then by the statistics of row groups. At most 1,400 folders, whatever
+    the texts. Null texts have no words.
     """
-    split = texts.select(F.col(id_col).alias("id"), *carry, words.alias("__words"))
-    # The total is told before the words are dealt out: beside explode, it would be counted again for each word.
-    told = split.select("id", *carry, F.size(F.array_distinct("__words")).alias("total"), "__words")
-    # explode_outer: explode alone puts a filter on the words before itself, which splits each text once more.
-    each = told.select("id", *carry, "total", F.explode_outer("__words").alias("term")).where("term is not null")
-    placed = each.withColumn("folder", folder(F.col("term"))).repartitionByRange("folder", "term", "id")
-    # Ranges keep a text's occurrences of a term together, so they are counted where they lie.
-    counted = placed.groupBy("folder", "term", "id", "total", *carry).agg(F.count("*").cast("int").alias("n")).select("term", "id", "n", "total", *carry, "folder")
-    counted.sortWithinPartitions("folder", "term", "id").write.mode("overwrite").partitionBy("folder").parquet(path)
+    split = texts.select(F.col(id_col).alias("id"), *carry, F.sort_array(words).alias("__words"))
+    # Where a run of equal words begins. Each step is told before the next: inside a lambda it would be done again for each word.
+    begins = F.filter(F.sequence(F.lit(0), F.size("__words") - 1), lambda i: ~F.get("__words", i).eqNullSafe(F.get("__words", i - 1)))
+    runs = split.withColumn("__begins", F.when(F.size("__words") > 0, begins))
+    run = lambda at, k: F.struct(F.get("__words", at).alias("term"), (F.coalesce(F.get("__begins", k + 1), F.size("__words")) - at).alias("n"))
+    told = runs.select("id", *carry, F.size("__begins").alias("total"), F.transform("__begins", run).alias("__runs"))
+    # inline_outer: inline alone puts a filter on the runs before itself, which splits each text once more.
+    each = told.select("id", *carry, "total", F.inline_outer("__runs")).where("term is not null")
+    placed = each.select("term", "id", "n", "total", *carry, folder(F.col("term")).alias("folder"))
+    # No ranges, whose bounds need a sample and so all texts split twice: large folders are dealt out by their measured size.
+    placed.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
 def postings(spark: SparkSession, path: str, expression: str | None) -> DataFrame | None:
